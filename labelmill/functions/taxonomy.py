@@ -6,8 +6,6 @@ or building a multi-hot vector never shuffles a row.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +73,7 @@ LABEL_CODES = {
 }
 
 LABELS = sorted(LABEL_CODES)
+RECORD, UNIT = "\x1e", "\x1f"  # separators no code or label contains
 CODE_TO_LABEL = {code: label for label in LABELS for code in LABEL_CODES[label].split()}
 
 
@@ -89,8 +88,13 @@ def label_dim(spark: SparkSession, labels: list[str] | None = None) -> DataFrame
     return spark.createDataFrame(rows, "idx int, label string")
 
 
+def name_array(names: list[str]) -> Column:
+    """A constant array of names, folded from one string so that plans stay small."""
+    return F.split(F.lit(UNIT.join(names)), UNIT)
+
+
 def label_array(labels: list[str] | None = None) -> Column:
-    return F.array(*[F.lit(x) for x in (LABELS if labels is None else labels)])
+    return name_array(LABELS if labels is None else labels)
 
 
 def label_name(idx: Column, labels: list[str] | None = None) -> Column:
@@ -100,7 +104,8 @@ def label_name(idx: Column, labels: list[str] | None = None) -> Column:
 
 
 def _code_map(mapping: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in sorted(mapping.items()) for x in pair])
+    text = RECORD.join(UNIT.join(pair) for pair in sorted(mapping.items()))
+    return F.str_to_map(F.lit(text), F.lit(RECORD), F.lit(UNIT))
 
 
 def codes_to_labels(codes: Column, mapping: dict[str, str] | None = None) -> Column:
@@ -111,11 +116,13 @@ def codes_to_labels(codes: Column, mapping: dict[str, str] | None = None) -> Col
 
 
 def multihot(names: Column, labels: list[str] | None = None) -> Column:
-    """0.0/1.0 vector over the ordered class list; names outside it are ignored."""
-    return F.transform(
-        label_array(labels),
-        lambda label: F.when(F.array_contains(names, label), 1.0).otherwise(0.0),
-    )
+    """0.0/1.0 vector over the ordered class list; names outside it are ignored.
+
+    One expression per class rather than a lambda: it compiles, and ``names`` is
+    not evaluated again for every class when it is itself computed.
+    """
+    hot = [F.array_contains(names, x) for x in (LABELS if labels is None else labels)]
+    return F.array(*[F.when(h, 1.0).otherwise(0.0) for h in hot])
 
 
 def multihot_to_labels(y: Column, labels: list[str] | None = None) -> Column:
@@ -139,5 +146,3 @@ def binarize_pivot(df: DataFrame, key: str, names: str, labels: list[str]) -> Da
     )
 
 
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.functions.scoring import predict, threshold_vector
-from labelmill.functions.taxonomy import label_name
+from labelmill.functions.taxonomy import label_array, label_name
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -133,9 +133,7 @@ def tag_metrics(tagged: DataFrame, labels: list[str] | None = None) -> DataFrame
     Only rows whose ``true_tags`` is not null count. Tags outside the class list
     are ignored by P/R/F1 but a shared one still makes a hit.
     """
-    from labelmill.functions.taxonomy import LABELS
-
-    known = F.array(*[F.lit(x) for x in (LABELS if labels is None else labels)])
+    known = label_array(labels)
     rows = tagged.where(F.col("true_tags").isNotNull()).select(
         F.array_intersect("true_tags", known).alias("t"),
         F.array_intersect("predicted_tags", known).alias("p"),

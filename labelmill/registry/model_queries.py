@@ -9,7 +9,7 @@ from labelmill import schemas as S
 from labelmill.functions.taxonomy import label_name
 from labelmill.operators import curves
 from labelmill.operators.linear_model import score_linear, train_linear
-from labelmill.operators.logreg import score_logreg, train_logreg
+from labelmill.operators.logreg import LogRegModel, score_logreg, train_logreg
 from labelmill.operators.plugged import score_plugged
 from labelmill.plans import evaluation, tagging
 from labelmill.registry import views as V
@@ -142,7 +142,9 @@ def run_summary(spark, sf):
 def train_logreg_query(spark, sf):
     """Per class: papers, positives, and papers the fitted regression puts above one half."""
     papers = stored(V.papers(spark, sf), "papers")
-    model = train_logreg(papers.where(F.col("split") == "train"))
+    path = scratch_path(spark, "logreg")
+    train_logreg(papers.where(F.col("split") == "train")).save(path)
+    model = LogRegModel.load(spark, path)
     scored = papers.select("id", "y").join(score_logreg(papers, model), "id")
     cells = scored.select(F.posexplode(F.arrays_zip("y", "prob")).alias("idx", "c"))
     return cells.groupBy("idx", label_name(F.col("idx")).alias("label")).agg(
@@ -203,7 +205,7 @@ def batch_invariance(spark, sf):
 
 # ---- training curves ----
 
-@query("ema_series", sql("SELECT run, step, loss, round(ema, 6) AS ema FROM ema"))
+@query("ema_series", sql("SELECT run, step, round(loss, 6) AS loss, round(ema, 6) AS ema FROM ema"))
 def ema_series(spark, sf):
     train = curves.train_rows(V.train_log(spark, sf))
     return rounded(curves.ema_series(train, ["run"], "step", "loss"))

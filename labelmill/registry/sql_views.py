@@ -64,7 +64,7 @@ VIEWS = {
                cast(200 + 3500 * g.y + (6 * g.u) // 10 AS double) / 10000 AS prob
         FROM (SELECT c.id, c.split, d.idx, d.label,
                      case when l.id IS NULL then 0 else 1 end AS y,
-                     {h("concat(c.id, ':', d.idx)")} % 10000 AS u
+                     {h("concat('7:', c.id)")} % (10007 + 2 * d.idx) % 10000 AS u
               FROM catalog c CROSS JOIN label_dim d
               LEFT JOIN catalog_labels l ON l.id = c.id AND l.label = d.label) g""",
     "logits": "SELECT *, ln(prob / (1 - prob)) AS logit FROM cells",

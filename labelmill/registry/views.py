@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill import schemas as S
-from labelmill.functions.hashing import hash_split
+from labelmill.functions.hashing import hash_split, row_hash
 from labelmill.functions.scoring import logit
-from labelmill.functions.taxonomy import CODE_TO_LABEL, LABELS, codes_to_labels, has_label, multihot
+from labelmill.functions.taxonomy import (
+    CODE_TO_LABEL, LABELS, codes_to_labels, has_label, label_array, multihot, name_array,
+)
 from labelmill.functions.text import split_categories
 from labelmill.plans.prep import base, taxonomy, with_y
 
@@ -39,7 +41,7 @@ def order_codes(spark: SparkSession, sf: str) -> DataFrame:
     """
     r = F.col("l_partkey") % 200
     idx = F.floor(r * r * len(CODES) / 40_000).cast("int")
-    code = F.element_at(F.array(*[F.lit(c) for c in CODES]), idx + 1)
+    code = F.element_at(name_array(CODES), idx + 1)
     lines = table(spark, sf, "lineitem").select("l_orderkey", code.alias("code"))
     return lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("code")).alias("codes"))
 
@@ -73,14 +75,13 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Catalog with truth ``y`` and made-up but reproducible ``prob`` and ``logit`` vectors."""
 
-    def prob(y: Column, i: Column) -> Column:
-        digest = F.md5(F.concat(F.col("id"), F.lit(":"), i.cast("string")))
-        u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 10_000
-        whole = 200 + 3500 * y.cast("bigint") + F.floor(u * 6 / 10)
-        return whole / 10_000
+    def prob(cell: Column, i: Column) -> Column:
+        u = cell["h"] % (10_007 + 2 * i) % 10_000
+        return (200 + 3500 * cell["y"].cast("bigint") + F.floor(u * 6 / 10)) / 10_000
 
     rows = catalog(spark, sf).withColumn("y", multihot(F.col("labels")))
-    rows = rows.withColumn("prob", F.transform("y", prob))
+    h = F.array_repeat(row_hash(F.col("id"), 7), len(LABELS))
+    rows = rows.withColumn("prob", F.transform(F.arrays_zip("y", h.alias("h")), prob))
     return rows.withColumn("logit", F.transform("prob", logit))
 
 
@@ -158,9 +159,8 @@ def train_log(spark: SparkSession, sf: str) -> DataFrame:
 def label_thresholds(spark: SparkSession, sf: str) -> DataFrame:
     """``(label, threshold)``: mean score of the true papers; the Q labels are left out."""
     cells = scored(spark, sf).select(F.posexplode(F.arrays_zip("y", "prob")).alias("idx", "c"))
-    names = F.array(*[F.lit(x) for x in LABELS])
     true = cells.where(F.col("c.y") == 1).select(
-        F.get(names, F.col("idx")).alias("label"),
+        F.get(label_array(), F.col("idx")).alias("label"),
         F.round(F.col("c.prob") * 10_000).cast("bigint").alias("u"),
     )
     mean = F.sum("u") / F.count(F.lit(1)) / 10_000
