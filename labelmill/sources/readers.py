@@ -72,7 +72,7 @@ def read_thresholds(
     dim = spark.createDataFrame(list(enumerate(labels)), "idx int, label string")
     if not path_exists(spark, path):
         return dim.withColumn("threshold", F.lit(float(default)))
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     parsed = text.select(F.from_json("value", "map<string,double>").alias("m"))
     # Broadcast is bounded: a JSON object holds one value per wanted label.
     found = parsed.select(F.explode("m").alias("label", "threshold")).where(

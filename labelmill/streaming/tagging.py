@@ -13,7 +13,8 @@ from labelmill.operators.linear_model import LinearModel
 from labelmill.plans.tagging import as_records, tag_papers
 
 TAGGED, REJECTS = "tagged", "rejects"
-BAD_LINE = "_corrupt_record"
+BAD_LINE = "_corrupt_record"  # Spark's name on the way in; a reader would swallow it again
+RAW_LINE = "raw_line"  # its name in the rejects
 
 
 def read_record_stream(
@@ -45,6 +46,7 @@ def start_tagging(
         records = records.persist()
         try:
             rejects = records.where(F.col("reject_reason").isNotNull())
+            rejects = rejects.withColumnRenamed(BAD_LINE, RAW_LINE)
             rejects.write.mode("overwrite").json(f"{out}/{REJECTS}/batch_id={batch_id}")
             valid = records.where(F.col("reject_reason").isNull()).drop("reject_reason", BAD_LINE)
             tagged = tag_papers(as_records(valid), model, thresholds, key="key")
@@ -65,6 +67,6 @@ def read_tagged(spark: SparkSession, out: str) -> DataFrame:
 
 
 def read_rejects(spark: SparkSession, out: str) -> DataFrame:
-    schema = T.StructType([*S.RECORDS.fields, T.StructField(BAD_LINE, T.StringType()),
+    schema = T.StructType([*S.RECORDS.fields, T.StructField(RAW_LINE, T.StringType()),
                            T.StructField("reject_reason", T.StringType())])
     return spark.read.schema(schema).json(f"{out}/{REJECTS}")

@@ -1,0 +1,93 @@
+import hashlib
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from labelmill.functions.hashing import hash_split
+from labelmill.operators import sampling as G
+
+N = 1003
+
+
+def order(ids, seed):
+    return sorted(ids, key=lambda x: (int(hashlib.md5(f"{seed}:{x}".encode()).hexdigest()[:8], 16), x))
+
+
+@pytest.fixture()
+def ids(spark):
+    return spark.range(N).select(F.col("id").cast("string").alias("id"))
+
+
+def got(df):
+    return sorted(r["id"] for r in df.select("id").collect())
+
+
+@pytest.mark.parametrize("k", [0, 1, 2, 500, N - 1, N, N + 5])
+def test_sample_fixed(ids, k):
+    want = sorted(order([str(i) for i in range(N)], 42)[:k])
+    assert got(G.sample_fixed(ids, k)) == want
+    assert got(G.sample_fixed(ids.repartition(7, F.rand(1)), k)) == want
+
+
+def test_sample_ratio(ids):
+    assert G.sample_ratio(ids, 0.135).count() == int(N * 0.135)
+    assert G.sample_ratio(ids, 1.0).count() == N
+    assert got(G.sample_ratio(ids, 0.1, seed=1)) != got(G.sample_ratio(ids, 0.1, seed=2))
+
+
+def test_train_val_sample_uses_the_next_seed(spark, ids):
+    df = ids.withColumn("split", hash_split(F.col("id")))
+    train, val = G.sample_train_val(df, 0.5, seed=9)
+    val_ids = [r["id"] for r in df.where("split = 'val'").collect()]
+    assert got(val) == sorted(order(val_ids, 10)[: len(val_ids) // 2])
+    assert {r["split"] for r in train.collect()} == {"train"}
+
+
+def test_hash_split_is_stable(ids):
+    a = {r["id"]: r["s"] for r in ids.select("id", hash_split(F.col("id")).alias("s")).collect()}
+    b = ids.repartition(5, F.rand(2)).select("id", hash_split(F.col("id")).alias("s")).collect()
+    assert a == {r["id"]: r["s"] for r in b}
+    assert 0.75 < list(a.values()).count("train") / N < 0.85
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 4, 5, 9, 10, 11, 1003])
+def test_exact_split_sizes(spark, n):
+    df = spark.range(n).select(F.col("id").cast("string").alias("id"))
+    rows = G.exact_split(df, seed=3).collect()
+    held = math.ceil(0.2 * n)
+    sizes = {s: sum(r["split"] == s for r in rows) for s in ("train", "val", "test")}
+    test = math.ceil(0.5 * held)
+    assert sizes == {"train": n - held, "val": held - test, "test": test}
+    in_order = order([r["id"] for r in rows], 3)
+    assert sorted(r["id"] for r in rows if r["split"] == "train") == sorted(in_order[: n - held])
+
+
+def test_repeated_ids_do_not_break_the_cut(spark):
+    """A third of all rows under one id: they stay together, the rest is exact."""
+    df = spark.createDataFrame([("hot",)] * 300 + [(str(i),) for i in range(600)], "id string")
+    rows = got(G.sample_fixed(df, 450))
+    assert rows.count("hot") in (0, 300)
+    assert 450 <= len(rows) < 750
+
+
+def test_small_reads(ids):
+    assert got(G.limit_records(ids, 3)) == ["0", "1", "10"]
+    assert G.limit_records(ids, 3, None).count() == 3
+    assert got(G.peek_row(ids)) == ["0"]
+    assert got(G.sample_papers(ids, 4, 7)) == sorted(order([str(i) for i in range(N)], 7)[:4])
+
+
+def test_union_of_splits_is_disjoint_and_complete(ids):
+    split = G.exact_split(ids)
+    parts = {s: split.where(F.col("split") == s).drop("split") for s in ("train", "val", "test")}
+    whole = G.union_splits(parts)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, split.collect()))
+    assert parts["train"].intersect(parts["val"]).count() == 0
+
+
+def test_samples_do_not_move_rows(ids):
+    """Rows are only filtered: the plan above the scan has no exchange outside the subqueries."""
+    text = G.sample_fixed(ids.withColumn("body", F.lit("x")), 5)._jdf.queryExecution().executedPlan()
+    main = text.toString().split("Subquery")[0]
+    assert "Exchange" not in main
