@@ -42,12 +42,11 @@ def train_linear_query(spark, sf):
 
 
 @query("score_papers", sql("""
-    SELECT id, idx, round(logit, 6) AS logit, round(prob, 6) AS prob FROM linear_scores"""))
+    SELECT id, idx, round(prob, 6) AS prob FROM linear_scores"""))
 def score_papers(spark, sf):
     papers, model = corpus(spark, sf)
-    cells = score_linear(papers, model).select(
-        "id", F.posexplode(F.arrays_zip("logit", "prob")).alias("idx", "c"))
-    return rounded(cells.select("id", "idx", "c.logit", "c.prob"))
+    scored = score_linear(papers, model)
+    return rounded(scored.select("id", F.posexplode("prob").alias("idx", "prob")))
 
 
 @query("tag_papers", sql("""
