@@ -106,15 +106,29 @@ def percent_text(prob: Column) -> Column:
     return F.concat(F.format_number(F.when(exact_half, x + 0.01).otherwise(x), 1), F.lit("%"))
 
 
-def tag_cards(df: DataFrame) -> DataFrame:
-    """Display card per tagged paper: bars by falling probability, percent, count, flag."""
+def ranked_tags(tag_probabilities: Column) -> Column:
+    """``array<struct(order, label, prob)>`` by falling probability, then name."""
     entries = F.transform(
-        F.map_entries("tag_probabilities"),
+        F.map_entries(tag_probabilities),
         lambda e: F.struct((-e["value"]).alias("order"), e["key"].alias("label"),
                            e["value"].alias("prob")),
     )
+    return F.array_sort(entries)
+
+
+def tag_ranks(df: DataFrame, key: str = "id") -> DataFrame:
+    """``(key, label, prob, rank)`` of each paper's tags.
+
+    A paper's tags sit in its row, so they are ranked there and nothing is shuffled.
+    """
+    rows = df.select(key, F.posexplode(ranked_tags(F.col("tag_probabilities"))).alias("pos", "t"))
+    return rows.select(key, "t.label", "t.prob", (F.col("pos") + 1).alias("rank"))
+
+
+def tag_cards(df: DataFrame) -> DataFrame:
+    """Display card per tagged paper: bars by falling probability, percent, count, flag."""
     bars = F.transform(
-        F.array_sort(entries),
+        ranked_tags(F.col("tag_probabilities")),
         lambda e: F.concat(e["label"], F.lit(" "), percent_text(e["prob"])),
     )
     n = F.size("predicted_tags")

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Every character a Unicode-aware ``\s`` matches, the plain space apart.
-OTHER_SPACE = (
-    r"\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
-WHITESPACE = OTHER_SPACE + r"\x20"
+LATIN_SPACE = r"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x{85}\x{a0}"
+HIGH_SPACE = r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WHITESPACE = r"\x20" + LATIN_SPACE + HIGH_SPACE
 URL_PATTERN = f"http[^{WHITESPACE}]+"
-# A lone plain space is already normal, so only runs and other characters are rewritten.
-SPACE_PATTERN = f"[{WHITESPACE}]{{2,}}|[{OTHER_SPACE}]"
+# A lone plain space is already normal, so only runs and other characters are rewritten. The
+# outer range lets Java's matcher dismiss a letter with one comparison; this pattern runs over
+# every character of the corpus.
+_RARE = rf"[\x{{1680}}-\x{{3000}}&&[{HIGH_SPACE}]]"
+SPACE_PATTERN = rf"[\x20{LATIN_SPACE}{_RARE}]{{2,}}|[{LATIN_SPACE}{_RARE}]"
 
 
 def clean_text(text: Column) -> Column:
@@ -37,7 +39,7 @@ def split_categories(categories: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Lower-cased space-separated words of cleaned text, in order, without empty ones."""
-    return F.filter(F.split(F.lower(text), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), " "), "")
 
 
 def paper_words(title: str = "title", abstract: str = "abstract") -> Column:

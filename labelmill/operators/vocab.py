@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmill.functions.text import clean_text, words
-from labelmill.operators.lookup import HEAD_ROWS, lookup
+from labelmill.operators.lookup import HEAD_ROWS, lookup, most_frequent
+from labelmill.session import stored
 
 # Marker tokens and their ids. Words are lower case, so none can collide.
 SPECIAL_TOKENS = {"[PAD]": 0, "[UNK]": 1, "[CLS]": 2, "[SEP]": 3}
@@ -20,16 +21,17 @@ def build_vocab(
 ) -> DataFrame:
     """``(token, token_id, n)``: the ``size`` most frequent words after the marker tokens.
 
-    Counting combines inside each task first. The cut is a top-k, so at most
-    ``size`` rows reach the numbering window.
+    Counting combines inside each task first, and the counts are written once. The
+    cut is a top-k, so at most ``size`` rows reach the numbering window.
     """
     text = F.concat_ws(" ", *[clean_text(F.col(c)) for c in columns])
-    counted = (
+    counted = stored(
         papers.select(F.explode(words(text)).alias("token"))
-        .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("token").agg(F.count(F.lit(1)).alias("n")),
+        "word-counts",
     )
     order = [F.desc("n"), F.asc("token")]
-    top = counted.orderBy(*order).limit(size)
+    top = most_frequent(counted, "n", "token", size)
     first = len(SPECIAL_TOKENS)
     numbered = top.select(
         "token", (F.row_number().over(Window.orderBy(*order)) + (first - 1)).alias("token_id"), "n"

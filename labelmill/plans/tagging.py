@@ -13,7 +13,7 @@ from labelmill.functions.taxonomy import multihot_to_labels
 from labelmill.operators.linear_model import LinearModel, score_linear
 from labelmill.operators.metrics import tag_metrics
 from labelmill.operators.sampling import limit_records
-from labelmill.session import scratch_path, stored
+from labelmill.session import stored
 from labelmill.sources.writers import write_predictions
 
 
@@ -76,10 +76,13 @@ def as_records(df: DataFrame) -> DataFrame:
 
 def inference_job(
     records: DataFrame, model: LinearModel, out: str, thresholds=None, limit: int | None = None,
-    keep_input: bool = False,
+    keep_input: bool = False, unique_id: bool = False,
 ) -> tuple[DataFrame, dict]:
     """Tag records, write predictions as JSONL, and report.
 
+    With ``unique_id`` the records' own ids match scores to records, so the text is
+    read once; by default a content key serves, which must read it on both sides.
+
     Returns the metric frame over records that carry true tags, and the run
     summary (processed, elapsed seconds, papers per second).
     """
@@ -87,7 +90,9 @@ def inference_job(
     if limit is not None:
         records = limit_records(records, limit, None)
         records = stored(records, "records")  # a limit without an order must be fixed once
-    tagged = tag_papers(as_records(records), model, thresholds, key="key", keep_scores=True)
+    shaped = as_records(records)
+    key = "id" if unique_id else "key"
+    tagged = tag_papers(shaped, model, thresholds, key=key, keep_scores=True)
     seen = Observation("run")
     observed = tagged.observe(seen, F.count(F.lit(1)).alias("processed"))
     write_predictions(observed, out, keep_input)
@@ -97,10 +102,3 @@ def inference_job(
     spark = records.sparkSession
     written = spark.read.schema("true_tags array<string>, predicted_tags array<string>").json(out)
     return tag_metrics(written, model.labels), summary
-
-
-def tag_to(records: DataFrame, model: LinearModel, thresholds=None) -> str:
-    """Run :func:`inference_job` into a fresh scratch folder and return its path."""
-    path = scratch_path(records.sparkSession, "predictions")
-    inference_job(records, model, path, thresholds)
-    return path

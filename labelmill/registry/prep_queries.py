@@ -361,7 +361,8 @@ def predicted_tags_query(spark, sf):
 
 @query("tag_probabilities", sql("SELECT id, label, round(prob, 4) AS prob FROM tags WHERE p"))
 def tag_probabilities_query(spark, sf):
-    return _tagged(spark, sf).select("id", F.explode("tag_probabilities").alias("label", "prob"))
+    entries = F.inline(F.map_entries("tag_probabilities")).alias("label", "prob")
+    return _tagged(spark, sf).select("id", entries)
 
 
 @query("broadcast_abstract", sql("""

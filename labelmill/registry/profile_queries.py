@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from labelmill.functions.hashing import hash_split
-from labelmill.functions.text import split_categories
+from labelmill.functions.records import tag_ranks
 from labelmill.operators import profiling as P
 from labelmill.operators import sampling as G
 from labelmill.operators import vocab
+from labelmill.plans.tagging import add_tags
 from labelmill.registry import views as V
 from labelmill.registry.base import query
 from labelmill.registry.sql_views import h, split_of, sql
@@ -182,13 +182,14 @@ def _ranked_sql(where: str, seed: int) -> str:
     UNION ALL SELECT id, split FROM ({_ranked_sql("split = 'val'", 43)})
     WHERE rn <= floor(n * cast(0.135 AS double))"""))
 def sample_ratio(spark, sf):
-    train, val = G.sample_train_val(V.labelled(spark, sf).select("id", "split"), 0.135)
+    rows = stored(V.labelled(spark, sf).select("id", "split"), "ids")
+    train, val = G.sample_train_val(rows, 0.135)
     return train.unionByName(val)
 
 
 @query("sample_fixed", sql(f"SELECT id, split FROM ({_ranked_sql('true', 42)}) WHERE rn <= 5000"))
 def sample_fixed(spark, sf):
-    return G.sample_fixed(V.labelled(spark, sf).select("id", "split"), 5000)
+    return G.sample_fixed(stored(V.labelled(spark, sf).select("id", "split"), "ids"), 5000)
 
 
 @query("sample_papers", sql(f"""
@@ -207,7 +208,7 @@ def hash_split_query(spark, sf):
                     when rn <= n - ceil(held / 2) then 'val' else 'test' end AS split
     FROM (SELECT *, ceil(n * cast(0.2 AS double)) AS held FROM ({_ranked_sql('true', 42)}))"""))
 def exact_split(spark, sf):
-    return G.exact_split(V.labelled(spark, sf).select("id"))
+    return G.exact_split(stored(V.labelled(spark, sf).select("id"), "ids"))
 
 
 @query("peek_row", sql("SELECT id, title, categories FROM catalog_raw ORDER BY id LIMIT 1"))
@@ -227,10 +228,4 @@ def union_splits(spark, sf):
            cast(row_number() OVER (PARTITION BY id ORDER BY prob DESC, label) AS integer) AS rank
     FROM tags WHERE p"""))
 def tag_rank(spark, sf):
-    """Rank of each tag in its paper; a paper has at most one tag per label."""
-    from labelmill.plans.tagging import add_tags
-
-    tags = add_tags(V.scored(spark, sf), V.label_thresholds(spark, sf)).select(
-        "id", F.explode("tag_probabilities").alias("label", "prob"))
-    place = Window.partitionBy("id").orderBy(F.desc("prob"), "label")
-    return tags.withColumn("rank", F.row_number().over(place))
+    return tag_ranks(add_tags(V.scored(spark, sf), V.label_thresholds(spark, sf)))

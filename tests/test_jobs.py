@@ -91,6 +91,9 @@ def test_inference_job(spark, ready, tmp_path):
     assert summary["processed"] == records.count() == spark.read.text(out).count()
     with_truth = records.where("labels IS NOT NULL").count()
     assert metrics.first()["papers"] == with_truth
+    ids = records.where("id <> ''")
+    by_id = tagging.inference_job(ids, model, str(tmp_path / "by-id"), unique_id=True)[0].first()
+    assert by_id == tagging.inference_job(ids, model, str(tmp_path / "by-key"))[0].first()
     _, limited = tagging.inference_job(records, model, str(tmp_path / "few"), limit=7)
     assert limited["processed"] == 7
 

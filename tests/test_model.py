@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelmill.operators import linear_model as L
 from labelmill.operators.logreg import LogRegModel, score_logreg, train_logreg
-from labelmill.operators.lookup import lookup
+from labelmill.operators.lookup import lookup, most_frequent
 from labelmill.operators.plugged import score_plugged
 from labelmill.operators.vocab import build_vocab, decode_tokens, encode_pairs
 
@@ -131,6 +131,14 @@ def test_lookup_equals_the_plain_join(spark, how, head_rows):
         map(str, want.select(*columns).collect()))
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 6, 50])
+def test_most_frequent(spark, n):
+    rows = [("a", 5), ("b", 3), ("c", 3), ("d", 3), ("e", 1), ("f", 1)]
+    df = spark.createDataFrame(rows, "k string, f int").repartition(4)
+    got = most_frequent(df, "f", "k", n).collect()
+    assert [tuple(r) for r in got] == rows[:n]
+
+
 def test_vocab(spark):
     df = spark.createDataFrame([("B a", "b http://x c"), ("b", "a")],
                                "title string, abstract string")
