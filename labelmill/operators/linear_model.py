@@ -107,15 +107,13 @@ def train_linear(
         )
         .where(F.col("df") >= min_papers)
     )
-    counted = per_word.withColumns({
-        "n": totals.select("n").scalar(), "pos": totals.select("pos").scalar(),
-    })
-    weights = counted.select(
+    n, inside = F.col("t.n"), F.col("inside")
+    weights = per_word.withColumn("t", totals.select(F.struct("n", "pos")).scalar()).select(
         "token", "df",
         F.zip_with(
-            "inside", "pos",
+            inside, F.col("t.pos"),
             lambda c, p: F.log((c + a) / (p + 2 * a))
-            - F.log((F.col("df") - c + a) / (F.col("n") - p + 2 * a)),
+            - F.log((F.col("df") - c + a) / (n - p + 2 * a)),
         ).alias("w"),
     )
     each = totals.select("n", F.posexplode("pos").alias("idx", "pos"))
