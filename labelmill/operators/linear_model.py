@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from labelmill.functions.scoring import sigmoid_array
 from labelmill.functions.taxonomy import LABELS, label_name
 from labelmill.functions.text import paper_words
-from labelmill.operators.lookup import HEAD_ROWS, lookup
+from labelmill.operators.lookup import ROW_BYTES, lookup
 from labelmill.session import stored
 
 MIN_PAPERS = 5
@@ -129,7 +129,7 @@ def train_linear(
 
 
 def score_linear(
-    papers: DataFrame, model: LinearModel, key: str = "id", head_rows: int = HEAD_ROWS
+    papers: DataFrame, model: LinearModel, key: str = "id", head_rows: int | None = None
 ) -> DataFrame:
     """``(key, logit, prob)`` vectors for every distinct key.
 
@@ -145,7 +145,7 @@ def score_linear(
         [(NO_WORD, 1 << 62, [0.0] * k)], "token string, df bigint, w array<double>"
     )
     table = model.weights.select("token", "df", "w").unionByName(blank)
-    hits = lookup(tokens, table, "token", "df", "inner", head_rows)
+    hits = lookup(tokens, table, "token", "df", "inner", ROW_BYTES + 8 * k, head_rows)
     sums = hits.groupBy(key).agg(
         F.count_if(F.col("token") == NO_WORD).alias("copies"),
         F.count_if(F.col("token") != NO_WORD).alias("known"),

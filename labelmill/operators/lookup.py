@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HEAD_ROWS = 100_000
+HEAD_BYTES = 32 << 20  # what one broadcast head may take
+ROW_BYTES = 64  # a word, its frequency and a number
 
 
 def most_frequent(table: DataFrame, frequency: str, key: str, n: int) -> DataFrame:
@@ -33,14 +34,18 @@ def most_frequent(table: DataFrame, frequency: str, key: str, n: int) -> DataFra
 
 def lookup(
     rows: DataFrame, table: DataFrame, key: str, frequency: str, how: str = "inner",
-    head_rows: int = HEAD_ROWS,
+    row_bytes: int = ROW_BYTES, head_rows: int | None = None,
 ) -> DataFrame:
     """``rows`` joined (inner or left) to ``table``, which has one row per ``key``.
 
-    ``table`` should be a stored table: its row count decides the strategy.
+    ``table`` should be a stored table: its row count decides the strategy. The
+    head holds as many rows of ``row_bytes`` as fit ``HEAD_BYTES``, unless
+    ``head_rows`` says otherwise.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be 'inner' or 'left', not {how!r}")
+    if head_rows is None:
+        head_rows = max(1, HEAD_BYTES // row_bytes)
     if table.count() <= head_rows:
         return rows.join(F.broadcast(table), key, how)
     head = most_frequent(table, frequency, key, head_rows)

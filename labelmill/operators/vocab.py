@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmill.functions.text import clean_text, words
-from labelmill.operators.lookup import HEAD_ROWS, lookup, most_frequent
+from labelmill.operators.lookup import lookup, most_frequent
 from labelmill.session import stored
 
 # Marker tokens and their ids. Words are lower case, so none can collide.
@@ -58,7 +58,7 @@ def _kept(title: Column, abstract: Column, room: int) -> tuple[Column, Column]:
 
 def encode_pairs(
     papers: DataFrame, vocab: DataFrame, max_length: int = MAX_LENGTH,
-    keep: tuple[str, ...] = (), head_rows: int = HEAD_ROWS,
+    keep: tuple[str, ...] = (), head_rows: int | None = None,
 ) -> DataFrame:
     """``[CLS] title [SEP] abstract [SEP]`` as ids, segment ids and mask; ragged, no padding.
 
@@ -79,7 +79,7 @@ def encode_pairs(
         "id", *keep, (F.col("kt") + 2).alias("first_len"),
         F.posexplode(sequence).alias("pos", "token"),
     )
-    found = lookup(tokens, vocab, "token", "n", "left", head_rows)
+    found = lookup(tokens, vocab, "token", "n", "left", head_rows=head_rows)
     token_id = F.coalesce("token_id", F.lit(UNKNOWN))
     grouped = found.groupBy("id", "first_len").agg(
         F.array_sort(F.collect_list(F.struct("pos", token_id.alias("i")))).alias("seq"),
@@ -98,11 +98,11 @@ def encode_pairs(
 
 
 def decode_tokens(
-    encoded: DataFrame, vocab: DataFrame, ids: str = "input_ids", head_rows: int = HEAD_ROWS
+    encoded: DataFrame, vocab: DataFrame, ids: str = "input_ids", head_rows: int | None = None
 ) -> DataFrame:
     """``(id, text)``: the ids' tokens in order, joined by spaces."""
     places = encoded.select("id", F.posexplode(ids).alias("pos", "token_id"))
-    found = lookup(places, vocab, "token_id", "n", "left", head_rows)
+    found = lookup(places, vocab, "token_id", "n", "left", head_rows=head_rows)
     token = F.coalesce("token", F.lit("[UNK]"))
     return found.groupBy("id").agg(
         F.array_join(

@@ -58,15 +58,18 @@ def encode(papers: DataFrame, vocab: DataFrame, max_length: int = MAX_LENGTH) ->
 
 def prep_job(
     raw: DataFrame, out: str, seed: int = SEED, exact: bool = False,
-    vocab_size: int = VOCAB_SIZE, max_length: int = MAX_LENGTH,
+    vocab_size: int = VOCAB_SIZE, max_length: int = MAX_LENGTH, write_base: bool = True,
 ) -> dict[str, DataFrame]:
     """Run the whole preparation, one write per stage, and return the written stages.
 
-    The vocabulary comes from the train split only.
+    The vocabulary comes from the train split only. Without ``write_base`` the text
+    goes from the snapshot to the taxonomy stage in one pass and is written once.
     """
     spark = raw.sparkSession
-    write_stage(base(raw), f"{out}/base")
-    base_df = read_stage(spark, f"{out}/base", S.BASE)
+    base_df = base(raw)
+    if write_base:
+        write_stage(base_df, f"{out}/base")
+        base_df = read_stage(spark, f"{out}/base", S.BASE)
 
     write_splits(taxonomy(base_df, seed, exact), f"{out}/taxonomy")
     papers = read_stage(spark, f"{out}/taxonomy", S.TAXONOMY)
