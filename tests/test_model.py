@@ -125,7 +125,7 @@ def test_lookup_equals_the_plain_join(spark, how, head_rows):
     table = spark.createDataFrame(
         [("hot", 60, 1), *[(f"k{i}", 4, i) for i in range(5)]], "k string, f int, v int")
     want = rows.join(table, "k", how)
-    got = lookup(rows, table, "k", "f", how, head_rows)
+    got = lookup(rows, table, "k", "f", how, head_rows=head_rows)
     columns = ("n", "k", "f", "v")
     assert sorted(map(str, got.select(*columns).collect())) == sorted(
         map(str, want.select(*columns).collect()))
