@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import quality_rules
+from labelmill.llm import quality_rules, simhash
 from labelmill.llm.words import table
 from labelmill.registry.base import Query
 
@@ -60,3 +60,10 @@ WITH d AS (
 )
 SELECT *, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept FROM f
 """
+
+
+@query
+def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs)
+    return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
