@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import quality_rules, simhash
+from labelmill.llm import quality_rules, sharding, simhash
 from labelmill.llm.words import table
 from labelmill.registry.base import Query
 
@@ -67,3 +67,17 @@ def op8_simhash(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs)
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op1_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = table(spark, sf, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+    )
+    placed = sharding.shuffle_into_shards(rows, 8)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
