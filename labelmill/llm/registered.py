@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import decontaminate, quality_rules, sharding, simhash
+from labelmill.llm import decontaminate, pseudonyms, quality_rules, sharding, simhash
 from labelmill.llm.words import table
 from labelmill.registry.base import Query
 
@@ -125,3 +125,9 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k)
 """
+
+
+@query
+def op5_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymised(docs, pseudonyms.DEMO_KEY)
