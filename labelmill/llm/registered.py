@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import decontaminate, pseudonyms, quality_rules, sharding, simhash
+from labelmill.llm import decontaminate, packing, pseudonyms, quality_rules, sharding, simhash
 from labelmill.llm.words import table
 from labelmill.registry.base import Query
 
@@ -131,3 +131,8 @@ FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k)
 def op5_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymised(docs, pseudonyms.DEMO_KEY)
+
+
+@query
+def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf, "documents").select("doc_id", "text"))
