@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import decontaminate, packing, pseudonyms, quality_rules, sharding, simhash
+from labelmill.llm import (
+    decontaminate, packing, pseudonyms, quality_classifier, quality_rules, sharding, simhash,
+)
 from labelmill.llm.words import table
 from labelmill.registry.base import Query
+from labelmill.session import stored
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +139,11 @@ def op5_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rows = stored(quality_classifier.statistics(docs), "statistics")
+    found = quality_classifier.scored(rows, table(spark, sf, "labels"))
+    return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
