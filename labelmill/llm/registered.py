@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.llm import (
-    decontaminate, packing, pseudonyms, quality_classifier, quality_rules, sharding, simhash,
+    decontaminate, html_main_text, packing, pseudonyms, quality_classifier, quality_rules, sharding, simhash,
 )
 from labelmill.llm.words import table
 from labelmill.registry.base import Query
@@ -147,3 +147,9 @@ def op6_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     rows = stored(quality_classifier.statistics(docs), "statistics")
     found = quality_classifier.scored(rows, table(spark, sf, "labels"))
     return found.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op7_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    found = html_main_text.extracted(table(spark, sf, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
