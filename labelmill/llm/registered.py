@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.llm import (
-    decontaminate, html_main_text, packing, pseudonyms, quality_classifier, quality_rules, sharding, simhash,
+    decontaminate, html_main_text, packing, pseudonyms, quality_classifier, quality_rules, sharding,
+    simhash, url_filter,
 )
 from labelmill.llm.words import table
 from labelmill.registry.base import Query
@@ -153,3 +154,10 @@ def op6_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 def op7_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     found = html_main_text.extracted(table(spark, sf, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op2_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    urls = table(spark, sf, "pages").select("page_id", "url")
+    found = url_filter.judged(urls, url_filter.fit_default(spark))
+    return found.select("page_id", "host", "path", "rule", "verdict", "block_chance")
