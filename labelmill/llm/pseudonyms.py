@@ -284,8 +284,8 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
-def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` with valid values in ``text`` replaced, and how many as ``n_replaced``."""
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | None = "n_replaced") -> DataFrame:
+    """``docs`` with valid values in ``text`` replaced, and how many (unless ``count`` is None)."""
     t = F.col(text)
     none = F.array().cast("array<string>")
     found = F.when(t.rlike(_MAYBE), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(none)
@@ -295,7 +295,7 @@ def pseudonymised(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     ends = F.concat("__pii_fresh", F.array(F.lit("")))
     joined = F.array_join(F.zip_with(between, ends, lambda a, b: F.concat(a, b)), "")
     differ = F.zip_with("__pii_found", "__pii_fresh", lambda a, b: (a != b).cast("bigint"))
-    return rows.withColumns({
-        text: F.when(F.size("__pii_found") > 0, joined).otherwise(t),
-        "n_replaced": F.aggregate(differ, F.lit(0).cast("bigint"), lambda a, x: a + x),
-    }).drop("__pii_found", "__pii_fresh")
+    made = {text: F.when(F.size("__pii_found") > 0, joined).otherwise(t)}
+    if count:
+        made[count] = F.aggregate(differ, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return rows.withColumns(made).drop("__pii_found", "__pii_fresh")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.llm import (
-    decontaminate, html_main_text, packing, pseudonyms, quality_classifier, quality_rules, sharding,
-    simhash, url_filter,
+    chat_pairs, decontaminate, html_main_text, packing, pseudonyms, quality_classifier, quality_rules,
+    sharding, simhash, url_filter,
 )
 from labelmill.llm.words import table
 from labelmill.registry.base import Query
@@ -161,3 +161,72 @@ def op2_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     urls = table(spark, sf, "pages").select("page_id", "url")
     found = url_filter.judged(urls, url_filter.fit_default(spark))
     return found.select("page_id", "host", "path", "rule", "verdict", "block_chance")
+
+
+@query
+def op9_chat_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    found = chat_pairs.preference_pairs(table(spark, sf, "conversations"))
+    return found.withColumns({
+        "chosen_mask": chat_pairs.spans_text("chosen_mask"),
+        "rejected_mask": chat_pairs.spans_text("rejected_mask"),
+    })
+
+
+ORACLES["op9_chat_pairs"] = r"""
+WITH turns AS (
+  SELECT conv_id, list({'turn': turn, 'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS t
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)
+  GROUP BY conv_id
+), c AS (
+  SELECT conv_id, t, coalesce(list_sum(list_transform(
+    list_filter(t, lambda x: x.role = 'assistant'), lambda x: coalesce(length(x.text), 0))), 0) AS said,
+    count(*) OVER (PARTITION BY t[1].role, t[1].text) AS n,
+    ('0x' || substr(md5(conv_id::VARCHAR), 1, 8))::BIGINT AS h
+  FROM turns
+), ranked AS (
+  SELECT conv_id, t,
+    lead(conv_id) OVER w AS next_id, lead(t) OVER w AS next_t
+  FROM c WINDOW w AS (
+    PARTITION BY t[1].role, t[1].text, CASE WHEN n > 1000 THEN h % ceil(n / 1000)::BIGINT ELSE 0 END
+    ORDER BY said DESC, conv_id)
+), pairs AS (
+  SELECT 'opening' AS kind, conv_id AS chosen_id, next_id AS rejected_id, t AS a, next_t AS b
+  FROM ranked WHERE next_id IS NOT NULL
+  UNION ALL
+  SELECT 'stale', conv_id, conv_id, t, list_append(t[:-2], {'turn': t[-1].turn, 'role': t[-1].role,
+    'text': list_filter(t, lambda x: x.role = 'assistant')[-2].text})
+  FROM c WHERE t[-1].role = 'assistant' AND len(list_filter(t, lambda x: x.role = 'assistant')) >= 2
+), lcp AS (
+  SELECT *, coalesce(list_min(list_filter(range(1, greatest(len(a), len(b)) + 1), lambda i:
+      i > len(a) OR i > len(b) OR a[i].role IS DISTINCT FROM b[i].role OR a[i].text IS DISTINCT FROM b[i].text)),
+    len(a) + 1) - 1 AS n
+  FROM pairs
+), shown AS (
+  SELECT kind, chosen_id, rejected_id, n::INTEGER AS n_prompt_turns,
+    list_transform(a, lambda x: '<|' || replace(coalesce(x.role, ''), '<|', '< |') || '|>' || chr(10)) AS ah,
+    list_transform(a, lambda x: replace(coalesce(x.text, ''), '<|', '< |') || '<|end|>') AS ax,
+    list_transform(a, lambda x: coalesce(x.role = 'assistant', false)) AS ao,
+    list_transform(b, lambda x: '<|' || replace(coalesce(x.role, ''), '<|', '< |') || '|>' || chr(10)) AS bh,
+    list_transform(b, lambda x: replace(coalesce(x.text, ''), '<|', '< |') || '<|end|>') AS bx,
+    list_transform(b, lambda x: coalesce(x.role = 'assistant', false)) AS bo
+  FROM lcp
+), parts AS (
+  SELECT *,
+    list_transform(range(1, len(ah) + 1), lambda i: ah[i] || ax[i] || chr(10)) AS pa,
+    list_transform(range(1, len(bh) + 1), lambda i: bh[i] || bx[i] || chr(10)) AS pb
+  FROM shown
+), done AS (
+  SELECT *, array_to_string(pa[:n_prompt_turns], '') AS prompt,
+    array_to_string(pa[n_prompt_turns + 1:], '') AS chosen, array_to_string(pb[n_prompt_turns + 1:], '') AS rejected,
+    array_to_string(list_transform(list_filter(range(n_prompt_turns + 1, len(pa) + 1), lambda i: ao[i]), lambda i:
+      (length(array_to_string(pa[n_prompt_turns + 1:i - 1], '')) + length(ah[i]))::VARCHAR || '-' ||
+      (length(array_to_string(pa[n_prompt_turns + 1:i - 1], '')) + length(ah[i]) + length(ax[i]))::VARCHAR), ',') AS chosen_mask,
+    array_to_string(list_transform(list_filter(range(n_prompt_turns + 1, len(pb) + 1), lambda i: bo[i]), lambda i:
+      (length(array_to_string(pb[n_prompt_turns + 1:i - 1], '')) + length(bh[i]))::VARCHAR || '-' ||
+      (length(array_to_string(pb[n_prompt_turns + 1:i - 1], '')) + length(bh[i]) + length(bx[i]))::VARCHAR), ',') AS rejected_mask
+  FROM parts
+)
+SELECT kind, chosen_id, rejected_id, n_prompt_turns, prompt, chosen, rejected, chosen_mask,
+  rejected_mask, chosen <> '' AND rejected <> '' AND chosen <> rejected AS usable
+FROM done
+"""
