@@ -97,8 +97,13 @@ def failures(rules: dict[str, str] = RULES) -> Column:
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the measures and ``failed_bits``; to be stored before it is filtered."""
-    return measured(docs, text).withColumn("failed_bits", failures())
+    """``docs`` with the measures and ``failed_bits``; worth storing, everything else reads it.
+
+    The row number is never negative. It keeps filters on the bits above the ledger: pushed below
+    it, a condition is spelled out over the text and splits it again for every word.
+    """
+    bits = F.when(F.monotonically_increasing_id() >= 0, failures())
+    return measured(docs, text).withColumn("failed_bits", bits)
 
 
 def passes(policy: str = CURRENT, bits: str = "failed_bits") -> Column:
@@ -136,7 +141,4 @@ def keep_good(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     slim = docs.withColumn("__rules_row", F.struct("*")).select(
         "__rules_row", F.col("__rules_row.text").alias("text")
     )
-    # The row number keeps the filter above the ledger: pushed below it, the condition would be
-    # spelled out over the text and count the words again for every word.
-    rows = ledger(slim).withColumn("__rules_at", F.monotonically_increasing_id())
-    return rows.where(passes(policy) & (F.col("__rules_at") >= 0)).select("__rules_row.*")
+    return ledger(slim).where(passes(policy)).select("__rules_row.*")
