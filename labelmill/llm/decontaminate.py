@@ -7,9 +7,10 @@ postings of the rarest give the candidates (start = position - offset), and the
 lists are intersected with what is left, each shifted by its offset. After the rarest three
 lists the few survivors meet all their other terms in one pass.
 
-The corpus side of a join is never sent: what is broadcast is the test side or the surviving
-candidates, if their measured size allows; beyond it the same join is a shuffle on
-``(row, pos)``, keys of which each occurs once.
+The corpus side of a join is never sent. Before postings are shuffled on ``(row, pos)``, keys of
+which each occurs once, they pass two hashed bit tables: of the terms that are asked for and of the
+documents that still have candidates. A bit table has a fixed size however much it is filled; it
+lets some others through, never keeps one back, and the exact join follows.
 
 Null and empty texts have no words, no hits and an empty item list. Rows are told apart by a
 number of their own, so repeated rows and equal or null keys get one result row each. Items
@@ -19,7 +20,7 @@ benchmark gives rows without hits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.llm.words import alnum_words
@@ -28,6 +29,7 @@ from labelmill.session import stored
 WINDOW = 10
 LISTS = 3  # intersected one by one before the rest are met at once
 BROADCAST_BYTES = 32 << 20
+FILTER_BITS = 1 << 25  # in words of 64, so a table of at most half a million rows
 _AT = ["row", "pos", "term"]
 
 
@@ -40,11 +42,32 @@ def _sent(rows: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(rows) if _fits(rows, row_bytes) else rows
 
 
+def _bit(column: str) -> tuple[Column, Column]:
+    """The word of a bit table that a value falls in, and its bit."""
+    at = F.pmod(F.xxhash64(column, F.lit("bit")), F.lit(FILTER_BITS))
+    return F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
+
+
+def _maybe_in(rows: DataFrame, column: str, wanted: DataFrame, always: Column | None = None) -> DataFrame:
+    """``rows`` whose ``column`` is in ``wanted`` or that are ``always`` kept, and a few others."""
+    word, bit = _bit(column)
+    bits = wanted.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(
+        F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits")
+    )
+    told = rows.withColumns({"__word": word, "__bit": bit})
+    kept = F.expr("getbit(__bits, __bit) = 1")
+    if always is None:
+        told = told.join(F.broadcast(bits), "__word").where(kept)
+    else:
+        told = told.join(F.broadcast(bits), "__word", "left").where(always | kept)
+    return told.drop("__word", "__bit", "__bits")
+
+
 def build_index(docs: DataFrame, key: str, text: str, vocabulary: DataFrame | None = None) -> DataFrame:
     """Postings ``(row, pos, term)`` of all texts, and a row ``(row, key, n_words)`` per document.
 
-    With ``vocabulary(term)`` only its terms are stored: all that a known test set can ask for.
-    A document's own row has a null ``term``.
+    With ``vocabulary(term)`` only its terms (and a few others) are stored: all that a known test
+    set can ask for. A document's own row has a null ``term``.
     """
     words = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"),
@@ -59,16 +82,8 @@ def build_index(docs: DataFrame, key: str, text: str, vocabulary: DataFrame | No
         (F.col("at") - 1).alias("pos"), F.when(~own, F.xxhash64("word")).alias("term"),
     )
     if vocabulary is not None:
-        known = stored(vocabulary.select(F.col("term").alias("known")).distinct(), "vocabulary")
-        if _fits(known, 64):
-            postings = postings.join(F.broadcast(known), F.col("term") == F.col("known"), "left")
-        else:
-            # Frequent terms are salted by position; the vocabulary is repeated for each salt.
-            salts = F.explode(F.sequence(F.lit(0), F.lit(31))).alias("salt")
-            salted = known.select("known", salts)
-            same = (F.col("term") == F.col("known")) & (F.pmod("pos", F.lit(32)) == F.col("salt"))
-            postings = postings.join(salted, same, "left").drop("salt")
-        postings = postings.where("term IS NULL OR known IS NOT NULL").drop("known")
+        known = stored(vocabulary.select("term").distinct(), "vocabulary")
+        postings = _maybe_in(postings, "term", known, always=F.col("term").isNull())
     return stored(postings, "index")
 
 
@@ -100,12 +115,10 @@ def _by_rarity(index: DataFrame, terms: DataFrame) -> DataFrame:
 
 def _met(index: DataFrame, expected: DataFrame) -> DataFrame:
     """Rows of ``expected(row, pos, term, ...)`` that the index has."""
-    postings = index.where("term IS NOT NULL").select(*_AT)
     expected = stored(expected, "expected")
-    if _fits(expected, 96):
-        return postings.join(F.broadcast(expected), _AT)
-    asked = stored(expected.select("term").distinct(), "asked")
-    return postings.join(_sent(asked, 64), "term", "left_semi").join(expected, _AT)
+    postings = index.where("term IS NOT NULL").select(*_AT)
+    postings = _maybe_in(_maybe_in(postings, "row", expected), "term", expected)
+    return postings.join(expected, _AT)
 
 
 def phrase_matches(index: DataFrame, terms: DataFrame) -> DataFrame:
