@@ -82,15 +82,13 @@ def grams(host: str, path: str) -> Column:
     """Character n-grams, those of the host told from those of the path."""
 
     def of(text: Column, mark: str) -> Column:
-        held = F.concat(F.lit("^"), text, F.lit("$"))
-        sizes = [
-            F.when(F.length(held) >= n, F.transform(
-                F.sequence(F.lit(1), F.length(held) - n + 1),
-                lambda i, n=n: F.concat(F.lit(mark), F.substr(held, i, F.lit(n))),
-            )).otherwise(F.array().cast("array<string>"))
-            for n in SIZES
-        ]
-        return F.concat(*sizes)
+        def of_size(chars: Column, n: int) -> Column:
+            starts = F.sequence(F.lit(0), F.size(chars) - n)
+            made = F.transform(starts, lambda i: F.concat(F.lit(mark), *[F.get(chars, i + k) for k in range(n)]))
+            return F.when(F.size(chars) >= n, made).otherwise(F.array().cast("array<string>"))
+
+        chars = F.regexp_extract_all(F.concat(F.lit("^"), text, F.lit("$")), F.lit("(?s)."), F.lit(0))
+        return F.transform(F.array(chars), lambda c: F.concat(*[of_size(c, n) for n in SIZES]))[0]
 
     return F.concat(of(F.col(host), "h:"), of(F.col(path), "p:"))
 
