@@ -175,7 +175,7 @@ def _compared(radius: int, limit: int):
         sizes = np.diff(np.r_[starts, len(bucket)])
         upto = np.repeat(starts + sizes, sizes)
         root = _roots(len(fp), close_pairs(fp.view(np.uint64), upto, radius))
-        linked = root != np.arange(len(fp))
+        linked = fp[root] != fp  # a print may sit in several buckets of one block
         if linked.any():
             yield out(pa.nulls(int(linked.sum()), pa.int64()), fp[linked], fp[root[linked]])
 
