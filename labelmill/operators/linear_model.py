@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from labelmill.functions.scoring import sigmoid_array
 from labelmill.functions.taxonomy import LABELS, label_name
 from labelmill.functions.text import paper_words
-from labelmill.operators.lookup import ROW_BYTES, lookup
+from labelmill.operators.bits import flag_possible
+from labelmill.operators.lookup import ROW_BYTES, split_table
+from labelmill.operators.rows import ROW, numbered
 from labelmill.session import stored
 
-MIN_PAPERS = 5
 SMOOTHING = 1.0
 LOGIT_DIGITS = 9
 NO_WORD = ""  # one such row per paper carries papers without a known word
@@ -90,10 +91,13 @@ def pos_weight_summary(weights: DataFrame) -> DataFrame:
 
 
 def train_linear(
-    papers: DataFrame, labels: list[str] | None = None, min_papers: int = MIN_PAPERS,
+    papers: DataFrame, labels: list[str] | None = None, min_papers: int = 1,
     smoothing: float = SMOOTHING, y: str = "y",
 ) -> LinearModel:
-    """Fit on frames with ``title``, ``abstract`` and a multi-hot ``y``."""
+    """Fit on frames with ``title``, ``abstract`` and a multi-hot ``y``.
+
+    Every word gets a weight; ``min_papers`` leaves out words of fewer papers if asked to.
+    """
     labels = LABELS if labels is None else labels
     k, a = len(labels), F.lit(smoothing)
     totals = class_counts(papers, k, y)
@@ -105,8 +109,9 @@ def train_linear(
             F.count(F.lit(1)).alias("df"),
             F.array(*[F.sum(F.get("y", F.lit(i))) for i in range(k)]).alias("inside"),
         )
-        .where(F.col("df") >= min_papers)
     )
+    if min_papers > 1:
+        per_word = per_word.where(F.col("df") >= min_papers)
     n, inside = F.col("t.n"), F.col("inside")
     weights = per_word.withColumn("t", totals.select(F.struct("n", "pos")).scalar()).select(
         "token", "df",
@@ -129,34 +134,47 @@ def train_linear(
 
 
 def score_linear(
-    papers: DataFrame, model: LinearModel, key: str = "id", head_rows: int | None = None
+    papers: DataFrame, model: LinearModel, key: str | None = None, keep: tuple[str, ...] = ("id",),
+    head_rows: int | None = None,
 ) -> DataFrame:
-    """``(key, logit, prob)`` vectors for every distinct key.
+    """``(*keep, logit, prob)`` for every row of ``papers``; ids may repeat.
 
     logit = bias + (sum of the weights of the paper's known words) / sqrt(their number).
-    A paper's words leave the join inside the task that read it, so the sums
-    combine there and one short row per paper is shuffled. Rows that share a key
-    must be copies of one text; they are scored once.
+    The text is split once. A paper's words meet the broadcast head inside the task that read it,
+    so the sums combine there and one short row per paper is shuffled; words beyond the head are
+    gathered per paper and meet the tail in a second, smaller step. ``key`` names a column
+    that is unique already, which spares writing the rows with a number first.
     """
+    if key is None:
+        papers, key = numbered(papers.select(*dict.fromkeys(["title", "abstract", *keep]))), ROW
     k = len(model.labels)
+    head, tail = split_table(model.weights.select("token", "df", "w"), "token", "df", ROW_BYTES + 8 * k, head_rows)
     marked = F.concat(F.array(F.lit(NO_WORD)), F.array_distinct(paper_words()))
-    tokens = papers.select(key, F.explode(marked).alias("token"))
-    blank = papers.sparkSession.createDataFrame(
-        [(NO_WORD, 1 << 62, [0.0] * k)], "token string, df bigint, w array<double>"
-    )
-    table = model.weights.select("token", "df", "w").unionByName(blank)
-    hits = lookup(tokens, table, "token", "df", "inner", ROW_BYTES + 8 * k, head_rows)
-    sums = hits.groupBy(key).agg(
-        F.count_if(F.col("token") == NO_WORD).alias("copies"),
-        F.count_if(F.col("token") != NO_WORD).alias("known"),
-        *[F.sum(F.get("w", F.lit(i))).alias(f"s{i}") for i in range(k)],
-    )
-    copies = F.col("copies")
-    scale = F.greatest(F.sqrt(F.col("known") / copies), F.lit(1.0)) * copies
-    total = F.array(*[F.col(f"s{i}") / scale for i in range(k)])
+    tokens = papers.select(F.col(key).alias(ROW), F.explode(marked).alias("token"))
+    met = tokens.join(F.broadcast(head), "token", "left")
+
+    def sums(known: Column, weight: list[Column]) -> list[Column]:
+        own = [F.coalesce(F.sum(w), F.lit(0.0)).alias(f"s{i}") for i, w in enumerate(weight)]
+        return [F.coalesce(F.sum(known), F.lit(0)).alias("known"), *own]
+
+    each = [F.get("w", F.lit(i)) for i in range(k)]
+    hit = F.when(F.col("w").isNotNull(), 1).otherwise(0)
+    if tail is None:
+        total = met.groupBy(ROW).agg(*sums(hit, each))
+    else:
+        other = F.when(F.col("w").isNull() & (F.col("token") != NO_WORD), F.col("token"))
+        part = stored(met.groupBy(ROW).agg(*sums(hit, each), F.collect_list(other).alias("rest")), "head-sums")
+        rest = flag_possible(part.select(ROW, F.explode("rest").alias("token")), tail, "token", "__possible")
+        late = rest.where("__possible").drop("__possible").join(tail, "token").groupBy(ROW).agg(*sums(hit, each))
+        both = part.drop("rest").unionByName(late)
+        total = both.groupBy(ROW).agg(*sums(F.col("known"), [F.col(f"s{i}") for i in range(k)]))
+    scale = F.greatest(F.sqrt("known"), F.lit(1.0))
+    vector = F.array(*[F.col(f"s{i}") / scale for i in range(k)])
     # Rounding absorbs the order in which the weights were added, so equal texts score equal.
     logit = F.zip_with("total", "bias", lambda s, b: F.round(s + b, LOGIT_DIGITS))
-    ready = sums.select(key, total.alias("total")).withColumn("bias", model.bias_vector())
-    return ready.select(key, logit.alias("logit")).withColumn(
-        "prob", sigmoid_array(F.col("logit"))
-    )
+    ready = total.select(ROW, vector.alias("total")).withColumn("bias", model.bias_vector())
+    scored = ready.select(ROW, logit.alias("logit")).withColumn("prob", sigmoid_array(F.col("logit")))
+    if list(keep) == [key]:
+        return scored.withColumnRenamed(ROW, key)
+    kept = papers.select(F.col(key).alias("__key"), *keep).withColumnRenamed("__key", ROW)
+    return kept.join(scored, ROW).drop(ROW)

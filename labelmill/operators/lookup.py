@@ -12,8 +12,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelmill.operators.bits import flag_possible
+
 HEAD_BYTES = 32 << 20  # what one broadcast head may take
-ROW_BYTES = 64  # a word, its frequency and a number
+ROW_BYTES = 48  # a row beside the bytes of its key
+LONG_KEY = 256  # bytes; longer keys are never in the head
 
 
 def most_frequent(table: DataFrame, frequency: str, key: str, n: int) -> DataFrame:
@@ -32,24 +35,50 @@ def most_frequent(table: DataFrame, frequency: str, key: str, n: int) -> DataFra
     return kept.orderBy(F.desc(frequency), key).limit(n)
 
 
+def _key_bytes(key: str):
+    return F.octet_length(F.col(key).cast("string"))
+
+
+def split_table(
+    table: DataFrame, key: str, frequency: str, row_bytes: int = ROW_BYTES, head_rows: int | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """The head of a stored table that may be broadcast, and the tail (None if there is none).
+
+    One pass measures the table: rows, and the bytes of their keys.
+    """
+    n, key_bytes = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(_key_bytes(key)), F.lit(0))).first()
+    if head_rows is None:
+        if n * row_bytes + key_bytes <= HEAD_BYTES:
+            return table, None
+        head_rows = HEAD_BYTES // (row_bytes + LONG_KEY)
+    elif n <= head_rows:
+        return table, None
+    short = table.where(_key_bytes(key) <= LONG_KEY)
+    head = most_frequent(short, frequency, key, head_rows)
+    return head, table.join(F.broadcast(head.select(key)), key, "left_anti")
+
+
 def lookup(
     rows: DataFrame, table: DataFrame, key: str, frequency: str, how: str = "inner",
     row_bytes: int = ROW_BYTES, head_rows: int | None = None,
 ) -> DataFrame:
     """``rows`` joined (inner or left) to ``table``, which has one row per ``key``.
 
-    ``table`` should be a stored table: its row count decides the strategy. The
-    head holds as many rows of ``row_bytes`` as fit ``HEAD_BYTES``, unless
-    ``head_rows`` says otherwise.
+    ``table`` should be a stored table: its measured size decides the strategy. The head takes
+    ``HEAD_BYTES`` at most, or ``head_rows`` rows. Rows whose key is surely not in the tail, which
+    may be many copies of one key, are not shuffled.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how must be 'inner' or 'left', not {how!r}")
-    if head_rows is None:
-        head_rows = max(1, HEAD_BYTES // row_bytes)
-    if table.count() <= head_rows:
+    head, tail = split_table(table, key, frequency, row_bytes, head_rows)
+    if tail is None:
         return rows.join(F.broadcast(table), key, how)
-    head = most_frequent(table, frequency, key, head_rows)
-    tail = table.join(F.broadcast(head.select(key)), key, "left_anti")
     common = rows.join(F.broadcast(head), key)
-    rare = rows.join(F.broadcast(head.select(key)), key, "left_anti").join(tail, key, how)
-    return common.unionByName(rare)
+    rest = rows.join(F.broadcast(head.select(key)), key, "left_anti")
+    told = flag_possible(rest, tail, key, "__possible")
+    rare = told.where("__possible").drop("__possible").join(tail, key, how)
+    found = common.unionByName(rare)
+    if how == "inner":
+        return found
+    absent = told.where("NOT __possible").drop("__possible")
+    return found.unionByName(absent, allowMissingColumns=True)

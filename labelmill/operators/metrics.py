@@ -1,8 +1,8 @@
 """Multi-label metrics over scored papers.
 
 A scored frame holds one row per paper with dense vectors ``y`` and ``prob``
-over the class list. Counting explodes them and sums per class, so each task
-sends one row per class to the shuffle whatever the number of papers.
+over the class list. Counting sums over array places, so each task sends one row
+to the shuffle whatever the number of papers.
 """
 
 from __future__ import annotations
@@ -11,32 +11,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.functions.scoring import predict, threshold_vector
-from labelmill.functions.taxonomy import label_array, label_name
+from labelmill.functions.taxonomy import LABELS, label_array, label_name
 
 
 def _ratio(num: Column, den: Column) -> Column:
     return F.when(den == 0, 0.0).otherwise(num / den)
 
 
-def _cells(scored: DataFrame, pred: Column, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Long ``(*keep, hit, idx, y, p)`` rows, one per paper and class."""
-    paper = scored.select(*keep, F.col("y"), pred.alias("p"))
+def _counts(df: DataFrame, pred: Column, n: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(*by, idx, tp, fp, fn, support, hits, papers)``: sums over array places, one row per paper."""
+    paper = df.select(*by, F.col("y"), pred.alias("p"))
     hit = F.exists(F.zip_with("y", "p", lambda y, p: (y == 1) & p), lambda x: x)
-    cells = paper.select(
-        *keep, hit.alias("hit"), F.posexplode(F.arrays_zip("y", "p")).alias("idx", "cell")
-    )
-    return cells.select(
-        *keep, "hit", "idx", (F.col("cell.y") == 1).alias("y"), F.col("cell.p").alias("p")
-    )
 
+    def cell(i: int) -> Column:
+        y, p = F.get("y", F.lit(i)) == 1, F.get("p", F.lit(i))
+        return F.struct(
+            F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"),
+            F.count_if(y & ~p).alias("fn"), F.count_if(y).alias("support"),
+        )
 
-def _count(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    y, p = F.col("y"), F.col("p")
-    return cells.groupBy(*by, "idx").agg(
-        F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"),
-        F.count_if(y & ~p).alias("fn"), F.count_if(y).alias("support"),
+    sums = paper.withColumn("hit", hit).groupBy(*by).agg(
+        F.array(*[cell(i) for i in range(n)]).alias("cells"),
         F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("papers"),
     )
+    return sums.where("papers > 0").select(*by, F.posexplode("cells").alias("idx", "c"), "hits", "papers").select(
+        *by, "idx", "c.*", "hits", "papers"
+    )
 
 
 def confusion(
@@ -47,7 +47,8 @@ def confusion(
     ``hits`` and ``papers`` repeat on every class: papers with a correct tag, and all papers.
     """
     ready = scored.withColumn("t", threshold_vector(thresholds, labels))
-    counts = _count(_cells(ready, predict(F.col("prob"), F.col("t"), inclusive)))
+    n = len(LABELS if labels is None else labels)
+    counts = _counts(ready, predict(F.col("prob"), F.col("t"), inclusive), n)
     return counts.withColumn("label", label_name(F.col("idx"), labels))
 
 
@@ -121,30 +122,26 @@ def compare_thresholds(
     each = scored.withColumns(vectors).select("y", F.explode(variants).alias("v")).select(
         "y", F.col("v.policy").alias("policy"), F.col("v.pred").alias("pred")
     )
-    counts = _count(_cells(each, F.col("pred"), ("policy",)), ("policy",))
+    counts = _counts(each, F.col("pred"), len(LABELS if labels is None else labels), ("policy",))
     return prf_per_class(counts).groupBy("policy").agg(
         F.avg("f1").alias("f1_macro"), _weighted_f1().alias("f1_weighted")
     )
 
 
-def tag_metrics(tagged: DataFrame, labels: list[str] | None = None) -> DataFrame:
-    """Quick metrics of tagged papers: micro P/R/F1, hit rate, and the papers they cover.
+def tag_sums(labels: list[str] | None = None) -> list[Column]:
+    """Sums behind the quick metrics, over rows with ``true_tags`` and ``predicted_tags``."""
+    known, judged = label_array(labels), F.col("true_tags").isNotNull()
+    t, p = F.array_intersect("true_tags", known), F.array_intersect("predicted_tags", known)
+    both = F.size(F.array_intersect(t, p))
+    sums = {"tp": both, "fp": F.size(p) - both, "fn": F.size(t) - both}
+    hit = judged & F.arrays_overlap("true_tags", "predicted_tags")
+    return [
+        *[F.sum(F.when(judged, x)).alias(n) for n, x in sums.items()],
+        F.count_if(hit).alias("hits"), F.count_if(judged).alias("papers"),
+    ]
 
-    Only rows whose ``true_tags`` is not null count. Tags outside the class list
-    are ignored by P/R/F1 but a shared one still makes a hit.
-    """
-    known = label_array(labels)
-    rows = tagged.where(F.col("true_tags").isNotNull()).select(
-        F.array_intersect("true_tags", known).alias("t"),
-        F.array_intersect("predicted_tags", known).alias("p"),
-        F.arrays_overlap("true_tags", "predicted_tags").alias("hit"),
-    )
-    both = F.size(F.array_intersect("t", "p"))
-    sums = rows.agg(
-        F.sum(both).alias("tp"), F.sum(F.size("p") - both).alias("fp"),
-        F.sum(F.size("t") - both).alias("fn"), F.count_if("hit").alias("hits"),
-        F.count(F.lit(1)).alias("papers"),
-    )
+
+def tag_ratios(sums: DataFrame) -> DataFrame:
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return sums.select(
         "papers",
@@ -155,6 +152,15 @@ def tag_metrics(tagged: DataFrame, labels: list[str] | None = None) -> DataFrame
     )
 
 
+def tag_metrics(tagged: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """Quick metrics of tagged papers: micro P/R/F1, hit rate, and the papers they cover.
+
+    Only rows whose ``true_tags`` is not null count. Tags outside the class list
+    are ignored by P/R/F1 but a shared one still makes a hit.
+    """
+    return tag_ratios(tagged.agg(*tag_sums(labels)))
+
+
 def tag_intersection(predicted: Column, true: Column) -> Column:
     return F.array_intersect(predicted, true)
 
@@ -171,10 +177,13 @@ def weighted_bce(scored: DataFrame, pos_weight: Column) -> DataFrame:
     logits neither overflow nor lose the small term.
     """
     cell = F.arrays_zip("y", "logit", pos_weight.alias("w"))
-    cells = scored.select(F.explode(cell).alias("c")).select("c.y", "c.logit", "c.w")
-    x, y, w = F.col("logit"), F.col("y"), F.col("w")
 
     def softplus(v: Column) -> Column:
         return F.greatest(v, F.lit(0.0)) + F.log1p(F.exp(-F.abs(v)))
 
-    return cells.agg(F.avg(w * y * softplus(-x) + (1 - y) * softplus(x)).alias("loss"))
+    def loss(c: Column) -> Column:
+        return c["w"] * c["y"] * softplus(-c["logit"]) + (1 - c["y"]) * softplus(c["logit"])
+
+    rows = scored.select(cell.alias("cell"))
+    own = F.aggregate("cell", F.lit(0.0), lambda a, c: a + loss(c))
+    return rows.agg((F.sum(own) / F.sum(F.size("cell"))).alias("loss"))

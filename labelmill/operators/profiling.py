@@ -162,12 +162,16 @@ def unmapped_codes(df: DataFrame, codes: DataFrame, column: str = "categories")
 
 
 def join_codes(df: DataFrame, codes: DataFrame, column: str = "categories") -> DataFrame:
-    """Distinct ``(id, label)`` rows: the join form of the code lookup.
+    """``(id, label)`` rows, each label of a paper once: the join form of the code lookup.
 
-    The code table is small enough for Catalyst to broadcast on its own statistics.
+    The code table (one row per known code) becomes one map that every row meets, so repeats are
+    removed inside the row and nothing is exchanged; papers that share an id stay apart.
     """
-    exploded = df.select("id", F.explode(F.array_distinct(column)).alias("code"))
-    return exploded.join(codes, "code").select("id", "label").distinct()
+    pairs = codes.agg(F.map_from_entries(F.collect_list(F.struct("code", "label"))).alias("m"))
+    known = df.withColumn("__codes", pairs.scalar())
+    labels = F.transform(column, lambda c: F.try_element_at("__codes", c))
+    own = F.array_distinct(F.array_compact(labels))
+    return known.select("id", F.explode(own).alias("label"))
 
 
 def label_grid(df: DataFrame, y: str = "y") -> DataFrame:

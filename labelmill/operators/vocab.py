@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.functions.text import clean_text, words
-from labelmill.operators.lookup import lookup, most_frequent
+from labelmill.operators.lookup import lookup
+from labelmill.operators.rows import ROW, numbered, ranked_rows
 from labelmill.session import stored
 
 # Marker tokens and their ids. Words are lower case, so none can collide.
 SPECIAL_TOKENS = {"[PAD]": 0, "[UNK]": 1, "[CLS]": 2, "[SEP]": 3}
 UNKNOWN = SPECIAL_TOKENS["[UNK]"]
-MAX_LENGTH = 512
-VOCAB_SIZE = 30_000
+MAX_LENGTH = 512  # fixed value: the longest encoded pair
 
 
 def build_vocab(
-    papers: DataFrame, size: int = VOCAB_SIZE, columns: tuple[str, ...] = ("title", "abstract")
+    papers: DataFrame, size: int | None = None, columns: tuple[str, ...] = ("title", "abstract")
 ) -> DataFrame:
-    """``(token, token_id, n)``: the ``size`` most frequent words after the marker tokens.
+    """``(token, token_id, n)``: all words after the marker tokens, the most frequent first.
 
-    Counting combines inside each task first, and the counts are written once. The
-    cut is a top-k, so at most ``size`` rows reach the numbering window.
+    Only the ``size`` most frequent if a size is asked for. Counting combines inside each task
+    first, and numbering is spread over ranges of the order.
     """
     text = F.concat_ws(" ", *[clean_text(F.col(c)) for c in columns])
     counted = stored(
@@ -31,15 +31,15 @@ def build_vocab(
         "word-counts",
     )
     order = [F.desc("n"), F.asc("token")]
-    top = most_frequent(counted, "n", "token", size)
-    first = len(SPECIAL_TOKENS)
-    numbered = top.select(
-        "token", (F.row_number().over(Window.orderBy(*order)) + (first - 1)).alias("token_id"), "n"
-    )
+    ranked = ranked_rows(counted, order, "place")
+    if size is not None:
+        ranked = ranked.where(F.col("place") <= size)
+    token_id = (F.col("place") + (len(SPECIAL_TOKENS) - 1)).cast("int")
+    words_of = ranked.select("token", token_id.alias("token_id"), "n")
     marks = papers.sparkSession.createDataFrame(
         [(t, i, 0) for t, i in SPECIAL_TOKENS.items()], "token string, token_id int, n bigint"
     )
-    return marks.unionByName(numbered)
+    return marks.unionByName(words_of)
 
 
 def _kept(title: Column, abstract: Column, room: int) -> tuple[Column, Column]:
@@ -58,16 +58,20 @@ def _kept(title: Column, abstract: Column, room: int) -> tuple[Column, Column]:
 
 def encode_pairs(
     papers: DataFrame, vocab: DataFrame, max_length: int = MAX_LENGTH,
-    keep: tuple[str, ...] = (), head_rows: int | None = None,
+    keep: tuple[str, ...] = (), head_rows: int | None = None, key: str | None = None,
 ) -> DataFrame:
     """``[CLS] title [SEP] abstract [SEP]`` as ids, segment ids and mask; ragged, no padding.
 
-    Truncation happens in the row, before the vocabulary join, so at most
-    ``max_length`` rows per paper are joined and regrouped.
+    Truncation happens in the row, before the vocabulary join, so at most ``max_length`` rows per
+    paper are joined and regrouped. Those rows hold a row number, a place and a word; ``id`` and
+    ``keep`` join back on the number. ``key`` names a column that is unique already, which
+    spares writing the rows once; ids may repeat.
     """
+    columns = list(dict.fromkeys(["id", *keep]))
+    if key is None:
+        papers, key = numbered(papers.select("title", "abstract", *columns)), ROW
     sides = papers.select(
-        "id", *keep, words(clean_text(F.col("title"))).alias("t"),
-        words(clean_text(F.col("abstract"))).alias("a"),
+        key, words(clean_text(F.col("title"))).alias("t"), words(clean_text(F.col("abstract"))).alias("a"),
     )
     kt, ka = _kept(F.col("t"), F.col("a"), max_length - 3)
     sides = sides.withColumns({"kt": kt, "ka": ka})
@@ -75,40 +79,39 @@ def encode_pairs(
         F.array(F.lit("[CLS]")), F.slice("t", 1, F.col("kt")), F.array(F.lit("[SEP]")),
         F.slice("a", 1, F.col("ka")), F.array(F.lit("[SEP]")),
     )
-    tokens = sides.select(
-        "id", *keep, (F.col("kt") + 2).alias("first_len"),
-        F.posexplode(sequence).alias("pos", "token"),
-    )
+    tokens = sides.select(key, (F.col("kt") + 2).alias("first_len"), F.posexplode(sequence).alias("pos", "token"))
     found = lookup(tokens, vocab, "token", "n", "left", head_rows=head_rows)
-    token_id = F.coalesce("token_id", F.lit(UNKNOWN))
-    grouped = found.groupBy("id", "first_len").agg(
-        F.array_sort(F.collect_list(F.struct("pos", token_id.alias("i")))).alias("seq"),
-        *[F.first(c).alias(c) for c in keep],
+    # Place and id in one number: sorting the numbers sorts the places.
+    packed = F.shiftleft(F.col("pos").cast("bigint"), 32) + F.coalesce("token_id", F.lit(UNKNOWN))
+    grouped = found.groupBy(key).agg(
+        F.sort_array(F.collect_list(packed)).alias("seq"), F.max("first_len").alias("first_len"),
     )
-    ids = F.transform("seq", lambda s: s["i"])
     n = F.size("seq")
-    return grouped.select(
-        "id", *keep, ids.alias("input_ids"),
+    made = grouped.select(
+        key, F.transform("seq", lambda s: s.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("input_ids"),
         F.concat(
             F.array_repeat(F.lit(0), F.col("first_len")),
             F.array_repeat(F.lit(1), n - F.col("first_len")),
         ).alias("token_type_ids"),
         F.array_repeat(F.lit(1), n).alias("attention_mask"),
     )
+    kept = papers.select(F.col(key).alias(ROW), *columns).join(made.withColumnRenamed(key, ROW), ROW)
+    return kept.drop(ROW)
 
 
 def decode_tokens(
-    encoded: DataFrame, vocab: DataFrame, ids: str = "input_ids", head_rows: int | None = None
+    encoded: DataFrame, vocab: DataFrame, ids: str = "input_ids", head_rows: int | None = None,
+    key: str | None = None,
 ) -> DataFrame:
-    """``(id, text)``: the ids' tokens in order, joined by spaces."""
-    places = encoded.select("id", F.posexplode(ids).alias("pos", "token_id"))
+    """``(id, text)``: the ids' tokens in order, joined by spaces; ids of rows may repeat."""
+    if key is None:
+        encoded, key = numbered(encoded.select("id", ids)), ROW
+    places = encoded.select(key, F.posexplode(ids).alias("pos", "token_id"))
     found = lookup(places, vocab, "token_id", "n", "left", head_rows=head_rows)
     token = F.coalesce("token", F.lit("[UNK]"))
-    return found.groupBy("id").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("pos", token.alias("t")))), lambda s: s["t"]
-            ),
-            " ",
-        ).alias("text")
+    told = found.groupBy(key).agg(F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", token.alias("t")))), lambda s: s["t"]), " ",
+    ).alias("text"))
+    return encoded.select(F.col(key).alias(ROW), "id").join(told.withColumnRenamed(key, ROW), ROW, "left").select(
+        "id", F.coalesce("text", F.lit("")).alias("text")
     )

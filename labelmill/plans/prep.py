@@ -10,10 +10,11 @@ from labelmill.functions.hashing import hash_split
 from labelmill.functions.taxonomy import LABELS, codes_to_labels, has_label, multihot
 from labelmill.functions.text import clean_papers, split_categories
 from labelmill.operators.sampling import exact_split
-from labelmill.operators.vocab import MAX_LENGTH, VOCAB_SIZE, build_vocab, encode_pairs
+from labelmill.operators.vocab import MAX_LENGTH, build_vocab, encode_pairs
 from labelmill.sources.readers import read_stage
 from labelmill.sources.writers import write_report, write_splits, write_stage
 
+# The fields of the raw data that are kept.
 BASE_COLUMNS = ("id", "title", "abstract", "categories", "authors", "update_date")
 TEXT_COLUMNS = BASE_COLUMNS  # what the encoded stage drops
 SEED = 42
@@ -58,7 +59,7 @@ def encode(papers: DataFrame, vocab: DataFrame, max_length: int = MAX_LENGTH) ->
 
 def prep_job(
     raw: DataFrame, out: str, seed: int = SEED, exact: bool = False,
-    vocab_size: int = VOCAB_SIZE, max_length: int = MAX_LENGTH, write_base: bool = True,
+    vocab_size: int | None = None, max_length: int = MAX_LENGTH, write_base: bool = True,
 ) -> dict[str, DataFrame]:
     """Run the whole preparation, one write per stage, and return the written stages.
 
@@ -88,8 +89,8 @@ def prep_job(
     write_report(
         one.select(
             F.lit(seed).alias("seed"), F.lit(max_length).alias("max_length"),
-            F.lit(vocab_size).alias("vocab_size"), F.lit(f"{out}/taxonomy").alias("dataset_path"),
-            F.lit(f"{out}/encoded").alias("output_dir"),
+            F.lit(vocab_size).cast("int").alias("vocab_size"), F.lit(f"{out}/taxonomy").alias("papers"),
+            F.lit(f"{out}/encoded").alias("encoded"),
         ),
         f"{out}/encoding_meta",
     )

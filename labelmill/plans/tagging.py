@@ -4,25 +4,19 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from labelmill.functions.records import default_fields, resolve_id
 from labelmill.functions.scoring import predicted_tags, tag_probabilities, threshold_vector
 from labelmill.functions.taxonomy import multihot_to_labels
 from labelmill.operators.linear_model import LinearModel, score_linear
-from labelmill.operators.metrics import tag_metrics
+from labelmill.operators.metrics import tag_ratios, tag_sums
+from labelmill.operators.rows import ROW
 from labelmill.operators.sampling import limit_records
-from labelmill.session import stored
 from labelmill.sources.writers import write_predictions
 
 
-def content_key() -> Column:
-    """A key for records whose id may be missing or repeated: the same text, the same key."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("id", "title", "abstract")]
-    return F.md5(F.concat_ws("\x1f", *parts))
-
-
 def join_predictions(records: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:
     """Records with their predictions, matched by key rather than by position."""
     return records.join(predictions, key)
@@ -42,25 +36,21 @@ def add_tags(
 
 
 def tag_papers(
-    papers: DataFrame, model: LinearModel, thresholds=None, key: str = "id",
-    inclusive: bool = False, keep_scores: bool = False,
+    papers: DataFrame, model: LinearModel, thresholds=None, key: str | None = None,
+    inclusive: bool = False, keep_input: bool = False,
 ) -> DataFrame:
-    """``papers`` without the abstract, plus predicted tags and probabilities.
+    """``papers`` without the abstract (unless ``keep_input``), plus predicted tags and probabilities.
 
-    The same call serves one row or a corpus, batch or micro-batch. The abstract
-    is read by the scoring side only; what joins back is the short columns.
-    ``keep_scores`` writes the scores to the shared folder first, which pays when
-    copies of one text are so many that the join back needs AQE's skew handling.
+    The same call serves one row or a corpus, batch or micro-batch. Every row is tagged for
+    itself, whatever its id. ``key`` names a column that is unique already, if there is one.
     """
-    scored = score_linear(papers, model, key)
-    if keep_scores:
-        scored = stored(scored, "scores")
-    tags = add_tags(scored, thresholds, model.labels, inclusive).drop("logit", "prob")
-    return join_predictions(papers.drop("abstract"), tags, key)
+    keep = tuple(c for c in papers.columns if (keep_input or c != "abstract") and c not in (key, ROW))
+    scored = score_linear(papers, model, key, keep)
+    return add_tags(scored, thresholds, model.labels, inclusive).drop("logit", "prob")
 
 
 def as_records(df: DataFrame) -> DataFrame:
-    """Raw records in the tagging shape: resolved id, defaulted text, ``true_tags``, ``key``.
+    """Raw records in the tagging shape: resolved id, defaulted text, ``true_tags``.
 
     ``labels`` given as a multi-hot vector is decoded to names.
     """
@@ -70,35 +60,34 @@ def as_records(df: DataFrame) -> DataFrame:
         numeric = dict(df.dtypes)["labels"] != "array<string>"
         true = multihot_to_labels(F.col("labels")) if numeric else F.col("labels")
         true = F.when(F.col("labels").isNotNull(), true)
-    out = shaped.withColumns({"id": resolve_id(df), "true_tags": true})
-    return out.withColumn("key", content_key())
+    return shaped.withColumns({"id": resolve_id(df), "true_tags": true})
 
 
 def inference_job(
     records: DataFrame, model: LinearModel, out: str, thresholds=None, limit: int | None = None,
-    keep_input: bool = False, unique_id: bool = False,
+    keep_input: bool = False, key: str | None = None,
 ) -> tuple[DataFrame, dict]:
     """Tag records, write predictions as JSONL, and report.
 
-    With ``unique_id`` the records' own ids match scores to records, so the text is
-    read once; by default a content key serves, which must read it on both sides.
+    With ``keep_input`` a line holds all input columns beside the predictions.
 
     Returns the metric frame over records that carry true tags, and the run
-    summary (processed, elapsed seconds, papers per second).
+    summary (processed, elapsed seconds, papers per second). Both are gathered while writing.
     """
     started = time.monotonic()
     if limit is not None:
         records = limit_records(records, limit, None)
-        records = stored(records, "records")  # a limit without an order must be fixed once
-    shaped = as_records(records)
-    key = "id" if unique_id else "key"
-    tagged = tag_papers(shaped, model, thresholds, key=key, keep_scores=True)
+    tagged = tag_papers(as_records(records), model, thresholds, key=key, keep_input=keep_input)
     seen = Observation("run")
-    observed = tagged.observe(seen, F.count(F.lit(1)).alias("processed"))
+    sums = tag_sums(model.labels)
+    observed = tagged.observe(seen, F.count(F.lit(1)).alias("processed"), *sums)
     write_predictions(observed, out, keep_input)
     elapsed = time.monotonic() - started
-    n = seen.get["processed"]
+    found = seen.get
+    n = found["processed"]
     summary = {"processed": n, "elapsed": elapsed, "papers_per_second": n / max(elapsed, 1e-9)}
-    spark = records.sparkSession
-    written = spark.read.schema("true_tags array<string>, predicted_tags array<string>").json(out)
-    return tag_metrics(written, model.labels), summary
+    names = ["tp", "fp", "fn", "hits", "papers"]
+    row = records.sparkSession.createDataFrame(
+        [tuple(found[x] for x in names)], ", ".join(f"{x} bigint" for x in names)
+    )
+    return tag_ratios(row), summary

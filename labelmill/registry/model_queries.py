@@ -6,11 +6,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from labelmill import schemas as S
-from labelmill.functions.taxonomy import label_name
+from labelmill.functions.taxonomy import has_label, label_name
 from labelmill.operators import curves
 from labelmill.operators.linear_model import score_linear, train_linear
 from labelmill.operators.logreg import LogRegModel, score_logreg, train_logreg
 from labelmill.operators.plugged import score_plugged
+from labelmill.operators.rows import ROW, numbered
 from labelmill.plans import evaluation, tagging
 from labelmill.registry import views as V
 from labelmill.registry.base import query
@@ -24,10 +25,19 @@ def model_of(papers):
     return train_linear(papers.where(F.col("split") == "train"))
 
 
+def whole_corpus(spark, sf):
+    """All papers, numbered and written once, and the model of the labelled ones, written too.
+
+    A label is needed to learn from a paper, not to tag it.
+    """
+    papers = numbered(V.all_papers(spark, sf), "papers")
+    return papers, model_of(papers.where(has_label(F.col("labels")))).stored()
+
+
 def corpus(spark, sf):
-    """Papers written once, and the model trained on their train split, written too."""
-    papers = stored(V.papers(spark, sf), "papers")
-    return papers, model_of(papers).stored()
+    """The labelled papers and their model."""
+    papers, model = whole_corpus(spark, sf)
+    return papers.where(has_label(F.col("labels"))), model
 
 
 @query("train_linear", sql("""
@@ -44,8 +54,8 @@ def train_linear_query(spark, sf):
 @query("score_papers", sql("""
     SELECT id, idx, round(prob, 6) AS prob FROM linear_scores"""))
 def score_papers(spark, sf):
-    papers, model = corpus(spark, sf)
-    scored = score_linear(papers, model)
+    papers, model = whole_corpus(spark, sf)
+    scored = score_linear(papers, model, key=ROW)
     return rounded(scored.select("id", F.posexplode("prob").alias("idx", "prob")))
 
 
@@ -53,16 +63,54 @@ def score_papers(spark, sf):
     SELECT p.id, p.title, p.labels AS true_tags,
            coalesce(string_agg(s.label, '|' ORDER BY s.idx) FILTER (prob > 0.5), '') AS predicted,
            round(coalesce(sum(round(prob, 4)) FILTER (prob > 0.5), 0), 4) AS total_prob
-    FROM papers p JOIN linear_scores s ON s.id = p.id GROUP BY p.id, p.title, p.labels"""))
+    FROM all_papers p JOIN linear_scores s ON s.id = p.id GROUP BY p.id, p.title, p.labels"""))
 def tag_papers(spark, sf):
-    papers, model = corpus(spark, sf)
-    tagged = tagging.tag_papers(papers, model)
+    papers, model = whole_corpus(spark, sf)
+    tagged = tagging.tag_papers(papers, model, key=ROW)
     total = F.aggregate(F.map_values("tag_probabilities"), F.lit(0.0), lambda a, x: a + x)
     return tagged.select(
         "id", "title", V.text_of("labels").alias("true_tags"),
         V.text_of("predicted_tags").alias("predicted"), F.round(total, 4).alias("total_prob"))
 
 
+@query("tag_repeated_ids", sql("""
+    SELECT p.source AS id, p.title,
+           coalesce(string_agg(s.label, '|' ORDER BY s.idx) FILTER (prob > 0.5), '') AS predicted
+    FROM all_papers p JOIN linear_scores s ON s.id = p.id GROUP BY p.id, p.source, p.title"""))
+def tag_repeated_ids(spark, sf):
+    """Every row is tagged for itself, though 20 ids stand for all papers."""
+    _, model = corpus(spark, sf)
+    source = V.papers_source(spark, sf).select(F.col("id").alias("own"), F.col("source").alias("new"))
+    rows = V.all_papers(spark, sf).join(source, F.col("id") == F.col("own"))
+    rows = rows.withColumn("id", F.col("new")).drop("own", "new")
+    return tagging.tag_papers(rows, model).select("id", "title", V.text_of("predicted_tags").alias("predicted"))
+
+
+@query("score_with_tail", sql("""
+    SELECT id, idx, round(prob, 6) AS prob FROM linear_scores"""))
+def score_with_tail(spark, sf):
+    """The same scores when only 500 words of the model are broadcast."""
+    papers, model = whole_corpus(spark, sf)
+    scored = score_linear(papers, model, key=ROW, head_rows=500)
+    return rounded(scored.select("id", F.posexplode("prob").alias("idx", "prob")))
+
+
+@query("predictions_full", sql("""
+    SELECT coalesce(r.id, '') AS id, r.title, coalesce(r.abstract, '') AS abstract,
+           coalesce(t.predicted, '') AS predicted
+    FROM shaped r JOIN (
+        SELECT paper, string_agg(label, '|' ORDER BY idx) FILTER (prob > 0.5) AS predicted
+        FROM record_scores GROUP BY paper) t ON t.paper = r.paper"""))
+def predictions_full(spark, sf):
+    """Prediction lines with all input columns, read back."""
+    _, model = corpus(spark, sf)
+    out = scratch_path(spark, "predictions")
+    tagging.inference_job(V.records(spark, sf), model, out, keep_input=True)
+    rows = spark.read.schema("id string, title string, abstract string, predicted_tags array<string>").json(out)
+    return rows.select(
+        F.coalesce("id", F.lit("")).alias("id"), "title", "abstract", V.text_of("predicted_tags").alias("predicted"))
+
+
 @query("tune_job", sql("SELECT label, threshold, f1, precision, recall FROM tuned"))
 def tune_job(spark, sf):
     papers, model = corpus(spark, sf)
@@ -72,9 +120,10 @@ def tune_job(spark, sf):
 
 @query("tune_comparison", sql(POLICY_SQL.format(source="""
     SELECT 'scalar' AS policy, idx, y, prob > cast(0.35 AS double) AS p
-    FROM linear_scores WHERE split = 'val'
+    FROM linear_scores WHERE split = 'val' AND labelled
     UNION ALL SELECT 'per_class', s.idx, y, prob > threshold
-    FROM linear_scores s JOIN tuned t ON t.idx = s.idx WHERE split = 'val'""")))
+    FROM linear_scores s JOIN tuned t ON t.idx = s.idx
+    WHERE split = 'val' AND labelled""")))
 def tune_comparison(spark, sf):
     papers, model = corpus(spark, sf)
     return rounded(evaluation.tune_job(papers, model)[1])
@@ -82,7 +131,7 @@ def tune_comparison(spark, sf):
 
 TEST_SQL = """
     SELECT s.*, prob > threshold AS p FROM linear_scores s JOIN tuned t ON t.idx = s.idx
-    WHERE split = 'test'"""
+    WHERE split = 'test' AND labelled"""
 
 
 @query("eval_job", sql(f"""

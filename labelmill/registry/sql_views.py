@@ -115,6 +115,15 @@ VIEWS = {
         SELECT b.*, labels, {split_of('b.id')} AS split
         FROM base b JOIN (SELECT id, string_agg(label, '|' ORDER BY label) AS labels
                           FROM paper_labels GROUP BY id) l ON l.id = b.id""",
+    "all_papers": f"""
+        SELECT b.*, coalesce(labels, '') AS labels, labels IS NOT NULL AS labelled,
+               {split_of('b.id')} AS split
+        FROM base b LEFT JOIN (SELECT id, string_agg(label, '|' ORDER BY label) AS labels
+                               FROM paper_labels GROUP BY id) l ON l.id = b.id""",
+    "all_tokens": """
+        SELECT DISTINCT id, token FROM (
+            SELECT id, unnest(string_split(lower(concat(title, ' ', abstract)), ' ')) AS token
+            FROM all_papers) WHERE token <> ''""",
     "truth": """
         SELECT p.id, p.split, d.idx, d.label, case when l.id IS NULL then 0 else 1 end AS y
         FROM papers p CROSS JOIN label_dim d
@@ -135,7 +144,7 @@ VIEWS = {
                ln((coalesce(c, 0) + 1) / (pos + 2))
                - ln((f.df - coalesce(c, 0) + 1) / (n - pos + 2)) AS w
         FROM (SELECT token, count(*) AS df FROM tokens WHERE split = 'train'
-              GROUP BY token HAVING count(*) >= 5) f
+              GROUP BY token) f
         CROSS JOIN class_counts k
         LEFT JOIN inside i ON i.token = f.token AND i.label = k.label""",
     "bias": """
@@ -143,18 +152,20 @@ VIEWS = {
                + case when n > pos then ln(sqrt((n - pos) / greatest(pos, 1))) else 0 end AS b
         FROM class_counts""",
     "linear_scores": """
-        SELECT t.id, t.split, t.idx, t.label, t.y, s.logit,
+        SELECT p.id, p.split, p.labelled, s.idx, s.label,
+               case when l.id IS NULL then 0 else 1 end AS y, s.logit,
                1 / (1 + exp(-s.logit)) AS prob
-        FROM truth t JOIN (
-            SELECT g.id, g.idx, round(coalesce(sw, 0) / greatest(sqrt(coalesce(nw, 0)), 1) + b, 9)
-                   AS logit
-            FROM (SELECT id, idx, b FROM papers CROSS JOIN bias) g
+        FROM all_papers p JOIN (
+            SELECT g.id, g.idx, g.label,
+                   round(coalesce(sw, 0) / greatest(sqrt(coalesce(nw, 0)), 1) + b, 9) AS logit
+            FROM (SELECT id, idx, label, b FROM all_papers CROSS JOIN bias) g
             LEFT JOIN (SELECT id, idx, sum(w) AS sw, count(*) AS nw
-                       FROM tokens JOIN weights USING (token) GROUP BY id, idx) m
-            ON m.id = g.id AND m.idx = g.idx) s ON s.id = t.id AND s.idx = t.idx""",
+                       FROM all_tokens JOIN weights USING (token) GROUP BY id, idx) m
+            ON m.id = g.id AND m.idx = g.idx) s ON s.id = p.id
+        LEFT JOIN paper_labels l ON l.id = p.id AND l.label = s.label""",
     "val_points": """
         SELECT idx, any_value(label) AS label, prob, sum(y) AS tp, count(*) AS n
-        FROM linear_scores WHERE split = 'val' GROUP BY idx, prob""",
+        FROM linear_scores WHERE split = 'val' AND labelled GROUP BY idx, prob""",
     "val_curve": """
         SELECT *, 2 * precision * recall / (precision + recall + cast(1e-8 AS double)) AS f1
         FROM (SELECT idx, label, prob, ctp / cn AS precision,
@@ -173,7 +184,7 @@ VIEWS = {
         UNION ALL
         SELECT token, cast(row_number() OVER (ORDER BY n DESC, token) + 3 AS integer), n
         FROM (SELECT token, count(*) AS n FROM words WHERE token <> '' AND split = 'train'
-              GROUP BY token ORDER BY n DESC, token LIMIT 30000)""",
+              GROUP BY token)""",
     "sides": """
         SELECT id, split, list_filter(string_split(lower(title), ' '), lambda w: w <> '') AS t,
                list_filter(string_split(lower(abstract), ' '), lambda w: w <> '') AS a

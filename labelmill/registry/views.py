@@ -31,12 +31,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a bare scan over all cores when its file is too small to be split.
-
-    The test tables are single small files; a table of many row groups keeps its own splits.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    """Rows of a bare scan dealt over tasks: the test tables are single small files."""
+    return df.repartition(key)
 
 
 def day(ts: str) -> Column:
@@ -130,6 +126,12 @@ def papers(spark: SparkSession, sf: str) -> DataFrame:
     return with_y(taxonomy(papers_base(spark, sf)))
 
 
+def all_papers(spark: SparkSession, sf: str) -> DataFrame:
+    """As :func:`papers`, with those that have no label."""
+    rows = papers_base(spark, sf).withColumn("labels", codes_to_labels(F.col("categories")))
+    return with_y(rows.withColumn("split", hash_split(F.col("id"))))
+
+
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """Records as they may arrive: ids under several names, blank titles, absent fields."""
     rows = papers_source(spark, sf)

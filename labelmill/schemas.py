@@ -26,9 +26,7 @@ ENCODED = _schema(
     id=T.StringType(), y=_DOUBLES, input_ids=_INTS, token_type_ids=_INTS, attention_mask=_INTS,
     split=T.StringType(),
 )
-SCORED = _schema(id=T.StringType(), y=_DOUBLES, logit=_DOUBLES, prob=_DOUBLES)
 LABEL_COUNTS = _schema(label=T.StringType(), count=T.LongType())
-THRESHOLDS = _schema(label=T.StringType(), threshold=T.DoubleType())
 RECORDS = _schema(
     id=T.StringType(), arxiv_id=T.StringType(), paper_id=T.StringType(),
     title=T.StringType(), abstract=T.StringType(), labels=_STRINGS,
@@ -47,4 +45,3 @@ TRAIN_LOG = _schema(
     best_global_step=T.LongType(), best_metric=T.DoubleType(),
 )
 VOCAB = _schema(token=T.StringType(), token_id=T.IntegerType(), n=T.LongType())
-MODEL = _schema(token=T.StringType(), df=T.LongType(), w=_DOUBLES)

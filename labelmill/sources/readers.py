@@ -10,10 +10,32 @@ from labelmill import schemas as S
 from labelmill.functions.scoring import DEFAULT_THRESHOLD
 from labelmill.functions.taxonomy import LABELS
 
+BAD_LINE = "_corrupt_record"
 
-def read_papers_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Snapshot scan: one JSON object per line, only the six kept fields are parsed."""
-    return spark.read.schema(S.RAW).json(path)
+
+def _json_lines(spark: SparkSession, path: str, schema: T.StructType, keep_bad: bool) -> DataFrame:
+    if not keep_bad:
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    with_bad = T.StructType([*schema.fields, T.StructField(BAD_LINE, T.StringType())])
+    # Lines are parsed as a column, for Spark's reader refuses to give back bad lines alone.
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_LINE}
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", with_bad, options).alias("r")).select("r.*")
+
+
+def read_papers_jsonl(spark: SparkSession, path: str, keep_bad: bool = False) -> DataFrame:
+    """Snapshot scan: one JSON object per line, only the six kept fields are parsed.
+
+    A malformed line fails the read; with ``keep_bad`` it becomes a row with its text in
+    ``_corrupt_record``, which :func:`split_bad` takes apart.
+    """
+    return _json_lines(spark, path, S.RAW, keep_bad)
+
+
+def split_bad(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Good rows, and the malformed lines as ``(raw_line)``."""
+    bad = F.col(BAD_LINE).isNotNull()
+    return rows.where(~bad).drop(BAD_LINE), rows.where(bad).select(F.col(BAD_LINE).alias("raw_line"))
 
 
 def read_stage(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -37,17 +59,12 @@ def read_records(
     With ``keep_bad`` a malformed line becomes a row whose ``_corrupt_record``
     holds its text, for a reject output.
     """
-    if not keep_bad:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    with_bad = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    return (
-        spark.read.schema(with_bad).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    )
+    return _json_lines(spark, path, schema, keep_bad)
 
 
 def read_label_counts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.LABEL_COUNTS).option("header", True).csv(path)
+    """Label distribution; a malformed line fails the read."""
+    return spark.read.schema(S.LABEL_COUNTS).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -67,17 +84,20 @@ def read_thresholds(
 
     No file means the default for every class. A class absent from the file takes
     the default, or raises with ``on_missing="error"``. Extra labels are ignored.
+    A file that is not such an object, or a null value in it, is an error.
     """
     labels = LABELS if labels is None else labels
     dim = spark.createDataFrame(list(enumerate(labels)), "idx int, label string")
     if not path_exists(spark, path):
         return dim.withColumn("threshold", F.lit(float(default)))
     text = spark.read.text(path, wholetext=True)
-    parsed = text.select(F.from_json("value", "map<string,double>").alias("m"))
+    parsed = F.from_json("value", "map<string,double>", {"mode": "FAILFAST"})
+    broken = F.raise_error(F.lit(f"{path} holds no map of thresholds")).cast("map<string,double>")
+    # An empty part file of a written folder is not a document.
+    pairs = text.where(F.trim("value") != "").select(F.explode(F.coalesce(parsed, broken)).alias("label", "t"))
+    empty = F.raise_error(F.concat(F.lit("no number for "), "label")).cast("double")
     # Broadcast is bounded: a JSON object holds one value per wanted label.
-    found = parsed.select(F.explode("m").alias("label", "threshold")).where(
-        F.col("label").isin(labels)
-    )
+    found = pairs.where(F.col("label").isin(labels)).select("label", F.coalesce("t", empty).alias("threshold"))
     joined = dim.join(F.broadcast(found), "label", "left")
     if on_missing == "error":
         absent = F.raise_error(F.concat(F.lit("no threshold for "), "label")).cast("double")
@@ -92,8 +112,17 @@ def read_train_log(spark: SparkSession, path: str, multiline: bool = False) -> D
     A single indented JSON document needs ``multiline``; one state per line is
     splittable and is the form for many runs.
     """
-    states = spark.read.schema(S.TRAIN_LOG).option("multiLine", multiline).json(path)
-    return states.select("run", F.inline("log_history"))
+    return _train_states(spark, path, multiline).select("run", F.inline("log_history"))
+
+
+def read_recorded_best(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """``(run, best_global_step, best_metric)`` as the run states recorded them."""
+    return _train_states(spark, path, multiline).select("run", "best_global_step", "best_metric")
+
+
+def _train_states(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
+    reader = spark.read.schema(S.TRAIN_LOG).option("multiLine", multiline)
+    return reader.option("mode", "FAILFAST").json(path)
 
 
 def ingest_once(source: DataFrame, path: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from labelmill import schemas as S
 from labelmill.functions.records import validate_records
 from labelmill.operators.linear_model import LinearModel
+from labelmill.operators.rows import ROW, numbered
 from labelmill.plans.tagging import as_records, tag_papers
 
 TAGGED, REJECTS = "tagged", "rejects"
@@ -43,18 +44,15 @@ def start_tagging(
         if BAD_LINE in batch.columns:
             reason = F.when(F.col(BAD_LINE).isNotNull(), "malformed record")
             records = records.withColumn("reject_reason", F.coalesce(reason, "reject_reason"))
-        records = records.persist()
-        try:
-            rejects = records.where(F.col("reject_reason").isNotNull())
-            rejects = rejects.withColumnRenamed(BAD_LINE, RAW_LINE)
-            rejects.write.mode("overwrite").json(f"{out}/{REJECTS}/batch_id={batch_id}")
-            valid = records.where(F.col("reject_reason").isNull()).drop("reject_reason", BAD_LINE)
-            tagged = tag_papers(as_records(valid), model, thresholds, key="key")
-            tagged.select(*[f.name for f in S.PREDICTIONS.fields]).write.mode("overwrite").parquet(
-                f"{out}/{TAGGED}/batch_id={batch_id}"
-            )
-        finally:
-            records.unpersist()
+        records = numbered(records, "batch")  # written once: both outputs read the same rows
+        rejects = records.where(F.col("reject_reason").isNotNull()).drop(ROW)
+        rejects = rejects.withColumnRenamed(BAD_LINE, RAW_LINE)
+        rejects.write.mode("overwrite").json(f"{out}/{REJECTS}/batch_id={batch_id}")
+        valid = records.where(F.col("reject_reason").isNull()).drop("reject_reason", BAD_LINE)
+        tagged = tag_papers(as_records(valid), model, thresholds, key=ROW)
+        tagged.select(*[f.name for f in S.PREDICTIONS.fields]).write.mode("overwrite").parquet(
+            f"{out}/{TAGGED}/batch_id={batch_id}"
+        )
 
     return (
         stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)

@@ -37,7 +37,7 @@ def test_prep_job_stages(spark, tmp_path):
     index = json.loads(spark.read.text(f"{out}/label_to_index").first()[0])["label_to_index"]
     assert index["Astrophysics"] == 1 and len(index) == 25
     meta = json.loads(spark.read.text(f"{out}/encoding_meta").first()[0])
-    assert meta["max_length"] == 64 and meta["output_dir"].endswith("encoded")
+    assert meta["max_length"] == 64 and meta["encoded"].endswith("encoded")
 
 
 def test_pruned_split_read(spark, tmp_path):
@@ -59,11 +59,11 @@ def test_prep_is_one_narrow_stage(spark, tmp_path):
 
 def test_scoring_moves_one_row_per_paper(spark, ready):
     papers, model = ready
-    scored = score_linear(papers, model)
+    scored = score_linear(papers, model, key="id")
     scored.collect()
     plan = scored._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
-    assert "partial_sum" in plan and "Python" not in plan
+    assert "partial_sum" in plan and "Python" not in plan and plan.count("Generate") <= 2
 
 
 def test_tune_then_evaluate(spark, ready, tmp_path):
@@ -92,12 +92,23 @@ def test_inference_job(spark, ready, tmp_path):
     with_truth = records.where("labels IS NOT NULL").count()
     assert metrics.first()["papers"] == with_truth
     ids = records.where("id <> ''")
-    by_id = tagging.inference_job(ids, model, str(tmp_path / "by-id"), unique_id=True)[0].first()
+    by_id = tagging.inference_job(ids, model, str(tmp_path / "by-id"), key="id")[0].first()
     assert by_id == tagging.inference_job(ids, model, str(tmp_path / "by-key"))[0].first()
     _, limited = tagging.inference_job(records, model, str(tmp_path / "few"), limit=7)
     assert limited["processed"] == 7
 
 
+def test_prediction_lines_with_all_input(spark, ready, tmp_path):
+    _, model = ready
+    records = V.records(spark, SF)
+    out = str(tmp_path / "full")
+    tagging.inference_job(records, model, out, keep_input=True)
+    lines = [json.loads(r[0]) for r in spark.read.text(out).collect()]
+    wanted = {*records.columns, "true_tags", "predicted_tags", "tag_probabilities"}
+    assert all(set(x) == wanted for x in lines)
+    assert sorted(x["abstract"] for x in lines) == sorted(r["abstract"] or "" for r in records.collect())
+
+
 def test_tagging_one_row_equals_tagging_many(spark, ready):
     papers, model = ready
     whole = {r["id"]: r["predicted_tags"] for r in tagging.tag_papers(papers, model).collect()}
@@ -127,7 +138,7 @@ def test_stream_equals_batch_and_replays_cleanly(spark, ready):
     records = V.records(spark, SF)
     source, out, progress = feed(spark, records, model, 2)
     valid = records.where("title IS NOT NULL AND trim(title) <> ''")
-    batch = tagging.tag_papers(tagging.as_records(valid), model, key="key")
+    batch = tagging.tag_papers(tagging.as_records(valid), model)
     got = stream.read_tagged(spark, out)
     assert plain(got) == plain(batch)
     assert stream.read_rejects(spark, out).count() == records.count() - valid.count()

@@ -28,7 +28,7 @@ def bag(title, abstract):
     return {w for w in f"{title} {abstract}".lower().split(" ") if w}
 
 
-def brute(rows, min_papers=5, a=1.0):
+def brute(rows, min_papers=1, a=1.0):
     """Weights, biases and scores by the definition, in plain Python."""
     n, k = len(rows), len(NAMES)
     pos = [sum(r["y"][c] for r in rows) for c in range(k)]
@@ -86,15 +86,48 @@ def test_scores_against_the_definition(spark, trained, head_rows):
     assert got["y"] == pytest.approx(bias) and got["z"] == pytest.approx(bias)
 
 
-def test_copies_score_once_and_equal(spark, trained):
-    """A third of all rows are copies under one key."""
+@pytest.mark.parametrize("head_rows", [None, 3])
+def test_rows_with_one_id_are_scored_apart(spark, trained, head_rows):
+    """A third of all rows share an id, under two texts."""
     papers, model = trained
-    hot = spark.createDataFrame([("hot", "apple", "the boat")] * 60,
+    _, _, score = brute(papers.collect())
+    texts = [("apple", "the boat"), ("cloud", "bridge unseen")]
+    hot = spark.createDataFrame([("hot", *texts[i % 2]) for i in range(60)],
                                 "id string, title string, abstract string")
-    single = hot.limit(1)
-    many = L.score_linear(papers.drop("y").unionByName(hot), model).where("id = 'hot'").collect()
-    assert len(many) == 1
-    assert many[0]["logit"] == L.score_linear(single, model).first()["logit"]
+    both = papers.drop("y").unionByName(hot)
+    many = L.score_linear(both, model, head_rows=head_rows).where("id = 'hot'").collect()
+    want = [[round(x, 6) for x in score(*t)] for t in texts]
+    got = Counter(str([round(x, 6) for x in r["logit"]]) for r in many)
+    assert got == {str(w): 30 for w in want}
+
+
+def test_encoding_keeps_rows_with_one_id_apart(spark):
+    df = spark.createDataFrame([("x", "a b", "c"), ("x", "b", "a a"), ("x", "b", "a a")],
+                               "id string, title string, abstract string")
+    vocab = build_vocab(df)
+    text = decode_tokens(encode_pairs(df, vocab, 16), vocab).collect()
+    assert sorted(r["text"] for r in text) == [
+        "[CLS] a b [SEP] c [SEP]", "[CLS] b [SEP] a a [SEP]", "[CLS] b [SEP] a a [SEP]"]
+
+
+def test_token_rows_stay_narrow(spark, trained):
+    papers, model = trained
+    vocab = build_vocab(papers)
+    for made in (encode_pairs(papers, vocab, 64, ("y",), key="id"), L.score_linear(papers, model, "id", ("id", "y"))):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        for line in plan.split("\n"):
+            if "Generate explode" in line or "Generate posexplode" in line:
+                assert "y#" not in line
+        assert plan.count("Generate") == 1
+
+
+def test_vocabulary_has_every_word(spark):
+    df = spark.range(3000).selectExpr("cast(id AS string) AS id", "concat('w', id, ' x') AS title", "'x' AS abstract")
+    rows = build_vocab(df).collect()
+    assert len(rows) == 3005 and sorted(r["token_id"] for r in rows) == list(range(3005))
+    by_id = [r["token"] for r in sorted(rows, key=lambda r: r["token_id"])][4:]
+    assert by_id == ["x", *sorted(f"w{i}" for i in range(3000))]
+    assert L.train_linear(df.withColumn("y", F.array(F.lit(1.0))), ["a"]).weights.count() == 3001
 
 
 def test_model_survives_saving(spark, trained, tmp_path):
@@ -108,7 +141,7 @@ def test_model_survives_saving(spark, trained, tmp_path):
 
 def test_scores_separate_the_classes(trained):
     papers, model = trained
-    rows = papers.select("id", "y").join(L.score_linear(papers, model), "id").collect()
+    rows = L.score_linear(papers, model, keep=("id", "y")).collect()
     for c in (0, 1):
         hit = [r["prob"][c] for r in rows if r["y"][c]]
         miss = [r["prob"][c] for r in rows if not r["y"][c]]
@@ -198,7 +231,7 @@ def test_plugged_model_does_not_depend_on_batches(spark):
     df = spark.createDataFrame([(i, [float(i), 1.0, -float(i)]) for i in range(50)],
                                "id int, v array<double>").repartition(3)
     out = [
-        sorted((r["id"], tuple(r["logit"])) for r in score_plugged(
+        sorted((r["id"], tuple(round(x, 9) for x in r["logit"])) for r in score_plugged(
             df, make_predict, [F.col("v")], batch_size=b, input_shapes=[[3]]).collect())
         for b in (1, 7, 64)
     ]

@@ -123,7 +123,7 @@ def test_multihot_true_tags_are_decoded(spark):
     df = spark.createDataFrame([("t", y), ("u", None)], "title string, labels array<double>")
     rows = as_records(df).orderBy("title").collect()
     assert [r["true_tags"] for r in rows] == [["Astrophysics"], None]
-    assert all(r["id"] is None and r["key"] for r in rows)
+    assert all(r["id"] is None for r in rows)
 
 
 def test_split_folders(spark, tmp_path):
@@ -136,3 +136,34 @@ def test_split_folders(spark, tmp_path):
         assert readers.select_split(back, "val").count() == 10
         assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
     assert readers.select_split(df.drop("split"), "val").count() == 50
+
+
+def test_broken_lines_are_never_lost(spark, tmp_path):
+    import pytest
+
+    from labelmill.sources import readers
+
+    def put(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    snapshot = put("papers.json", '{"id": "1", "title": "a"}\n{broken\n{"id": "2"}\n')
+    log = put("log.json", '{"run": "a", "log_history": [], "best_global_step": 7, "best_metric": 0.5}\n{broken\n')
+    counts = put("counts.csv", "label,count\na,3\nb,many\n")
+    for read in (readers.read_papers_jsonl, readers.read_records):
+        with pytest.raises(Exception):
+            read(spark, snapshot).collect()
+    with pytest.raises(Exception):
+        readers.read_train_log(spark, log).collect()
+    with pytest.raises(Exception):
+        readers.read_label_counts(spark, counts).collect()
+    good, bad = readers.split_bad(readers.read_papers_jsonl(spark, snapshot, keep_bad=True))
+    assert sorted(r["id"] for r in good.collect()) == ["1", "2"]
+    assert [r["raw_line"] for r in bad.collect()] == ["{broken"]
+    whole = put("whole.json", '{"run": "a", "log_history": [], "best_global_step": 7, "best_metric": 0.5}\n')
+    assert tuple(readers.read_recorded_best(spark, whole).first()) == ("a", 7, 0.5)
+    for text in ('{"A": 0.9, "B": oops}', "nonsense", '{"A": null}', "[1]"):
+        with pytest.raises(Exception):
+            readers.read_thresholds(spark, put("t.json", text), ["A", "B"]).collect()
+    fine = readers.read_thresholds(spark, put("t.json", '{"A": 0.9, "X": 1}'), ["A", "B"]).orderBy("idx").collect()
+    assert [r["threshold"] for r in fine] == [0.9, 0.5]
