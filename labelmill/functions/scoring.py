@@ -19,7 +19,9 @@ def sigmoid_array(logits: Column) -> Column:
 
 
 def logit(p: Column) -> Column:
-    return F.log(p / (F.lit(1.0) - p))
+    """Log odds; finite for 0 and 1 too, which count as 1e-15 inside."""
+    inside = F.greatest(F.least(p, F.lit(1.0 - 1e-15)), F.lit(1e-15))
+    return F.log(inside / (F.lit(1.0) - inside))
 
 
 def threshold_vector(

@@ -6,75 +6,22 @@ or building a multi-hot vector never shuffles a row.
 
 from __future__ import annotations
 
+import csv
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The category codes of each label. A code outside this table has no label.
-LABEL_CODES = {
-    "Applied and Interdisciplinary Physics":
-        "ao-sci chem-ph physics.ao-ph physics.bio-ph physics.chem-ph physics.data-an "
-        "physics.geo-ph physics.med-ph physics.soc-ph physics.space-ph",
-    "Astrophysics":
-        "astro-ph astro-ph.CO astro-ph.EP astro-ph.GA astro-ph.HE astro-ph.IM astro-ph.SR",
-    "CS Theory and Algorithms":
-        "cs.CC cs.CE cs.CG cs.DB cs.DM cs.DS cs.FL cs.GR cs.GT cs.LO cs.MA cs.NA cs.NE cs.PL cs.SE",
-    "Computer Systems and Networking":
-        "cs.AR cs.DC cs.ET cs.MS cs.NI cs.OS cs.PF cs.SC",
-    "Computer Vision":
-        "cs.CV",
-    "Condensed Matter Physics":
-        "cond-mat cond-mat.dis-nn cond-mat.mes-hall cond-mat.mtrl-sci cond-mat.other "
-        "cond-mat.quant-gas cond-mat.soft cond-mat.stat-mech cond-mat.str-el cond-mat.supr-con "
-        "mtrl-th supr-con",
-    "Gravitational Physics":
-        "gr-qc",
-    "High Energy Physics":
-        "hep-ex hep-lat hep-ph hep-th",
-    "Human Computer Interaction":
-        "cs.CY cs.HC cs.IR cs.MM cs.SD cs.SI",
-    "Information Theory":
-        "cs.IT math.IT",
-    "Machine Learning":
-        "cs.AI cs.DL cs.LG stat.ML",
-    "Mathematical Physics":
-        "math-ph math.MP",
-    "Natural Language Processing":
-        "cmp-lg cs.CL",
-    "Nonlinear Dynamics":
-        "adap-org chao-dyn nlin.AO nlin.CD nlin.CG nlin.PS nlin.SI patt-sol",
-    "Nuclear Physics":
-        "nucl-ex nucl-th",
-    "Optimization and Numerical Methods":
-        "math.NA math.OC",
-    "Physics Other":
-        "acc-phys atom-ph physics.acc-ph physics.app-ph physics.atm-clus physics.atom-ph "
-        "physics.class-ph physics.comp-ph physics.ed-ph physics.flu-dyn physics.gen-ph "
-        "physics.hist-ph physics.ins-det physics.optics physics.plasm-ph physics.pop-ph plasm-ph",
-    "Pure Mathematics":
-        "alg-geom dg-ga funct-an math.AC math.AG math.AP math.AT math.CA math.CO math.CT math.CV "
-        "math.DG math.DS math.FA math.GM math.GN math.GR math.GT math.HO math.KT math.LO math.MG "
-        "math.NT math.OA math.QA math.RA math.RT math.SG math.SP q-alg solv-int",
-    "Quantitative Biology":
-        "q-bio q-bio.BM q-bio.CB q-bio.GN q-bio.MN q-bio.NC q-bio.OT q-bio.PE q-bio.QM q-bio.SC "
-        "q-bio.TO",
-    "Quantitative Finance and Economics":
-        "econ.EM econ.GN econ.TH q-fin.CP q-fin.EC q-fin.GN q-fin.MF q-fin.PM q-fin.PR q-fin.RM "
-        "q-fin.ST q-fin.TR",
-    "Quantum Physics":
-        "quant-ph",
-    "Robotics":
-        "cs.RO",
-    "Security and Cryptography":
-        "cs.CR",
-    "Signal Processing and Control":
-        "cs.SY eess.AS eess.IV eess.SP eess.SY",
-    "Statistics and Probability":
-        "bayes-an math.PR math.ST stat.AP stat.CO stat.ME stat.OT stat.TH",
-}
-
-LABELS = sorted(LABEL_CODES)
+
+def _read_codes() -> dict[str, str]:
+    text = resources.files("labelmill.functions").joinpath("label_codes.csv").read_text("utf-8")
+    rows = csv.DictReader(line for line in text.splitlines() if not line.startswith("#"))
+    return {row["code"]: row["label"] for row in rows}
+
+
+CODE_TO_LABEL = _read_codes()
+LABELS = sorted(set(CODE_TO_LABEL.values()))
 RECORD, UNIT = "\x1e", "\x1f"  # separators no code or label contains
-CODE_TO_LABEL = {code: label for label in LABELS for code in LABEL_CODES[label].split()}
 
 
 def code_dim(spark: SparkSession) -> DataFrame:

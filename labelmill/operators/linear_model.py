@@ -28,7 +28,10 @@ NO_WORD = ""  # one such row per paper carries papers without a known word
 
 @dataclass
 class LinearModel:
-    """``weights(token, df, w)`` and ``bias(idx, label, b)``, both DataFrames."""
+    """``weights(token, df, w)`` and ``bias(idx, label, b, pos_weight)``, both DataFrames.
+
+    ``pos_weight`` is the class weight the model was fitted with.
+    """
 
     weights: DataFrame
     bias: DataFrame
@@ -51,7 +54,7 @@ class LinearModel:
     def load(spark, path: str, labels: list[str] | None = None) -> LinearModel:
         return LinearModel(
             spark.read.schema("token string, df bigint, w array<double>").parquet(f"{path}/weights"),
-            spark.read.schema("idx int, label string, b double").parquet(f"{path}/bias"),
+            spark.read.schema("idx int, label string, b double, pos_weight double").parquet(f"{path}/bias"),
             LABELS if labels is None else labels,
         )
 
@@ -128,7 +131,7 @@ def train_linear(
     shift = F.when(weight > 0, F.log(weight)).otherwise(0.0)
     bias = each.select(
         "idx", label_name(F.col("idx"), labels).alias("label"),
-        (F.log((p + a) / (total - p + a)) + shift).alias("b"),
+        (F.log((p + a) / (total - p + a)) + shift).alias("b"), weight.alias("pos_weight"),
     )
     return LinearModel(weights, bias, labels)
 

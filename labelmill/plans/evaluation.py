@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.operators.linear_model import (
-    LinearModel, pos_weight, pos_weight_vector, score_linear,
-)
+from labelmill.operators.linear_model import LinearModel, pos_weight_vector, score_linear
 from labelmill.operators.metrics import compare_thresholds, confusion, report, weighted_bce
 from labelmill.operators.tuning import best_thresholds, pr_curve
 from labelmill.session import stored
@@ -58,10 +56,12 @@ def evaluate(
     papers: DataFrame, model: LinearModel, thresholds=None, split: str = "test",
     inclusive: bool = False,
 ) -> DataFrame:
-    """The one-row report of a split: loss, macro and weighted F1, P, R, hit rate."""
+    """The one-row report of a split: loss, macro and weighted F1, P, R, hit rate.
+
+    The loss weighs classes as the model did when it was fitted.
+    """
     scored = stored(score_split(papers, model, split), f"{split}-scores")
-    weights = pos_weight_vector(pos_weight(papers.where(F.col("split") == "train"), model.labels))
-    loss = weighted_bce(scored, weights).scalar()
+    loss = weighted_bce(scored, pos_weight_vector(model.bias)).scalar()
     counts = confusion(scored, thresholds, model.labels, inclusive)
     return report(counts).withColumn("loss", loss)
 

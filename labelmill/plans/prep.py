@@ -11,7 +11,7 @@ from labelmill.functions.taxonomy import LABELS, codes_to_labels, has_label, mul
 from labelmill.functions.text import clean_papers, split_categories
 from labelmill.operators.sampling import exact_split
 from labelmill.operators.vocab import MAX_LENGTH, build_vocab, encode_pairs
-from labelmill.sources.readers import read_stage
+from labelmill.sources.readers import BAD_LINE, read_stage, split_bad
 from labelmill.sources.writers import write_report, write_splits, write_stage
 
 # The fields of the raw data that are kept.
@@ -64,9 +64,13 @@ def prep_job(
     """Run the whole preparation, one write per stage, and return the written stages.
 
     The vocabulary comes from the train split only. Without ``write_base`` the text
-    goes from the snapshot to the taxonomy stage in one pass and is written once.
+    goes from the snapshot to the taxonomy stage in one pass and is written once. Malformed lines
+    of a snapshot read with ``keep_bad`` go to ``rejects``.
     """
     spark = raw.sparkSession
+    if BAD_LINE in raw.columns:
+        raw, rejects = split_bad(raw)
+        rejects.write.mode("overwrite").json(f"{out}/rejects")
     base_df = base(raw)
     if write_base:
         write_stage(base_df, f"{out}/base")

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from labelmill import schemas as S
 from labelmill.functions.taxonomy import has_label, label_name
 from labelmill.operators import curves
-from labelmill.operators.linear_model import score_linear, train_linear
+from labelmill.operators.linear_model import pos_weight, score_linear, train_linear
 from labelmill.operators.logreg import LogRegModel, score_logreg, train_logreg
 from labelmill.operators.plugged import score_plugged
 from labelmill.operators.rows import ROW, numbered
-from labelmill.plans import evaluation, tagging
+from labelmill.plans import evaluation, tagging, training
 from labelmill.registry import views as V
 from labelmill.registry.base import query
 from labelmill.registry.metric_queries import POLICY_SQL, rounded
@@ -129,28 +129,34 @@ def tune_comparison(spark, sf):
     return rounded(evaluation.tune_job(papers, model)[1])
 
 
-TEST_SQL = """
-    SELECT s.*, prob > threshold AS p FROM linear_scores s JOIN tuned t ON t.idx = s.idx
-    WHERE split = 'test' AND labelled"""
+REPORT_COLUMNS = "f1, f1_weighted, precision, recall, hit_rate, loss"
 
 
-@query("eval_job", sql(f"""
-    SELECT round(avg(f1), 6) AS f1, round(sum(f1 * support) / sum(support), 6) AS f1_weighted,
-           round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall,
-           (SELECT round(avg(hit), 6) FROM (
-                SELECT id, max(case when p AND y = 1 then 1 else 0 end) AS hit
-                FROM ({TEST_SQL}) GROUP BY id)) AS hit_rate,
-           (SELECT round(avg(w * y * (greatest(-logit, 0) + ln(1 + exp(-abs(logit))))
-                             + (1 - y) * (greatest(logit, 0) + ln(1 + exp(-abs(logit))))), 6)
-            FROM ({TEST_SQL}) x JOIN (SELECT idx, sqrt((n - pos) / greatest(pos, 1)) AS w
+def report_sql(where: str, threshold: str = "threshold") -> str:
+    """The one-row report over the scores that ``where`` (ending in AND) picks."""
+    rows = f"""
+        SELECT s.*, prob > {threshold} AS p FROM linear_scores s JOIN tuned t ON t.idx = s.idx
+        WHERE {where} true"""
+    return f"""
+        SELECT round(avg(f1), 6) AS f1, round(sum(f1 * support) / sum(support), 6) AS f1_weighted,
+               round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall,
+               (SELECT round(avg(hit), 6) FROM (
+                    SELECT id, max(case when p AND y = 1 then 1 else 0 end) AS hit
+                    FROM ({rows}) GROUP BY id)) AS hit_rate,
+               (SELECT round(avg(w * y * (greatest(-logit, 0) + ln(1 + exp(-abs(logit))))
+                                 + (1 - y) * (greatest(logit, 0) + ln(1 + exp(-abs(logit))))), 6)
+                FROM ({rows}) x JOIN (SELECT idx, sqrt((n - pos) / greatest(pos, 1)) AS w
                                       FROM class_counts) k ON k.idx = x.idx) AS loss
-    FROM (SELECT *, case when tp + fp = 0 then 0 else tp / (tp + fp) end AS precision,
-                 case when tp + fn = 0 then 0 else tp / (tp + fn) end AS recall,
-                 case when 2 * tp + fp + fn = 0 then 0 else 2 * tp / (2 * tp + fp + fn) end AS f1
-          FROM (SELECT idx, count(*) FILTER (p AND y = 1) AS tp,
-                       count(*) FILTER (p AND y = 0) AS fp,
-                       count(*) FILTER (NOT p AND y = 1) AS fn, sum(y) AS support
-                FROM ({TEST_SQL}) GROUP BY idx))"""))
+        FROM (SELECT *, case when tp + fp = 0 then 0 else tp / (tp + fp) end AS precision,
+                     case when tp + fn = 0 then 0 else tp / (tp + fn) end AS recall,
+                     case when 2 * tp + fp + fn = 0 then 0 else 2 * tp / (2 * tp + fp + fn) end AS f1
+              FROM (SELECT idx, count(*) FILTER (p AND y = 1) AS tp,
+                           count(*) FILTER (p AND y = 0) AS fp,
+                           count(*) FILTER (NOT p AND y = 1) AS fn, sum(y) AS support
+                    FROM ({rows}) GROUP BY idx))"""
+
+
+@query("eval_job", sql(report_sql("split = 'test' AND labelled AND")))
 def eval_job(spark, sf):
     papers, model = corpus(spark, sf)
     model_dir = scratch_path(spark, "model")
@@ -186,39 +192,81 @@ def run_summary(spark, sf):
     return spark.createDataFrame([(summary["processed"],)], "processed bigint")
 
 
-@query("train_logreg")
+@query("train_logreg", sql("""
+    SELECT idx, any_value(label) AS label, count(*) AS papers, cast(sum(y) AS bigint) AS positives,
+           sum(y) > 0 AND sum(y) < count(*) AS better
+    FROM truth WHERE split = 'train' GROUP BY idx"""))
 def train_logreg_query(spark, sf):
-    """Per class: papers, positives, and papers the fitted regression puts above one half."""
-    papers = stored(V.papers(spark, sf), "papers")
+    """Per class: train papers, positives, and whether the fit beats the best constant.
+
+    Both losses weigh positives as the fit does.
+    """
+    papers = stored(V.papers(spark, sf).where(F.col("split") == "train"), "papers")
     path = scratch_path(spark, "logreg")
-    train_logreg(papers.where(F.col("split") == "train")).save(path)
-    model = LogRegModel.load(spark, path)
-    scored = papers.select("id", "y").join(score_logreg(papers, model), "id")
-    cells = scored.select(F.posexplode(F.arrays_zip("y", "prob")).alias("idx", "c"))
-    return cells.groupBy("idx", label_name(F.col("idx")).alias("label")).agg(
-        F.count(F.lit(1)).alias("papers"), F.count_if(F.col("c.y") == 1).alias("positives"),
-        F.count_if(F.col("c.prob") > 0.5).alias("predicted"))
+    train_logreg(papers).save(path)
+    scored = score_logreg(papers, LogRegModel.load(spark, path), ("y",))
+    cells = scored.select(F.posexplode(F.arrays_zip("y", "logit")).alias("idx", "c")).select("idx", "c.*")
+    cells = cells.join(F.broadcast(pos_weight(papers).select("idx", "pos_weight")), "idx")
+    x, y, w = F.col("logit"), F.col("y"), F.col("pos_weight")
+    softplus = lambda v: F.greatest(v, F.lit(0.0)) + F.log1p(F.exp(-F.abs(v)))
+    sums = cells.groupBy("idx", label_name(F.col("idx")).alias("label")).agg(
+        F.count(F.lit(1)).alias("papers"), F.count_if(y == 1).alias("positives"),
+        F.sum(w * y * softplus(-x) + (1 - y) * softplus(x)).alias("loss"), F.max(w).alias("w"))
+    heavy, light = F.col("w") * F.col("positives"), F.col("papers") - F.col("positives")
+    rate = heavy / (heavy + light)
+    constant = -(heavy * F.log(rate) + light * F.log(1 - rate))
+    fitted = (F.col("positives") > 0) & (light > 0)
+    return sums.select("idx", "label", "papers", "positives", F.when(
+        fitted, F.col("loss") < constant).otherwise(F.lit(False)).alias("better"))
+
+
+@query("train_job", sql(f"""
+    SELECT split, {REPORT_COLUMNS} FROM (
+        SELECT 'train' AS split, r.* FROM ({report_sql("split = 'train' AND labelled AND", "0.5")}) r
+        UNION ALL
+        SELECT 'val', r.* FROM ({report_sql("split = 'val' AND labelled AND", "0.5")}) r)"""))
+def train_job_query(spark, sf):
+    papers = stored(V.papers(spark, sf), "papers")
+    _, report = training.train_job(papers, scratch_path(spark, "trained"))
+    return rounded(report)
 
 
 # ---- pluggable models, over the embeddings table ----
 
+MAX_CLASSES = 4096  # a centroid model is one matrix in each worker
+
+
 def centroids(spark, sf):
-    """Mean vector of each embedding label: one short row per label."""
+    """``(label, dim, x)``: mean vector of each embedding label."""
     rows = V.table(spark, sf, "embeddings").select(
         "label", F.posexplode("embedding").alias("dim", "x"))
     return rows.groupBy("label", "dim").agg(F.avg("x").alias("x"))
 
 
 def centroid_model(spark, sf):
-    found = centroids(spark, sf).collect()
-    matrix = np.zeros((max(r["dim"] for r in found) + 1, max(r["label"] for r in found) + 1))
-    for r in found:
-        matrix[r["dim"], r["label"]] = r["x"]
+    """A model stored by Spark, sent to the workers as files, and loaded there once.
+
+    ``(make_predict, width of a vector)``. Only two numbers reach the driver.
+    """
+    path = scratch_path(spark, "centroids")
+    centroids(spark, sf).write.parquet(path)
+    width, classes = spark.read.parquet(path).agg(F.max("dim") + 1, F.max("label") + 1).first()
+    if classes > MAX_CLASSES:
+        raise ValueError(f"{classes} classes; this model holds {MAX_CLASSES} at most")
+    spark.sparkContext.addFile(path, recursive=True)
+    name = path.rsplit("/", 1)[-1]
 
     def make_predict():
-        return lambda vectors: np.asarray(vectors, dtype=np.float64) @ matrix
+        import pyarrow.dataset
+        from pyspark import SparkFiles
+
+        rows = pyarrow.dataset.dataset(SparkFiles.get(name), format="parquet").to_table().to_pandas()
+        matrix = np.zeros((width, classes))
+        matrix[rows["dim"], rows["label"]] = rows["x"]
+        # One vector at a time, so that a result cannot depend on its batch.
+        return lambda vectors: np.array([np.asarray(v, dtype=np.float64) @ matrix for v in vectors])
 
-    return make_predict, matrix.shape[0]
+    return make_predict, width
 
 
 def plugged(spark, sf, batch_size):

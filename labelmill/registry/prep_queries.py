@@ -37,6 +37,34 @@ def scan_jsonl(spark, sf):
     return readers.read_papers_jsonl(spark, path)
 
 
+@query("scan_rejects", "SELECT count(*) AS good, count(*) FILTER (source = 'src0') AS bad FROM documents")
+def scan_rejects(spark, sf):
+    """A snapshot with a broken line beside some of the papers: none is lost, none is a paper."""
+    path = scratch_path(spark, "snapshot")
+    rows = V.papers_source(spark, sf)
+    line = F.to_json(F.struct(*prep.BASE_COLUMNS))
+    broken = F.when(F.col("source") == "src0", F.substring(line, 1, 20))
+    rows.select(F.explode(F.array_compact(F.array(line, broken))).alias("value")).write.text(path)
+    good, bad = readers.split_bad(readers.read_papers_jsonl(spark, path, keep_bad=True))
+    whole = good.select(F.col("id").isNotNull().cast("bigint").alias("good"), F.lit(0).alias("bad"))
+    both = whole.unionByName(bad.select(F.lit(0).cast("bigint").alias("good"), F.lit(1).alias("bad")))
+    return both.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+
+
+@query("recorded_best", sql("""
+    SELECT run, max(step) AS best_global_step, round(max(value), 6) AS best_metric FROM (
+        SELECT cast(user_id AS varchar) AS run, event_id AS step, value FROM events) GROUP BY run"""))
+def recorded_best(spark, sf):
+    """The best step that the run states recorded, read back from the state files."""
+    path = scratch_path(spark, "states")
+    events = V.table(spark, sf, "events").groupBy(F.col("user_id").cast("string").alias("run"))
+    none = F.array().cast(S.TRAIN_LOG["log_history"].dataType)
+    states = events.agg(F.max("event_id").alias("best_global_step"), F.max("value").alias("best_metric"))
+    states.withColumn("log_history", none).write.json(path)
+    best = readers.read_recorded_best(spark, path)
+    return best.withColumn("best_metric", F.round("best_metric", 6))
+
+
 @query("scan_parquet", sql("SELECT id, title, replace(categories, ' ', '|') AS categories, "
                            "update_date FROM catalog_raw"))
 def scan_parquet(spark, sf):

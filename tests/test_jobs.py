@@ -238,3 +238,57 @@ def test_hot_label_counts_combine_before_the_shuffle(spark):
 
 def test_scratch_folder_is_the_named_one(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_train_job_on_a_sample(spark, ready, tmp_path):
+    from labelmill.operators.linear_model import LinearModel, pos_weight
+    from labelmill.operators.sampling import sample_train_val
+    from labelmill.plans.training import train_job
+
+    papers, _ = ready
+    out = str(tmp_path / "trained")
+    model, report = train_job(papers, out, ratio=0.5, seed=3)
+    train, _ = sample_train_val(papers, 0.5, 3)
+    want = {r["idx"]: r["pos_weight"] for r in pos_weight(train).collect()}
+    assert {r["idx"]: r["pos_weight"] for r in model.bias.collect()} == pytest.approx(want)
+    rows = {r["split"]: r for r in report.collect()}
+    assert set(rows) == {"train", "val"} and rows["train"]["f1"] > rows["val"]["f1"]
+    again = LinearModel.load(spark, f"{out}/model")
+    some = papers.limit(5)
+    a = sorted(map(str, score_linear(some, model).collect()))
+    assert a == sorted(map(str, score_linear(some, again).collect()))
+    assert json.loads(spark.read.text(f"{out}/settings").first()[0])["seed"] == 3
+
+
+def test_rejects_of_a_snapshot_are_written(spark, tmp_path):
+    (tmp_path / "papers.json").write_text('{"id": "1", "title": "a", "abstract": "b", "categories": "cs.CV"}\n{broken\n')
+    raw = readers.read_papers_jsonl(spark, str(tmp_path / "papers.json"), keep_bad=True)
+    stages = prep.prep_job(raw, str(tmp_path / "out"))
+    assert stages["taxonomy"].count() == 1
+    assert json.loads(spark.read.text(str(tmp_path / "out" / "rejects")).first()[0])["raw_line"] == "{broken"
+
+
+def test_no_exchange_and_no_explode_where_a_row_will_do(spark):
+    from labelmill.functions.taxonomy import code_dim
+    from labelmill.operators import metrics, profiling
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    scored = V.scored(spark, SF)
+    for df in (metrics.confusion(scored, 0.5), metrics.weighted_bce(scored, F.array(*[F.lit(1.0)] * 25))):
+        before = plan(df).split("Aggregate", 2)[-1]
+        assert "Generate explode(arrays_zip" not in before and "Generate posexplode(arrays_zip" not in before
+    papers = spark.createDataFrame([("x", ["cs.CV", "cs.CV"]), ("x", ["cs.CL", "cmp-lg"])], "id string, categories array<string>")
+    joined = profiling.join_codes(papers, code_dim(spark))
+    assert "Exchange hash" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["label"] for r in joined.collect()) == ["Computer Vision", "Natural Language Processing"]
+
+
+def test_large_limit_uses_no_single_task(spark, monkeypatch):
+    from labelmill.operators import sampling
+
+    df = spark.range(5000).selectExpr("cast(id AS string) AS id").repartition(7)
+    want = sorted(str(i) for i in range(5000))[:777]
+    monkeypatch.setattr(sampling, "ONE_TASK_ROWS", 10)
+    assert sorted(r["id"] for r in sampling.limit_records(df, 777).collect()) == want
+    assert sampling.limit_records(df, 777, None).count() == 777
+    assert sampling.limit_records(df, 777).columns == ["id"]

@@ -218,9 +218,9 @@ def test_logistic_regression(spark, tmp_path):
     train_logreg(papers, NAMES, features=64, parallel=2).save(str(tmp_path / "lr"))
     model = LogRegModel.load(spark, str(tmp_path / "lr"), NAMES)
     assert sorted(model.per_class) == [0, 1]  # class c has no positives
-    for r in papers.select("id", "y").join(score_logreg(papers, model), "id").collect():
+    for r in score_logreg(papers, model, ("id", "y")).collect():
         assert [p > 0.5 for p in r["prob"]] == [v == 1.0 for v in r["y"]]
-        assert r["prob"][2] == 0.0
+        assert r["prob"][2] == 0.0 and all(math.isfinite(x) for x in r["logit"])
 
 
 def test_plugged_model_does_not_depend_on_batches(spark):
