@@ -44,7 +44,7 @@ def tag_papers(
     The same call serves one row or a corpus, batch or micro-batch. Every row is tagged for
     itself, whatever its id. ``key`` names a column that is unique already, if there is one.
     """
-    keep = tuple(c for c in papers.columns if (keep_input or c != "abstract") and c not in (key, ROW))
+    keep = tuple(c for c in papers.columns if (keep_input or c != "abstract") and c != ROW)
     scored = score_linear(papers, model, key, keep)
     return add_tags(scored, thresholds, model.labels, inclusive).drop("logit", "prob")
 

@@ -67,7 +67,8 @@ def test_scoring_moves_one_row_per_paper(spark, ready):
 
 
 def test_tune_then_evaluate(spark, ready, tmp_path):
-    papers, model = ready
+    papers, _ = ready
+    model = train_linear(papers.where("split = 'train'"), min_papers=5).stored()
     model_dir = str(tmp_path / "model")
     model.save(model_dir)
     before = evaluation.eval_job(papers, model, model_dir, scalar=0.5).first()
