@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 _local_scratch: dict[str, str] = {}
+_run_folders: list[str] = []  # of this driver's open runs, the innermost last
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -31,8 +34,33 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder; nothing is ever written there twice."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, or the open run's; nothing is written there twice."""
+    root = _run_folders[-1] if _run_folders else scratch_root(spark)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """What is stored inside goes under one folder of this run, which is removed at the end.
+
+    Results must be written elsewhere before the end: frames that read the folder are lost with
+    it. A run that fails leaves its folder, for a look; remove it with the same call.
+    """
+    path = scratch_path(spark, name)
+    _run_folders.append(path)
+    try:
+        yield path
+    finally:
+        _run_folders.remove(path)
+    remove_run(spark, path)
+
+
+def remove_run(spark: SparkSession, path: str) -> None:
+    """Delete a run's folder in the store that holds it; only folders under the scratch root."""
+    if not path.startswith(f"{scratch_root(spark)}/"):
+        raise ValueError(f"{path} is not under the scratch folder")
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

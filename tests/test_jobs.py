@@ -293,3 +293,15 @@ def test_large_limit_uses_no_single_task(spark, monkeypatch):
     assert sorted(r["id"] for r in sampling.limit_records(df, 777).collect()) == want
     assert sampling.limit_records(df, 777, None).count() == 777
     assert sampling.limit_records(df, 777).columns == ["id"]
+
+
+def test_run_folder_is_removed_at_the_end(spark, tmp_path):
+    from labelmill.session import remove_run, run_folder
+
+    with run_folder(spark) as path:
+        table = stored(spark.range(5), "inside")
+        assert readers.path_exists(spark, path) and table.count() == 5
+    assert not readers.path_exists(spark, path)
+    assert not scratch_path(spark, "x").startswith(path)
+    with pytest.raises(ValueError):
+        remove_run(spark, str(tmp_path))
