@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from labelmill.llm.html_blocks import blocks, features
 from labelmill.llm.html_labelled import labelled_pages
+from labelmill.llm.words import share_package
 
 PENALTY = 1e-4
 ROUNDS = 200
@@ -148,6 +149,7 @@ def main_text(html: str | None, field: Field) -> str:
 
 def extracted(pages: DataFrame, html: str = "html", into: str = "text", field: Field | None = None) -> DataFrame:
     """``pages`` with the main text of ``html``."""
+    share_package(pages.sparkSession)
     model = field or default_field()
 
     @F.pandas_udf("string")

@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelmill.llm.words import share_package
 from labelmill.session import stored
 
 LENGTH = 1024
@@ -84,6 +85,7 @@ def pieces(
     length: int = LENGTH, end: int = END, with_ids: bool = False,
 ) -> DataFrame:
     """``(piece_row, key, piece, start, length, ids_crc32[, ids])``, stored."""
+    share_package(docs.sparkSession)
     path = path or default_vocabulary()
     key_type = docs.select(F.col(key).alias("key")).schema["key"].dataType.simpleString()
 
@@ -270,6 +272,7 @@ def packed(rows: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIEC
 
     The whole pieces of a bin stay together when bins are dealt anew.
     """
+    share_package(rows.sparkSession)
     full = rows.where(F.col("length") >= length).select("piece_row", F.col("piece_row").alias("sequence_id"))
     todo = rows.where(F.col("length") < length).select(F.lit(None).cast("long").alias("bin"), "piece_row", "length")
     done, turn = [full], 0

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.llm.components import components
+from labelmill.llm.words import share_package
 from labelmill.session import stored
 
 SHINGLE = 3
@@ -264,6 +265,7 @@ def _by_chunks(handed_on: DataFrame, limit: int) -> DataFrame:
 
 
 def _held(buckets: DataFrame, radius: int, limit: int) -> DataFrame:
+    share_package(buckets.sparkSession)
     dealt = buckets.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket")
     found = dealt.mapInArrow(_compared(radius, limit), "bucket long, a long, b long")
     return stored(found, "simhash-links")
@@ -310,6 +312,7 @@ def near_duplicates(
 
     Null keys count for nothing in the minimum.
     """
+    share_package(docs.sparkSession)
     prints = stored(
         docs.select(F.col(key).alias("key"), fingerprint(F.col(text), words_in_shingle).alias("fp")),
         "simhash-docs",
@@ -334,6 +337,7 @@ def one_of_each(
     Rows get a number when the table is stored; it decides among equal and null keys (null
     keys come last), so exactly one row of a group stays even if rows repeat.
     """
+    share_package(docs.sparkSession)
     rows = stored(docs.withColumn("__simhash_row", F.monotonically_increasing_id()), "simhash-rows")
     prints = stored(
         rows.select(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import string
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where it is not installed but on a shared path.
+
+    Spark starts workers with the environment of the context; on a cluster the package is
+    installed or sent with ``--py-files``, and this changes nothing.
+    """
+    environment = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[2])
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
