@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.llm.words import alnum_words
+from labelmill.llm.words import alnum_words, without
 from labelmill.session import stored
 
 WINDOW = 10
@@ -230,5 +230,5 @@ def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text",
     """The documents in which no window of the items occurs, with their own columns."""
     rows = stored(docs.withColumn("__index_row", F.monotonically_increasing_id()), "index-docs")
     report = contamination(rows, items, "__index_row", text, **items_of)
-    hit = report.where("n_hit > 0").select("__index_row")
-    return rows.join(hit, "__index_row", "left_anti").drop("__index_row")
+    hit = stored(report.where("n_hit > 0").select("__index_row"), "contaminated")
+    return without(rows, hit, "__index_row").drop("__index_row")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.llm.components import components
-from labelmill.llm.words import share_package
+from labelmill.llm.words import share_package, without
 from labelmill.session import stored
 
 SHINGLE = 3
@@ -349,4 +349,6 @@ def one_of_each(
     least = prints.groupBy("fp").agg(F.min("at").alias("at"))
     per_root = grouped(prints, radius).join(least, "fp").groupBy("root").agg(F.min("at").alias("at"))
     kept = per_root.select(F.col("at.__simhash_row").alias("__simhash_row"))
-    return rows.join(kept, "__simhash_row", "left_semi").drop("__simhash_row")
+    every = prints.select(F.col("at.__simhash_row").alias("__simhash_row"))
+    gone = stored(every.join(kept, "__simhash_row", "left_anti"), "simhash-gone")
+    return without(rows, gone, "__simhash_row").drop("__simhash_row")

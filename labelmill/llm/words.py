@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelmill.operators.bits import flag_possible
+
 # The two word patterns that the results are stated in.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -31,6 +33,18 @@ def share_package(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([root, *known])
 
 
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Stored ``rows`` whose unique ``key`` is not among ``gone``.
+
+    A bit table of fixed size tells which rows surely stay; only the others, with their texts,
+    are shuffled to meet ``gone`` exactly.
+    """
+    told = flag_possible(rows, gone, key, "__possibly_gone")
+    stay = told.where("NOT __possibly_gone").drop("__possibly_gone")
+    unsure = told.where("__possibly_gone").drop("__possibly_gone")
+    return stay.unionByName(unsure.join(gone.select(key), key, "left_anti"))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; every other character stays."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
