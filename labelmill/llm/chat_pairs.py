@@ -7,8 +7,9 @@ mask (positions in code points; header marks and other roles are not trained on)
 
 Pairs come from conversations that open with the same turn: they are ordered by how much the
 assistant says, and each is chosen over the next, so a group gives one pair less than it has
-members, never all pairs. A group of more than ``GROUP`` is cut by a hash of the key, so a first
-turn that a third of all conversations share is spread over tasks. A second kind is made within a
+members, never all pairs. A group of more than ``GROUP`` is dealt to ranges of that order, and each
+range also gets the first member of the next, so a first turn that a third of all conversations
+share is spread over tasks and its pairs are those of one order. A second kind is made within a
 conversation: its last reply is chosen over the reply before, given again.
 
 Turns are ordered by ``turn`` (nulls first), then role and text; a row that is repeated in all
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from labelmill.session import stored
 
 GROUP = 1000
-BROADCAST_ROWS = 100_000  # cut groups, 100 bytes each at most
+BROADCAST_ROWS = 100_000  # large groups, 100 bytes each at most
 END = "<|end|>"
 
 
@@ -107,13 +108,21 @@ def pairs_by_first_turn(convs: DataFrame, group: int = GROUP) -> DataFrame:
     first = F.struct(F.get("turns", F.lit(0))["role"], F.get("turns", F.lit(0))["text"])
     rows = convs.select("conv_id", "turns", F.sha2(F.to_json(first), 256).alias("opening"), said("turns").alias("said"))
     sizes = convs.select(F.sha2(F.to_json(first), 256).alias("opening")).groupBy("opening").agg(F.count(F.lit(1)).alias("n"))
-    large = stored(sizes.where(F.col("n") > group).select("opening", F.ceil(F.col("n") / group).alias("parts")), "openings")
+    large = stored(sizes.where(F.col("n") > group).select("opening", F.lit(True).alias("large")), "openings")
     few = large.count() <= BROADCAST_ROWS
-    cut = rows.join(F.broadcast(large) if few else large, "opening", "left")
-    number = F.conv(F.substring(F.md5(F.col("conv_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint")
-    part = F.pmod(number, F.coalesce("parts", F.lit(1)))
-    order = Window.partitionBy("opening", "part").orderBy(F.desc("said"), "conv_id")
-    ranked = cut.withColumn("part", part).withColumn("next", F.lead(F.struct("conv_id", "turns")).over(order))
+    known = rows.join(F.broadcast(large) if few else large, "opening", "left")
+    order = [F.desc("said"), F.asc("conv_id")]
+    dealt = known.where("large").drop("large").repartitionByRange(F.col("opening"), *order)
+    ranges = stored(dealt.withColumn("part", F.spark_partition_id()), "ranges")
+    first = ranges.groupBy("opening", "part").agg(F.min(F.struct(-F.col("said"), F.col("conv_id"))).alias("first"))
+    before = F.lag("part").over(Window.partitionBy("opening").orderBy("part"))
+    heads = first.select("part", F.col("first.conv_id").alias("conv_id"), before.alias("before")).where("before IS NOT NULL")
+    # The first of a range stands behind the range before as well, as a partner only.
+    heads = ranges.join(heads, ["part", "conv_id"]).withColumn("part", F.col("before")).drop("before")
+    small = known.where("large IS NULL").drop("large").withColumn("part", F.lit(-1))
+    members = small.unionByName(ranges).withColumn("head", F.lit(False)).unionByName(heads.withColumn("head", F.lit(True)))
+    behind = F.lead(F.struct("conv_id", "turns")).over(Window.partitionBy("opening", "part").orderBy(*order))
+    ranked = members.withColumn("next", behind).where(~F.col("head"))
     return ranked.where(F.col("next").isNotNull()).select(
         F.lit("opening").alias("kind"), F.col("conv_id").alias("chosen_id"),
         F.col("next.conv_id").alias("rejected_id"), F.col("turns").alias("chosen"),

@@ -88,3 +88,23 @@ def test_a_common_opening_is_cut_but_stays_linear(spark, monkeypatch, broadcast)
     pairs = C.pairs_by_first_turn(convs, group=50).select("chosen_id", "rejected_id").collect()
     assert 300 - 6 <= len(pairs) <= 299
     assert len({p.chosen_id for p in pairs}) == len(pairs) == len({p.rejected_id for p in pairs})
+
+
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_a_common_opening_keeps_every_pair_over_many_ranges(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(C, "BROADCAST_ROWS", broadcast)
+    rows = [r for c in range(400) for r in (
+        (c, 0, "user", "hi" if c % 4 else "ho" if c % 8 else f"own {c % 3}"), (c, 1, "assistant", "a" * (c % 7)))]
+    pairs = [(p[1], p[2]) for p in by_hand(rows) if p[0] == "opening"]
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "9"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for group in (0, 45, 1000):
+            convs = C.conversations(table(spark, rows))
+            found = C.pairs_by_first_turn(convs, group=group).select("chosen_id", "rejected_id").collect()
+            assert sorted(map(tuple, found)) == sorted(pairs)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
