@@ -3,7 +3,8 @@
 A block is a run of text that no block-level element starts or ends in. Character references
 are decoded, white space becomes one space, and what is never shown (head, scripts, styles,
 comments) is no block. Unclosed and wrongly nested elements are closed as browsers do for the
-common cases: a new paragraph, list item or cell ends the one before.
+common cases: a new paragraph, list item or cell ends the one before, and a head ends at the
+first tag or text that cannot stand in it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ _BLOCK_TAGS = frozenset(
     "summary table tbody td tfoot th thead tr ul".split()
 )
 _UNSEEN = frozenset("head noscript object script style svg template title textarea".split())
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # An opening tag ends an open element of its own group, up to the element that bounds the group.
 _ENDS = {
@@ -105,13 +107,15 @@ class _Blocks(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.unseen == ["head"]:
+            if tag not in _IN_HEAD:
+                self.unseen.clear()
+            elif tag == "noframes":
+                self.unseen.append(tag)
         if self.unseen:
-            if tag in _UNSEEN:
+            if tag in _UNSEEN and tag != "head":
                 self.unseen.append(tag)
-            elif tag == "body" and self.unseen == ["head"]:
-                self.unseen.clear()
-            else:
-                return
+            return
         if tag in _UNSEEN:
             if not self.unseen:
                 self.unseen.append(tag)
@@ -154,6 +158,8 @@ class _Blocks(HTMLParser):
                 return  # an inline element does not close the block around it
 
     def handle_data(self, data: str) -> None:
+        if self.unseen == ["head"] and data.strip():
+            self.unseen.clear()
         if not self.unseen:
             self.parts.append(data)
             if any(o.tag == "a" for o in self.open):

@@ -38,6 +38,17 @@ def test_blocks(page, want):
     assert texts(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<html><head><title>T</title><h1>A</h1><p>long article", ["A", "long article"]),
+    ("<head>\n<meta charset=x><link rel=y>\n<p>x<p>y", ["x", "y"]), ("<head><title>t</title> text <b>b</b>", ["text b"]),
+    ("<head><html lang=x><head><base href=y><title>t</title><p>x", ["x"]), ("<head><svg><title>t</title></svg><p>x", ["x"]),
+    ("<head><script>a</script><style>b</style><noscript><p>c</p></noscript><template><p>d</template><p>x", ["x"]),
+    ("<head><noframes>a<body>b</noframes><title>t</title></head><body>x", ["x"]),
+])
+def test_a_head_that_is_not_closed_ends_where_it_must(page, want):
+    assert texts(page) == want
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='ad'>", "</div>", "<![", "]]>", "<!--", "-->", "<", ">", "&", "&#x", "&amp;",
                                  "<script>", "</script>", "<a href=\"", "'", "x", " ", "\n", "<li>", "<table>", "</td>", "<?", "é"]), max_size=30))
