@@ -6,6 +6,11 @@ another valid card number, a date another day of the same year, an e-mail addres
 of the same shape at the same host (letters beyond ASCII stay). The key and the kind are the only tweak, so equal values get
 equal pseudonyms in every document, and two values of one format never share one.
 
+A match is not yet a value. Every place of the text where one starts is tried from left to right: an
+IBAN or a phone number that is too long gives its longest valid part up to a separator (a phone
+number never ends inside a valid value of another kind), and behind a match that is not valid the
+search goes on at the next place, not at the match's end.
+
 A value is a list of digits, each with its own base (10 for a digit, 26 for a letter, 256 for an
 octet, 5 x 73 or 6 x 61 for the day of a year). The list is cut in two halves; in each round one
 half is moved, digit by digit, by a hash of the key, the round and the other half.
@@ -17,6 +22,7 @@ are treated alike. Other columns pass through; ``n_replaced`` replaces a column
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -39,9 +45,21 @@ PHONE = (
     + r"|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}[ .-]\d{4}|" + _EDGE + r"\d{3}([.-])\d{3}\4\d{4})" + _END
 )
 ANY = "|".join([EMAIL, IBAN, CARD, SSN, IPV4, DATE, PHONE])
+# Every place where a match starts, also inside of another; group 1 is the match.
+_AT = "(?=(" + re.sub(r"\\([1-9])", lambda m: f"\\{int(m[1]) + 1}", ANY) + "))"
 # Every kind has an at sign or a digit; most texts have neither.
 _MAYBE = r"[@0-9]"
 
+# Characters of an IBAN by country; for others mod 97 alone decides.
+IBAN_LENGTH = {
+    country: int(n) for n, countries in (part.split(":") for part in (
+        "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV "
+        "22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG "
+        "25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV "
+        "29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+    ).split()) for country in countries.split(",")
+}
+
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` with ``value`` computed once."""
@@ -159,10 +177,30 @@ def mod97(text: Column) -> Column:
     return F.aggregate(_chars(text), F.lit(0), step)
 
 
+def _longest(m: Column, mark: str, valid: Callable[[Column], Column]) -> Column:
+    """The longest valid part of ``m`` from its start to a ``mark`` or its end; else null."""
+    ends = F.filter(
+        F.sequence(F.length(m), F.lit(1), F.lit(-1)),
+        lambda i: (i == F.length(m)) | F.substr(m, i + 1, F.lit(1)).rlike(mark),
+    )
+    return F.get(F.filter(F.transform(ends, lambda i: F.substr(m, F.lit(1), i)), valid), F.lit(0))
+
+
+def _iban_valid(m: Column) -> Column:
+    def body(s: Column) -> Column:
+        lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTH.items() for x in pair])
+        n = F.coalesce(F.try_element_at(lengths, F.substring(s, 1, 2)), F.length(s))
+        right = (F.length(s) == n) & (F.length(s) >= 12)
+        return right & (mod97(F.concat(F.substring(s, 5, 40), F.substring(s, 1, 4))) == 1)
+
+    return _let(F.regexp_replace(m, " ", ""), body)
+
+
 def _iban(m: Column, key: str) -> Column:
+    valid = _iban_valid(m)
+
     def body(s: Column) -> Column:
         country, rest = F.substring(s, 1, 2), F.substring(s, 5, 40)
-        valid = mod97(F.concat(rest, F.substring(s, 1, 4))) == 1
 
         def fresh(r: Column) -> Column:
             check = F.lpad((98 - mod97(F.concat(r, country, F.lit("00")))).cast("string"), 2, "0")
@@ -258,12 +296,19 @@ def _date(m: Column, key: str) -> Column:
     return _let(parts, body)
 
 
+def _phone_parts(m: Column) -> tuple[Column, Column]:
+    code = F.regexp_extract(m, r"^(\+1|\+\d{1,3}(?=[ .(-])|\+|)", 1)
+    return code, F.substr(m, F.length(code) + 1)
+
+
+def _phone_valid(m: Column) -> Column:
+    return F.length(F.regexp_replace(_phone_parts(m)[1], "[^0-9]", "")).between(7, 14)
+
+
 def _phone(m: Column, key: str) -> Column:
     """The country code stays; the number behind it has 7 to 14 digits."""
-    code = F.regexp_extract(m, r"^(\+1|\+\d{1,3}(?=[ .(-])|\+|)", 1)
-    rest = F.substr(m, F.length(code) + 1)
-    count = F.length(F.regexp_replace(rest, "[^0-9]", ""))
-    return F.when(count.between(7, 14), F.concat(code, _permuted(rest, "phone", key))).otherwise(m)
+    code, rest = _phone_parts(m)
+    return F.when(_phone_valid(m), F.concat(code, _permuted(rest, "phone", key))).otherwise(m)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -284,18 +329,96 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
+def _is_phone(m: Column) -> Column:
+    return m.rlike(r"^\+[^@]+$")
+
+
+def _judged(m: Column, key: str) -> Column:
+    """``(value, fresh)`` of a match: what of it is the value, and its pseudonym; equal if not valid.
+
+    Phone numbers with a country code wait for :func:`_with_phones`.
+    """
+    value = F.when(m.rlike("^[A-Z][^@]+$"), F.coalesce(_longest(m, " ", _iban_valid), m)).otherwise(m)
+    made = _let(value, lambda v: F.struct(v.alias("value"), pseudonym(v, key).alias("fresh")))
+    return F.when(_is_phone(m), F.struct(m.alias("value"), m.alias("fresh"))).otherwise(made)
+
+
+def _with_phones(rows: Column, key: str) -> Column:
+    """``rows(piece, found)`` with the phone numbers that do not end inside another valid value."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def inside(x: Column, i: Column) -> Column:
+        start = F.struct(F.length(x["piece"]).alias("at"), none.alias("spans"))
+
+        def step(a: Column, y: Column) -> Column:
+            value, new = y["found"]["value"], y["found"]["fresh"]
+            span = F.array(F.struct(a["at"].alias("start"), (a["at"] + F.length(value)).alias("end")))
+            spans = F.when(value != new, F.concat(a["spans"], span)).otherwise(a["spans"])
+            return F.struct((a["at"] + F.length(y["piece"])).alias("at"), spans.alias("spans"))
+
+        # A phone number has at most 35 characters, and two starts have a character between them.
+        return F.aggregate(F.slice(rows, i + 2, 18), start, step, lambda a: a["spans"])
+
+    def one(x: Column, i: Column) -> Column:
+        m = x["found"]["value"]
+
+        def phone(spans: Column) -> Column:
+            def whole(part: Column) -> Column:
+                n = F.length(part)
+                return _phone_valid(part) & ~F.exists(spans, lambda s: (s["start"] < n) & (n < s["end"]))
+
+            def judged(v: Column) -> Column:
+                return F.struct(
+                    F.coalesce(v, m).alias("value"), F.coalesce(_phone(v, key), m).alias("fresh")
+                )
+
+            return F.struct(x["piece"].alias("piece"), _let(_longest(m, "[ .-]", whole), judged).alias("found"))
+
+        return F.when(_is_phone(m), _let(inside(x, i), phone)).otherwise(x)
+
+    return F.transform(rows, one)
+
+
+def _replaced(rows: Column) -> Column:
+    """``(at, end, out, n)`` of a text in pieces that each start with the value of ``found``.
+
+    A value is replaced if it is valid and starts behind the last one that was replaced.
+    """
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), none.alias("out"), F.lit(0).cast("bigint").alias("n"))
+
+    def step(a: Column, x: Column) -> Column:
+        value, new = x["found"]["value"], x["found"]["fresh"]
+        taken = F.coalesce((a["at"] >= a["end"]) & (value != new), F.lit(False))
+
+        def piece(end: Column) -> Column:
+            kept = F.substr(x["piece"], F.greatest(end - a["at"], F.lit(0)) + 1)
+            out = F.concat(a["out"], F.array(F.concat(F.when(taken, new).otherwise(""), kept)))
+            return F.struct(
+                (a["at"] + F.length(x["piece"])).alias("at"), end.alias("end"), out.alias("out"),
+                (a["n"] + taken.cast("bigint")).alias("n"),
+            )
+
+        return _let(F.when(taken, a["at"] + F.length(value)).otherwise(a["end"]), piece)
+
+    return F.aggregate(rows, start, step)
+
+
 def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str | None = "n_replaced") -> DataFrame:
     """``docs`` with valid values in ``text`` replaced, and how many (unless ``count`` is None)."""
     t = F.col(text)
     none = F.array().cast("array<string>")
-    found = F.when(t.rlike(_MAYBE), F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).otherwise(none)
+    found = F.when(t.rlike(_MAYBE), F.regexp_extract_all(t, F.lit(_AT), F.lit(1))).otherwise(none)
     rows = docs.withColumn("__pii_found", F.coalesce(found, none))
-    rows = rows.withColumn("__pii_fresh", F.transform("__pii_found", lambda m: pseudonym(m, key)))
-    between = F.split(t, ANY, -1)
-    ends = F.concat("__pii_fresh", F.array(F.lit("")))
-    joined = F.array_join(F.zip_with(between, ends, lambda a, b: F.concat(a, b)), "")
-    differ = F.zip_with("__pii_found", "__pii_fresh", lambda a, b: (a != b).cast("bigint"))
-    made = {text: F.when(F.size("__pii_found") > 0, joined).otherwise(t)}
+
+    rows = rows.withColumn("__pii_fresh", F.transform("__pii_found", lambda m: _judged(m, key)))
+    pieces = F.split(t, _AT, -1)
+    # A text that does not start with a match has a piece before the first.
+    before = F.slice(F.array(F.lit(None).cast("struct<value:string,fresh:string>")), F.lit(1), F.size(pieces) - F.size("__pii_found"))
+    judged = F.arrays_zip(pieces.alias("piece"), F.concat(before, F.col("__pii_fresh")).alias("found"))
+    made = _let(judged, lambda p: _let(_with_phones(p, key), _replaced))
+    rows = rows.withColumn("__pii_made", F.when(F.size("__pii_found") > 0, made))
+    out = {text: F.when(F.size("__pii_found") > 0, F.array_join("__pii_made.out", "")).otherwise(t)}
     if count:
-        made[count] = F.aggregate(differ, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return rows.withColumns(made).drop("__pii_found", "__pii_fresh")
+        out[count] = F.coalesce("__pii_made.n", F.lit(0).cast("bigint"))
+    return rows.withColumns(out).drop("__pii_found", "__pii_fresh", "__pii_made")

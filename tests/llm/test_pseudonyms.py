@@ -50,6 +50,32 @@ def test_valid_values_change_and_stay_valid(spark):
     assert re.sub(r"\D", "", got[0]) == re.sub(r"\D", "", got[1])  # the same card, written twice
 
 
+BEHIND = [
+    ("{} 12 May", "ES9121000418450200051332"), ("{} IN the", "BE68 5390 0754 7034"), ("{} 2024 12 A", "AT61 1904 3002 3457 3201"),
+    ("ID12 {}", "4111 1111 1111 1111"), ("AB12 1234 5678 {}", "106.158.249.239"), ("AB12 1234 5678 {}", "1987-03-09"),
+    ("4539 {}", "4111 1111 1111 1111"), ("{} 1234 5678", "+1 212 555 0199"), ("+49 30 {}", "4111 1111 1111 1111"),
+    ("+49 30 {} 1234", "4111 1111 1111 1111"), ("{} 2024", "+49 30 1234567 8901"),
+]
+
+
+def test_a_value_beside_what_looks_like_more_of_it(spark):
+    alone = fresh(spark, [v for _, v in BEHIND])
+    assert all(a != v for (_, v), a in zip(BEHIND, alone))
+    got = fresh(spark, [f"so {around.format(v)}, then" for around, v in BEHIND])
+    for (around, v), a, out in zip(BEHIND, alone, got):
+        assert v not in out, (around, v)
+        if not v.startswith("+"):
+            assert out == f"so {around.format(a)}, then"
+
+
+def test_values_one_after_the_other(spark):
+    values = ["4111 1111 1111 1111", "+1 212 555 0199", "2024-01-05", "106.158.249.239", "ES91 2100 0418 4502 0005 1332"]
+    orders = [(1, 0, 1), (1, 2, 1), (1, 3), (4, 4, 2), (4, 0, 4), (0, 0, 1)]
+    got = fresh(spark, values + [" ".join(values[i] for i in o) for o in orders])
+    for o, out in zip(orders, got[len(values):]):
+        assert out == " ".join(got[i] for i in o)
+
+
 def test_invalid_and_plain_texts_stay(spark):
     plain = [f"so {v} then" for v in INVALID] + [t for t in texts() if t is not None]
     assert fresh(spark, plain) == plain
