@@ -3,13 +3,17 @@
 A block is a run of text that no block-level element starts or ends in. Character references
 are decoded, white space becomes one space, and what is never shown (head, scripts, styles,
 comments) is no block. Unclosed and wrongly nested elements are closed as browsers do for the
-common cases: a new paragraph, list item or cell ends the one before, and a head ends at the
-first tag or text that cannot stand in it.
+common cases: a new paragraph, list item or cell ends the one before, a head ends at the first
+tag or text that cannot stand in it, and a drawing at the first tag that cannot stand in one.
+Comments, declarations and tags that never end run to the end of the page. An element that would
+hide its content but has no end (an unclosed object or template, say) hides nothing: the page is
+read once more without it. Work is linear in the page however deep its elements are nested.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -64,6 +68,17 @@ class Block:
     hidden: bool = False
 
 
+_SEEN_AROUND = frozenset(_ANCESTORS)
+# Tags that cannot stand in a drawing and end it; inside the last three HTML may stand again.
+_ENDS_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing "
+    "menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+_HTML_IN_SVG = frozenset("desc foreignobject title".split())
+_RAW = ("script", "style")
+_COMMENT_END = re.compile(r"--!?>")
+
+
 @dataclass
 class _Open:
     tag: str
@@ -72,26 +87,85 @@ class _Open:
 
 
 class _Blocks(HTMLParser):
-    def __init__(self) -> None:
+    """``shown`` names, by their order in the page, hiding elements whose content counts as text."""
+
+    def __init__(self, shown: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
         self.open: list[_Open] = []
-        self.unseen: list[str] = []
+        self.places: dict[str, list[int]] = defaultdict(list)  # of the open elements, by tag
+        self.block_places: list[int] = []
+        self.hints: Counter[str] = Counter()
+        self.hidden = 0
+        self.unseen: list[tuple[str, int]] = []
+        self.unseen_tags: Counter[str] = Counter()
+        self.shown, self.hiding = shown, 0
+        self.in_tag = False
         self.parts: list[str] = []
         self.linked = 0
 
+    # --- what never ends runs to the end of the page ---
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        for empty in (">", "->"):
+            if self.rawdata.startswith(empty, i + 4):
+                return i + 4 + len(empty)
+        end = _COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
+    def _to_bracket(self, i: int) -> int:
+        return self.rawdata.find(">", i) + 1 or len(self.rawdata)
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self._to_bracket(i)
+
+    def parse_pi(self, i: int) -> int:
+        return self._to_bracket(i)
+
+    def parse_starttag(self, i: int) -> int:
+        self.in_tag = True  # what the parser takes for text in here is a broken tag
+        end = super().parse_starttag(i)
+        self.in_tag = False
+        return end if end >= 0 else self._to_bracket(i)
+
+    def parse_endtag(self, i: int) -> int:
+        end = super().parse_endtag(i)
+        return end if end >= 0 else self._to_bracket(i)
+
+    def set_cdata_mode(self, elem: str) -> None:
+        if not (self.unseen and self.unseen[-1][0] == "svg"):
+            super().set_cdata_mode(elem)
+
+    # --- the open elements ---
+
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            tags = [o.tag for o in self.open]
-            own = next((t for t in reversed(tags) if t in _BLOCK_TAGS), "body")
-            hints = frozenset().union(*(o.hints for o in self.open))
-            hidden = any(o.hidden for o in self.open)
-            self.blocks.append(Block(text, self.linked, own, frozenset(tags), hints, hidden))
+            own = self.open[self.block_places[-1]].tag if self.block_places else "body"
+            around = frozenset(t for t in _SEEN_AROUND if self.places.get(t))
+            self.blocks.append(Block(text, self.linked, own, around, frozenset(+self.hints), self.hidden > 0))
         self.parts, self.linked = [], 0
 
+    def _push(self, element: _Open) -> None:
+        at = len(self.open)
+        self.open.append(element)
+        self.places[element.tag].append(at)
+        if element.tag in _BLOCK_TAGS:
+            self.block_places.append(at)
+        self.hints.update(element.hints)
+        self.hidden += element.hidden
+
     def _pop_to(self, at: int) -> None:
-        del self.open[at:]
+        while len(self.open) > at:
+            gone = self.open.pop()
+            self.places[gone.tag].pop()
+            if gone.tag in _BLOCK_TAGS:
+                self.block_places.pop()
+            self.hints.subtract(gone.hints)
+            self.hidden -= gone.hidden
+
+    def _last(self, tags: set[str] | frozenset[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
 
     def _close_implied(self, tag: str) -> None:
         ended, bound = _ENDS.get(tag, (None, None))
@@ -99,26 +173,46 @@ class _Blocks(HTMLParser):
             if tag not in _BLOCK_TAGS:
                 return
             ended, bound = {"p"}, _HOLDS_P
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at].tag in ended:
-                self._pop_to(at)
-                return
-            if self.open[at].tag in bound:
-                return
+        at = self._last(ended)
+        if at >= 0 and at >= self._last(bound):
+            self._pop_to(at)
+
+    # --- hiding elements ---
+
+    def _hide(self, tag: str) -> None:
+        if self.hiding not in self.shown:
+            self.unseen.append((tag, self.hiding))
+            self.unseen_tags[tag] += 1
+        self.hiding += 1
+
+    def _unhide(self) -> str:
+        tag = self.unseen.pop()[0]
+        self.unseen_tags[tag] -= 1
+        return tag
+
+    def _only_head(self) -> bool:
+        return len(self.unseen) == 1 and self.unseen[0][0] == "head"
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.unseen == ["head"]:
+        if self._only_head():
             if tag not in _IN_HEAD:
-                self.unseen.clear()
+                self._unhide()
             elif tag == "noframes":
-                self.unseen.append(tag)
+                self._hide(tag)
+        if self.unseen and self.unseen[-1][0] == "svg":
+            if tag in _ENDS_SVG:
+                self._unhide()
+            elif tag in _HTML_IN_SVG or tag == "svg":
+                self._hide(tag)
+                return
+            else:
+                return
         if self.unseen:
             if tag in _UNSEEN and tag != "head":
-                self.unseen.append(tag)
+                self._hide(tag)
             return
         if tag in _UNSEEN:
-            if not self.unseen:
-                self.unseen.append(tag)
+            self._hide(tag)
             return
         if tag == "br":
             self.parts.append(" ")
@@ -134,47 +228,56 @@ class _Blocks(HTMLParser):
                 hints.update(_HINT_OF[w] for w in _WORD.findall(value.lower()) if w in _HINT_OF)
             elif name == "hidden" or (name == "style" and value and "display:none" in value.replace(" ", "").lower()):
                 hidden = True
-        self.open.append(_Open(tag, frozenset(hints), hidden))
+        self._push(_Open(tag, frozenset(hints), hidden))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
+        before = self.hiding
         self.handle_starttag(tag, attrs)
-        if tag not in _VOID and tag not in _UNSEEN and self.open and self.open[-1].tag == tag:
+        if self.hiding > before:
+            if self.unseen and self.unseen[-1][1] == before:
+                self._unhide()
+        elif tag not in _VOID and self.open and self.open[-1].tag == tag and not self.unseen:
             self.handle_endtag(tag)
-        elif tag in _UNSEEN and self.unseen and self.unseen[-1] == tag:
-            self.unseen.pop()
 
     def handle_endtag(self, tag: str) -> None:
         if self.unseen:
-            if tag in self.unseen:
-                del self.unseen[len(self.unseen) - 1 - self.unseen[::-1].index(tag):]
+            if self.unseen_tags[tag] > 0:
+                while self._unhide() != tag:
+                    pass
             return
         if tag in _BLOCK_TAGS:
             self.flush()
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at].tag == tag:
-                self._pop_to(at)
-                return
-            if tag not in _BLOCK_TAGS and self.open[at].tag in _BLOCK_TAGS:
-                return  # an inline element does not close the block around it
+        at = self._last({tag})
+        # An inline element does not close the block around it.
+        if at >= 0 and (tag in _BLOCK_TAGS or not self.block_places or at > self.block_places[-1]):
+            self._pop_to(at)
 
     def handle_data(self, data: str) -> None:
-        if self.unseen == ["head"] and data.strip():
-            self.unseen.clear()
+        if self.in_tag:
+            return
+        if self._only_head() and data.strip():
+            self._unhide()
         if not self.unseen:
             self.parts.append(data)
-            if any(o.tag == "a" for o in self.open):
+            if self.places.get("a"):
                 self.linked += len(data.strip())
 
 
+def _read(html: str, shown: frozenset[int] = frozenset()) -> _Blocks:
+    parser = _Blocks(shown)
+    parser.feed(html)
+    parser.close()
+    parser.flush()
+    return parser
+
+
 def blocks(html: str | None) -> list[Block]:
     """The leaf blocks of a page in page order."""
     if not html:
         return []
-    parser = _Blocks()
-    parser.feed(html.replace("<![", "<!"))  # a marked section is a comment in a page
-    parser.close()
-    parser.flush()
-    return parser.blocks
+    page = _read(html)
+    endless = frozenset(at for tag, at in page.unseen if tag not in ("head", *_RAW))
+    return _read(html, endless).blocks if endless else page.blocks
 
 
 def _step(name: str, value: float, cuts: tuple) -> str:

@@ -1,6 +1,7 @@
 import html as references
 import itertools
 import re
+import time
 
 import numpy as np
 import pytest
@@ -49,8 +50,32 @@ def test_a_head_that_is_not_closed_ends_where_it_must(page, want):
     assert texts(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<p>a</p><![[foo[ x ]]><p>b</p>", ["a", "b"]), ("<p>a</p><![[[<![ x ><p>b</p>", ["a", "b"]),
+    ("<p>a</p><!-- x <p>b</p>", ["a"]), ("a<!--><p>b", ["a", "b"]), ("a<!---><p>b", ["a", "b"]), ("a<!-- x --!><p>b", ["a", "b"]),
+    ("<p>a</p><!x <p", ["a"]), ("<p>a</p><?x", ["a"]), ("<p>a</p><a href=\"x", ["a"]), ("<p>a</p></di", ["a"]),
+    ("<svg><style>x</svg><p>b</p>", ["b"]), ("<svg><title>t</title><style>x</style><p>b</p>", ["b"]), ("<svg><path><p>b</p>", ["b"]),
+    ("<svg><foreignObject><p>x</p></foreignObject></svg><p>b", ["b"]), ("a<svg/>b", ["ab"]), ("a<svg><g/>x</svg>b", ["ab"]),
+    ("<head><object><p>x</head><body><p>y</p>", ["x", "y"]), ("<p>a<object><p>b</p>", ["a", "b"]), ("a<template><p>b</p>", ["a", "b"]),
+    ("<object><p>x<object>y</object><p>z", ["x", "z"]), ("<object>x</object><p>y", ["y"]),
+])
+def test_what_has_no_end(page, want):
+    assert texts(page) == want
+
+
+@pytest.mark.parametrize("page,n", [
+    ("<div>x" * 50_000, 50_000), ("<div>" * 50_000 + "<p>x</section></i></td>" * 50_000, 50_000),
+    ("<i><div>" + "<b>" * 50_000 + "</i>" * 50_000 + "x", 1), ("<svg><foreignobject>" + "<object>" * 50_000 + "<b>" * 50_000 + "x", 1),
+    ("<div class='ad menu'><a>x" * 50_000, 50_000), ("<svg>" * 50_000 + "</svg>" * 50_000 + "x", 1),
+])
+def test_deep_pages_are_read_in_linear_time(page, n):
+    started = time.monotonic()
+    assert len(texts(page)) == n
+    assert time.monotonic() - started < 5
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='ad'>", "</div>", "<![", "]]>", "<!--", "-->", "<", ">", "&", "&#x", "&amp;",
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='ad'>", "</div>", "<![", "<![[", "[", "]]>", "<svg>", "</svg>", "<title>", "<style>", "<object>", "</object>", "<svg/>", "<!--", "-->", "<", ">", "&", "&#x", "&amp;",
                                  "<script>", "</script>", "<a href=\"", "'", "x", " ", "\n", "<li>", "<table>", "</td>", "<?", "é"]), max_size=30))
 def test_any_markup_is_read(parts):
     for b in blocks("".join(parts)):
