@@ -6,8 +6,9 @@ character n-grams of host and path, fitted on a small labelled table (below, com
 from words that sites of either kind have in their names).
 
 Rules are looked up, not tried one after another: a URL has one candidate per label of its host,
-which meets the rules by equal key, and the rules are few enough to be sent. Nothing is shuffled
-and no Python runs on the executors.
+but no more than the longest rule's host has, which meets the rules by equal key. A list of rules
+is sent with the plan and nothing is shuffled; a table of rules, of any size, is joined by host.
+No Python runs on the executors.
 
 A null URL, or one without ``://``, has an empty host and path, fits no rule and is judged by the
 classifier's bias. Very long URLs are judged whole. Repeated rows are judged alike; columns of the
@@ -26,11 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.llm.words import ascii_lower
+from labelmill.operators.rows import ROW, numbered
+from labelmill.session import scratch_path, stored
 
 SIZES = (3, 4)  # characters in an n-gram
 BUCKETS = 1 << 16
 PENALTY = 0.0003
-MAX_RULES = 10_000  # sent whole to every task
+SENT_RULES = 10_000  # longer lists go as a table
 
 # The rules that the result is stated in.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -102,36 +105,45 @@ def _hashing() -> HashingTF:
 
 
 def fit(labelled: DataFrame, url: str = "url", label: str = "label") -> LogisticRegressionModel:
-    """Logistic regression with an L2 penalty; ``label`` is 1 to block. The table is small."""
+    """Logistic regression with an L2 penalty; ``label`` is 1 to block. The table is small.
+
+    The model is saved and loaded: a fresh one holds its session, which cannot be sent to tasks.
+    """
     rows = split_url(labelled.select(url, F.col(label).cast("double").alias("label")), url)
     rows = _hashing().transform(rows.withColumn("__url_grams", grams("host", "path")))
     share = rows.agg(F.avg("label")).first()[0]
     weight = F.when(F.col("label") == 1, 1 - share).otherwise(share)  # both labels count alike
-    return LogisticRegression(
+    model = LogisticRegression(
         featuresCol="__url_features", labelCol="label", weightCol="__url_weight", regParam=PENALTY, maxIter=200, tol=1e-8,
         predictionCol="__url_blocked", probabilityCol="__url_chance", rawPredictionCol="__url_raw",
         standardization=False,
     ).fit(rows.withColumn("__url_weight", weight))
+    path = scratch_path(labelled.sparkSession, "url-model")
+    model.save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def fit_default(spark: SparkSession) -> LogisticRegressionModel:
     return fit(spark.createDataFrame(labelled_urls(), "url string, label int").coalesce(1))
 
 
+def parents(host: Column, depth: int | Column) -> Column:
+    """The host's own name and those above it, of at most ``depth`` labels."""
+    labels = F.split(host, r"\.")
+    most = F.least(F.size(labels), F.lit(depth) if isinstance(depth, int) else depth)
+    return F.transform(F.sequence(F.lit(1), most), lambda n: F.array_join(F.slice(labels, -n, n), "."))
+
+
+def _depth(host: Column) -> Column:
+    return F.size(F.split(host, r"\."))
+
+
 def rule_column(rules: list[tuple[str, str]], host: str = "host", path: str = "path") -> Column:
     """The longest rule that fits, as ``struct(rule, verdict)``; null if none does."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
     by_host: dict[str, list[tuple[str, str, str]]] = {}
     for rule, verdict in rules:
         name, slash, start = rule.partition("/")
         by_host.setdefault(name.lower(), []).append((slash + start, rule, verdict))
-    # The host's own name and every parent of it: looked up in one map, sent with the plan.
-    labels = F.split(F.col(host), r"\.")
-    parents = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
     entry = "array<struct<start:string,rule:string,verdict:string>>"
     if not by_host:
         return F.lit(None).cast("struct<rule:string,verdict:string>")
@@ -141,7 +153,8 @@ def rule_column(rules: list[tuple[str, str]], host: str = "host", path: str = "p
         ]).cast(entry)) for name, found in sorted(by_host.items())
     ]))
     none = F.array().cast(entry)
-    met = F.flatten(F.transform(parents, lambda p: F.coalesce(F.element_at(known, p), none)))
+    names = parents(F.col(host), max(name.count(".") + 1 for name in by_host))
+    met = F.flatten(F.transform(names, lambda p: F.coalesce(F.element_at(known, p), none)))
     fits = F.filter(met, lambda r: F.startswith(F.col(path), r["start"]))
     best = F.array_sort(F.transform(fits, lambda r: F.struct(
         (-F.length(r["rule"])).alias("size"), r["rule"].alias("rule"), r["verdict"].alias("verdict")
@@ -150,15 +163,44 @@ def rule_column(rules: list[tuple[str, str]], host: str = "host", path: str = "p
     return F.get(F.transform(chosen, lambda r: F.struct(r["rule"].alias("rule"), r["verdict"].alias("verdict"))), F.lit(0))
 
 
+def with_rules_of(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rows(host, path)`` with ``__url_rule``, from a table ``rules(rule, verdict)`` of any size.
+
+    Every distinct ``(host, path)`` meets the rules of its host's parents by equal host; what met is
+    written before the longest is taken, so a host that most URLs share is split by the join.
+    Null rules are left out; of equally long ones the first in order of rule and verdict wins.
+    """
+    name = F.substring_index("rule", "/", 1)
+    known = stored(rules.where("rule IS NOT NULL").select(
+        F.lower(name).alias("__name"), F.substr("rule", F.length(name) + 1).alias("__start"), "rule", "verdict",
+    ), "url-rules")
+    deepest = known.agg(F.coalesce(F.max(_depth(F.col("__name"))), F.lit(1))).first()[0]
+    numbers = numbered(rows, "urls")
+    places = numbers.groupBy("host", "path").agg(F.min(ROW).alias("__place"))
+    names = places.select("__place", "path", F.explode(parents(F.col("host"), deepest)).alias("__name"))
+    met = names.join(known, "__name").where(F.startswith("path", "__start"))
+    met = stored(met.select("__place", F.struct((-F.length("rule")).alias("size"), "rule", "verdict").alias("met")), "url-met")
+    best = met.groupBy("__place").agg(F.min("met").alias("met"))
+    best = best.select("__place", F.struct("met.rule", "met.verdict").alias("__url_rule"))
+    found = stored(places.join(best, "__place", "left").drop("__place"), "url-found")
+    return numbers.join(found, ["host", "path"], "left").drop(ROW)
+
+
 def judged(
-    urls: DataFrame, model: LogisticRegressionModel, rules: list[tuple[str, str]] = RULES, url: str = "url",
+    urls: DataFrame, model: LogisticRegressionModel, rules: list[tuple[str, str]] | DataFrame = RULES, url: str = "url",
 ) -> DataFrame:
     """``urls`` with ``host``, ``path``, ``rule``, ``block_chance`` and ``verdict``.
 
     ``block_chance`` is the classifier's, given for every row; ``verdict`` is ``allow`` or
-    ``block``, the rule's if one fits.
+    ``block``, the rule's if one fits. ``rules`` is a list, or a table ``(rule, verdict)``.
     """
-    rows = split_url(urls, url).withColumn("__url_rule", rule_column(rules))
+    rows = split_url(urls, url)
+    if isinstance(rules, list) and len(rules) > SENT_RULES:
+        rules = urls.sparkSession.createDataFrame(rules, "rule string, verdict string")
+    if isinstance(rules, DataFrame):
+        rows = with_rules_of(rows, rules)
+    else:
+        rows = rows.withColumn("__url_rule", rule_column(rules))
     rows = _hashing().transform(rows.withColumn("__url_grams", grams("host", "path")))
     rows = model.transform(rows).withColumn("block_chance", vector_to_array("__url_chance")[1])
     own = F.when(F.col("block_chance") >= 0.5, "block").otherwise("allow")

@@ -1,7 +1,11 @@
+import math
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from labelmill.llm import url_filter
 
@@ -23,6 +27,24 @@ def by_hand(url):
     return host, path, max(fits)[1:] if fits else (None, None)
 
 
+def murmur3(data, seed=42):
+    """The public 32-bit hash, as a signed number."""
+    def turned(x, n):
+        return (x << n | x >> (32 - n)) & 0xFFFFFFFF
+
+    h = seed
+    for i in range(0, len(data), 4):
+        k = int.from_bytes(data[i : i + 4], "little") * 0xCC9E2D51 & 0xFFFFFFFF
+        h ^= turned(k, 15) * 0x1B873593 & 0xFFFFFFFF
+        if i + 4 <= len(data):
+            h = (turned(h, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
 def test_hosts_paths_and_rules(spark, model):
     r = random.Random(3)
     urls = [None, "", "x", "://", "a://B.Net/x?y", "http://EXAMPLE.net/en/1", "http://example.net/en", "http://netx/",
@@ -48,6 +70,50 @@ def test_empty_table_and_no_rules(spark, model):
     assert url_filter.judged(some, model, rules=[]).first().rule is None
 
 
+def test_many_rules_are_joined(spark, model):
+    r = random.Random(4)
+    rules = [(f"s{i}.{r.choice(['net', 'example.org', 'com'])}/{r.choice(['', 'en/', 'de/'])}", r.choice(["block", "allow"])) for i in range(url_filter.SENT_RULES)]
+    rules = list({rule: verdict for rule, verdict in rules + url_filter.RULES * 2}.items()) + [("q.com/", "block")]
+    urls = [None, "", "x", "http://net/"] + [f"http://a.s{r.randint(0, 20)}.{r.choice(['net', 'example.org', 'com'])}/{r.choice(['', 'en/', 'de/x', 'fr/'])}" for _ in range(500)]
+    frame = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls + urls[:9])], "id int, url string, rule string")
+    few = [x for x in rules if int(re.sub(r"\D", "", x[0][:6]) or 0) <= 20]
+    keys = ("id", "host", "path", "rule", "verdict")
+    want = sorted(tuple(x[k] for k in keys) for x in url_filter.judged(frame, model, few).select(*keys).collect())
+    for given in (rules, spark.createDataFrame([*rules, (None, "block")], "rule string, verdict string")):
+        if isinstance(given, list):
+            assert len(given) > url_filter.SENT_RULES - 10
+        got = url_filter.judged(frame, model, given).select(*keys).collect()
+        assert sorted(tuple(x[k] for k in keys) for x in got) == want
+
+
+def test_hosts_of_many_labels_are_judged_in_time(spark, model):
+    long = "http://" + "a." * 200_000 + "example.net/en/x"
+    started = time.monotonic()
+    row = url_filter.judged(spark.createDataFrame([(long,)], "url string"), model).select("rule", "verdict").first()
+    assert (row.rule, row.verdict) == ("example.net/en/", "allow") and time.monotonic() - started < 10
+
+
+def test_scores_are_those_of_the_hashed_n_grams(spark, model):
+    urls = ["http://Casino.example.com/en/1", "https://www.garden.org", "", "http://é\U0001f600.net/x?y"]
+    rows = url_filter.judged(spark.createDataFrame([(u,) for u in urls], "url string"), model, []).collect()
+    weights = model.coefficients.toArray()
+    for row in rows:
+        grams = set()
+        for mark, text in (("h:", f"^{row.host}$"), ("p:", f"^{row.path}$")):
+            grams |= {mark + text[i : i + n] for n in (3, 4) for i in range(len(text) - n + 1)}
+        places = {murmur3(g.encode()) % url_filter.BUCKETS for g in grams}
+        chance = 1 / (1 + math.exp(-(sum(weights[i] for i in places) + model.intercept)))
+        assert row.block_chance == pytest.approx(chance)
+
+
+def test_observing_before_does_no_harm(spark):
+    seen = Observation("seen")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    urls = spark.createDataFrame([("http://casino.com/",)], "url string")
+    assert url_filter.judged(urls, url_filter.fit_default(spark)).count() == 1
+
+
 def test_classifier_on_names_it_has_not_seen(spark):
     held = {"casino", "cheap-pills", "spam-farm", "ads", "garden", "library", "science", "museum"}
     known, unknown = [], []
