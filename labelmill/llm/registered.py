@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.llm import (
-    chat_pairs, decontaminate, html_main_text, packing, pseudonyms, quality_classifier, quality_rules,
+    chat_pairs, decontaminate, fill_in_middle, html_main_text, packing, pseudonyms, quality_classifier, quality_rules,
     sharding, simhash, url_filter,
 )
 from labelmill.llm.words import table
@@ -230,3 +230,37 @@ SELECT kind, chosen_id, rejected_id, n_prompt_turns, prompt, chosen, rejected, c
   rejected_mask, chosen <> '' AND rejected <> '' AND chosen <> rejected AS usable
 FROM done
 """
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"),
+    )
+
+
+ORACLES["op13_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT coalesce(text, '') AS t, doc_id, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents
+), cut AS (
+  SELECT doc_id, t, u, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS y,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+      OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), parts AS (
+  SELECT doc_id, n, form, t, array_to_string(u[1:least(x, y)], '') AS p,
+    array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(u[greatest(x, y) + 1:], '') AS s
+  FROM cut
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256
+FROM parts
+"""
