@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.llm import (
-    chat_pairs, decontaminate, fill_in_middle, html_main_text, packing, pseudonyms, quality_classifier, quality_rules,
+    chat_pairs, decontaminate, fill_in_middle, html_main_text, packing, periodic_runs, pseudonyms, quality_classifier, quality_rules,
     sharding, simhash, url_filter,
 )
 from labelmill.llm.words import table
@@ -264,3 +264,60 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) EN
   sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256
 FROM parts
 """
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = periodic_runs.with_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = periodic_runs.periodic_runs(docs).withColumn("best", periodic_runs.longest_by_exponent())
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+# The checksum is folded bit by bit; runs show as stretches of equal windows of eight words, q apart.
+ORACLES["op12_periodic_runs"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+      string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END)) AS h
+  FROM documents
+), cut AS (
+  SELECT k, doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a,
+    3 + (h // 10) % 8 AS e FROM d
+), t AS (
+  SELECT k, doc_id, n, w[1:a] || list_transform(range(a, n), lambda i: w[1 + a + (i - a) % (1 + (n - a) // e)]) AS w FROM cut
+), win AS (
+  SELECT k, n, i, w[i + 1:i + 8] AS s FROM (SELECT *, unnest(range(n - 7)) AS i FROM t)
+), again AS (
+  SELECT * FROM win QUALIFY count(*) OVER (PARTITION BY k, s) > 1
+), pairs AS (
+  SELECT x.k, x.i, y.i - x.i AS q FROM again x JOIN again y ON x.k = y.k AND x.s = y.s AND y.i > x.i
+  WHERE 3 * (y.i - x.i) <= x.n
+), stretches AS (
+  SELECT k, q, min(i) AS start, count(*) + 7 + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS g FROM pairs)
+  GROUP BY k, q, g HAVING count(*) + 7 + q >= greatest(24, 3 * q)
+), runs AS (
+  SELECT k, start, length, min(q) AS period FROM stretches GROUP BY ALL
+), told AS (
+  SELECT k, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY k
+), best AS (
+  SELECT * FROM runs r QUALIFY row_number() OVER (PARTITION BY k ORDER BY
+    length // period DESC, (length % period)::DOUBLE / period DESC, start, period) = 1
+), gone AS (
+  SELECT DISTINCT k, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT k, string_agg(x, ' ' ORDER BY i) AS words
+  FROM (SELECT k, unnest(w) AS x, unnest(range(n)) AS i FROM t) ANTI JOIN gone USING (k, i) GROUP BY k
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period,
+  (1000 * length // period)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(coalesce(words, '')) AS collapsed_sha256
+FROM t LEFT JOIN told USING (k) LEFT JOIN best USING (k) LEFT JOIN kept USING (k)
+"""
