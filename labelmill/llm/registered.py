@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.llm import (
-    chat_pairs, decontaminate, fill_in_middle, html_main_text, packing, periodic_runs, pseudonyms, quality_classifier, quality_rules,
+    chat_pairs, decontaminate, fill_in_middle, html_main_text, minhash_forest, packing, periodic_runs, pseudonyms, quality_classifier, quality_rules,
     sharding, simhash, url_filter,
 )
 from labelmill.llm.words import table
@@ -321,3 +321,36 @@ SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, le
   sha256(coalesce(words, '')) AS collapsed_sha256
 FROM t LEFT JOIN told USING (k) LEFT JOIN best USING (k) LEFT JOIN kept USING (k)
 """
+
+
+@query
+def op11_minhash_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash_forest.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+ORACLES["op11_minhash_forest"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE len(w) WHEN 0 THEN [] WHEN 1 THEN w WHEN 2 THEN [w[1] || ' ' || w[2]] ELSE list_sort(list_distinct(
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s FROM d
+), sets AS (
+  SELECT row_number() OVER () AS k, s, len(s) AS n, min(doc_id) AS least FROM s WHERE len(s) > 0 GROUP BY s
+), g AS (
+  SELECT k, n, unnest(s) AS g FROM sets
+), pairs AS (
+  SELECT a.k AS a, b.k AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM g a JOIN g b ON a.g = b.g AND a.k <> b.k AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.k, b.k
+), links AS (
+  SELECT a, b FROM pairs WHERE 100 * c >= 85 * (na + nb - c)
+), reach AS (
+  SELECT k AS a, k AS b FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), named AS (
+  SELECT a AS k, min(least) AS component_id FROM reach JOIN sets ON b = k GROUP BY a
+)
+SELECT doc_id, len(s.s)::BIGINT AS n_shingles, CASE WHEN len(s.s) = 0 THEN doc_id ELSE component_id END AS component_id,
+  doc_id IS NOT DISTINCT FROM CASE WHEN len(s.s) = 0 THEN doc_id ELSE component_id END AS kept
+FROM s LEFT JOIN sets ON s.s = sets.s AND sets.n > 0 LEFT JOIN named USING (k)
+"""
