@@ -203,7 +203,7 @@ def train_logreg_query(spark, sf):
     """
     papers = stored(V.papers(spark, sf).where(F.col("split") == "train"), "papers")
     path = scratch_path(spark, "logreg")
-    train_logreg(papers).save(path)
+    train_logreg(papers).save(spark, path)
     scored = score_logreg(papers, LogRegModel.load(spark, path), ("y",))
     cells = scored.select(F.posexplode(F.arrays_zip("y", "logit")).alias("idx", "c")).select("idx", "c.*")
     cells = cells.join(F.broadcast(pos_weight(papers).select("idx", "pos_weight")), "idx")

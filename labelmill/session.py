@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 _local_scratch: dict[str, str] = {}
-_run_folders: list[str] = []  # of this driver's open runs, the innermost last
+_run_folder: ContextVar[str | None] = ContextVar("run_folder", default=None)  # of this thread's open run
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -35,8 +38,7 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, or the open run's; nothing is written there twice."""
-    root = _run_folders[-1] if _run_folders else scratch_root(spark)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{_run_folder.get() or scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @contextmanager
@@ -44,14 +46,15 @@ def run_folder(spark: SparkSession, name: str = "run") -> Iterator[str]:
     """What is stored inside goes under one folder of this run, which is removed at the end.
 
     Results must be written elsewhere before the end: frames that read the folder are lost with
-    it. A run that fails leaves its folder, for a look; remove it with the same call.
+    it. A run that fails leaves its folder, for a look; remove it with the same call. Runs of other
+    threads have folders of their own.
     """
     path = scratch_path(spark, name)
-    _run_folders.append(path)
+    outer = _run_folder.set(path)
     try:
         yield path
     finally:
-        _run_folders.remove(path)
+        _run_folder.reset(outer)
     remove_run(spark, path)
 
 
@@ -73,3 +76,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where it is not installed but on a shared path.
+
+    Spark starts workers with the environment of the context; on a cluster the package is
+    installed or sent with ``--py-files``, and this changes nothing.
+    """
+    environment = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[1])
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])

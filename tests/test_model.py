@@ -3,10 +3,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from labelmill.operators import linear_model as L
-from labelmill.operators.logreg import LogRegModel, score_logreg, train_logreg
+from labelmill.operators.logreg import LogRegModel, feature_frame, fit_steps, hashed_words, score_logreg, train_logreg
 from labelmill.operators.lookup import lookup, most_frequent
 from labelmill.operators.plugged import score_plugged
 from labelmill.operators.vocab import build_vocab, decode_tokens, encode_pairs
@@ -215,12 +217,77 @@ def test_encode_and_decode(spark, head_rows):
 
 def test_logistic_regression(spark, tmp_path):
     papers = corpus(spark, 60)
-    train_logreg(papers, NAMES, features=64, parallel=2).save(str(tmp_path / "lr"))
+    steps = []
+    train_logreg(papers, NAMES, features=64, on_step=steps.append).save(spark, str(tmp_path / "lr"))
     model = LogRegModel.load(spark, str(tmp_path / "lr"), NAMES)
-    assert sorted(model.per_class) == [0, 1]  # class c has no positives
+    assert model.fitted == [True, True, False]  # class c has no positives
     for r in score_logreg(papers, model, ("id", "y")).collect():
         assert [p > 0.5 for p in r["prob"]] == [v == 1.0 for v in r["y"]]
         assert r["prob"][2] == 0.0 and all(math.isfinite(x) for x in r["logit"])
+    losses = [s.loss[:2] for s in steps]
+    assert all((b <= a + 1e-12).all() for a, b in zip(losses, losses[1:])) and (losses[-1] < losses[0] / 4).all()
+    with pytest.raises(ValueError):
+        LogRegModel.load(spark, str(tmp_path / "lr"), ["a"])
+
+
+def noisy_corpus(spark, n=300):
+    r = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(n):
+        own = [words[j] for j in np.flatnonzero(r.random(40) < 0.3 / (1 + np.arange(40) / 8))]
+        y = [float(r.random() < (0.7 if f"w{c}" in own else 0.1 + 0.1 * c)) for c in range(3)]
+        rows.append((str(i), "every", " ".join(own), y))
+    rows += [("empty", "", "", [0.0, 1.0, 0.0]), ("0", None, None, [1.0, 0.0, 0.0])]
+    return spark.createDataFrame(rows, "id string, title string, abstract string, y array<double>").repartition(3)
+
+
+def test_joint_fit_reaches_the_loss_of_separate_fits(spark):
+    papers, features, reg = noisy_corpus(spark), 128, 1e-3
+    weight = np.array([r["pos_weight"] for r in sorted(L.pos_weight(papers, NAMES).collect())])
+    joint = train_logreg(papers, NAMES, features=features, reg=reg)
+    rows = papers.select(hashed_words(features).alias("at"), "y").collect()
+    x = np.zeros((len(rows), features))
+    for i, r in enumerate(rows):
+        x[i, r["at"]] = 1
+    y = np.array([r["y"] for r in rows])
+    for c in range(3):
+        data = spark.createDataFrame(
+            [(Vectors.dense(v), float(t), float(weight[c] if t else 1)) for v, t in zip(x, y[:, c])], ["features", "label", "weight"])
+        single = LogisticRegression(weightCol="weight", maxIter=300, tol=1e-9, regParam=reg).fit(data)
+        own = np.where(y[:, c] == 1, weight[c], 1.0)
+        mean = (own[:, None] * x).sum(0) / own.sum()
+        spread = (own[:, None] * (x - mean) ** 2).sum(0) / (own.sum() - (own**2).sum() / own.sum())
+
+        def loss(coef, bias, y=y[:, c], own=own, spread=spread):
+            z = x @ coef + bias
+            return (own * (np.logaddexp(0, z) - y * z)).sum() / own.sum() + reg / 2 * (spread * coef**2).sum()
+
+        theirs, ours = loss(single.coefficients.toArray(), single.intercept), loss(joint.coef[:, c], joint.bias[c])
+        assert abs(ours - theirs) < 1e-3 and ours > theirs - 1e-6
+
+
+def test_an_iteration_is_one_job(spark):
+    papers = noisy_corpus(spark, 60)
+    frame = feature_frame(papers, 128)
+    weight, wanted = np.ones(3), np.array([True, True, True])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("joint-fit", "steps")
+    try:
+        steps = list(fit_steps(frame, weight, wanted, NAMES, 128, max_iter=5))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # One job for the weights, one for the positives, one for the start; a pass has its map and its result stage.
+    assert len(tracker.getJobIdsForGroup("joint-fit")) <= 2 * (len(steps) + 2)
+
+
+def test_rare_and_full_classes_are_left_out(spark):
+    rows = [(str(i), "a b", f"w{i}", [1.0, 0.0, float(i < 2)]) for i in range(9)]
+    papers = spark.createDataFrame(rows, "id string, title string, abstract string, y array<double>")
+    model = train_logreg(papers, NAMES, features=32)
+    assert model.fitted == [False, False, True]
+    none = train_logreg(papers.limit(0), NAMES, features=32)
+    assert none.fitted == [False] * 3 and score_logreg(papers, none).first()["prob"] == [0.0] * 3
 
 
 def test_plugged_model_does_not_depend_on_batches(spark):
