@@ -9,7 +9,8 @@ from labelmill.operators.linear_model import LinearModel, pos_weight_vector, sco
 from labelmill.operators.metrics import compare_thresholds, confusion, report, weighted_bce
 from labelmill.operators.tuning import best_thresholds, pr_curve
 from labelmill.session import stored
-from labelmill.sources.readers import path_exists, read_thresholds
+from labelmill.sources.files import path_exists
+from labelmill.sources.readers import read_thresholds
 from labelmill.sources.writers import write_report, write_thresholds
 
 BASELINE_THRESHOLD = 0.35  # fixed value: the scalar that tuning is held against

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,26 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
-_local_scratch: dict[str, str] = {}
 _run_folder: ContextVar[str | None] = ContextVar("run_folder", default=None)  # of this thread's open run
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names for written intermediates.
-
-    Only a local master, as in tests, may fall back to a folder of its own.
-    """
+    """The shared folder the cluster names for written intermediates."""
     named = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getConf().get(
         CHECKPOINT_SETTING, None
     )
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_scratch:
-        _local_scratch[app] = tempfile.mkdtemp(prefix="labelmill-")
-    return _local_scratch[app]
+    return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

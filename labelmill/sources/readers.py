@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from labelmill import schemas as S
 from labelmill.functions.scoring import DEFAULT_THRESHOLD
 from labelmill.functions.taxonomy import LABELS
+from labelmill.sources.files import path_exists
 
 BAD_LINE = "_corrupt_record"
 
@@ -67,12 +68,6 @@ def read_label_counts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.LABEL_COUNTS).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(target)
-
-
 def read_thresholds(
     spark: SparkSession,
     path: str,
@@ -123,9 +118,3 @@ def read_recorded_best(spark: SparkSession, path: str, multiline: bool = False)
 def _train_states(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
     reader = spark.read.schema(S.TRAIN_LOG).option("multiLine", multiline)
     return reader.option("mode", "FAILFAST").json(path)
-
-
-def ingest_once(source: DataFrame, path: str) -> DataFrame:
-    """Land ``source`` at ``path`` unless something is already there; return what is there."""
-    source.write.mode("ignore").parquet(path)
-    return read_stage(source.sparkSession, path, source.schema)

@@ -8,7 +8,7 @@ from labelmill.functions.records import (
     resolve_id, tag_cards, validate_records,
 )
 from labelmill.plans.tagging import as_records
-from labelmill.sources import readers, writers
+from labelmill.sources import files, landing, readers, writers
 
 
 def test_resolve_id(spark):
@@ -103,8 +103,69 @@ def test_predictions_keep_nulls(spark, tmp_path):
 def test_ingest_once(spark, tmp_path):
     path = str(tmp_path / "landing")
     first = spark.createDataFrame([(1,)], "a int")
-    assert readers.ingest_once(first, path).collect() == [(1,)]
-    assert readers.ingest_once(spark.createDataFrame([(2,)], "a int"), path).collect() == [(1,)]
+    assert landing.ingest_once(first, path).collect() == [(1,)]
+    assert landing.ingest_once(spark.createDataFrame([(2,)], "a int"), path).collect() == [(1,)]
+
+
+def test_a_dead_write_is_no_landing(spark, tmp_path):
+    path = str(tmp_path / "landing")
+    rows = spark.range(100).repartition(4)
+    rows.where("id < 3").write.parquet(path)  # no manifest
+    assert landing.manifest(spark, path) is None
+    assert landing.ingest_once(rows, path).count() == 100
+    assert landing.manifest(spark, path)["rows"] == 100
+    part = next((tmp_path / "landing").glob("part-*"))
+    part.unlink()  # a file is gone: whole again from the source
+    assert landing.manifest(spark, path) is None
+    assert landing.ingest_once(rows, path).count() == 100
+    assert landing.ingest_once(spark.range(5), path).count() == 100
+    assert landing.ingest_once(spark.range(0), str(tmp_path / "none")).count() == 0
+
+
+def test_of_two_landings_one_wins(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "landing")
+    first = landing._sizes
+
+    def late(session, folder):  # the other lands while this one is about to commit
+        monkeypatch.setattr(landing, "_sizes", first)
+        landing.ingest_once(spark.range(7), path)
+        return first(session, folder)
+
+    monkeypatch.setattr(landing, "_sizes", late)
+    assert landing.ingest_once(spark.range(100), path).count() == 7
+    assert [p.name for p in tmp_path.iterdir()] == ["landing"]
+
+
+def test_staging_of_dead_writes_is_swept(spark, tmp_path):
+    path = str(tmp_path / "landing")
+    spark.range(3).write.parquet(str(tmp_path / ".staging-landing-dead"))
+    landing.ingest_once(spark.range(9), path)
+    assert landing.sweep(spark, path) == []
+    assert len(landing.sweep(spark, path, older_than_hours=-1)) == 1
+    assert landing.ingest_once(spark.range(1), path).count() == 9
+
+
+def test_documents_are_single_files(spark, tmp_path):
+    frame = spark.createDataFrame([("b", 0.25), ("a", 0.5)], "label string, threshold double")
+    path = tmp_path / "out" / "thresholds"
+    writers.write_thresholds(frame, str(path))
+    assert json.loads(path.read_text()) == {"a": 0.5, "b": 0.25}
+    writers.write_thresholds(frame.where("label = 'a'"), str(path))
+    assert json.loads(path.read_text()) == {"a": 0.5}
+    (tmp_path / "report").mkdir()
+    (tmp_path / "report" / "part-0").write_text("old")
+    writers.write_report(spark.range(1).selectExpr("1 AS f1", "CAST(NULL AS INT) AS loss"), str(tmp_path / "report"))
+    assert json.loads((tmp_path / "report").read_text()) == {"f1": 1, "loss": None}
+    writers.write_label_counts(spark.createDataFrame([("x", 1), ("y", 5)], "label string, count long"), str(tmp_path / "counts.csv"))
+    assert (tmp_path / "counts.csv").read_text().split() == ["label,count", "y,5", "x,1"]
+    with pytest.raises(FileExistsError):
+        writers.write_report(frame, str(tmp_path / "report"), mode="error")
+    writers.write_report(frame, str(tmp_path / "report"), mode="ignore")
+    writers.write_thresholds(frame.limit(0), str(tmp_path / "none"))
+    assert json.loads((tmp_path / "none").read_text()) == {}
+    left = [p.name for p in [*tmp_path.iterdir(), *path.parent.iterdir()] if p.suffix != ".crc"]
+    assert sorted(left) == ["counts.csv", "none", "out", "report", "thresholds"]
+    assert not files.rename_new(spark, str(path), str(tmp_path / "report"))
 
 
 def test_log_scan(spark, tmp_path):
