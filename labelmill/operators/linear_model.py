@@ -136,9 +136,18 @@ def train_linear(
     return LinearModel(weights, bias, labels)
 
 
+WeightParts = tuple[DataFrame, DataFrame | None]
+
+
+def weight_parts(model: LinearModel, head_rows: int | None = None) -> WeightParts:
+    """The model's weights as a head that may be broadcast and the rest; measures them in one job."""
+    row_bytes = ROW_BYTES + 8 * len(model.labels)
+    return split_table(model.weights.select("token", "df", "w"), "token", "df", row_bytes, head_rows)
+
+
 def score_linear(
     papers: DataFrame, model: LinearModel, key: str | None = None, keep: tuple[str, ...] = ("id",),
-    head_rows: int | None = None,
+    head_rows: int | None = None, parts: WeightParts | None = None,
 ) -> DataFrame:
     """``(*keep, logit, prob)`` for every row of ``papers``; ids may repeat.
 
@@ -146,12 +155,13 @@ def score_linear(
     The text is split once. A paper's words meet the broadcast head inside the task that read it,
     so the sums combine there and one short row per paper is shuffled; words beyond the head are
     gathered per paper and meet the tail in a second, smaller step. ``key`` names a column
-    that is unique already, which spares writing the rows with a number first.
+    that is unique already, which spares writing the rows with a number first. ``parts`` are the
+    model's weights as :func:`weight_parts` has split them, for callers that score many times.
     """
     if key is None:
         papers, key = numbered(papers.select(*dict.fromkeys(["title", "abstract", *keep]))), ROW
     k = len(model.labels)
-    head, tail = split_table(model.weights.select("token", "df", "w"), "token", "df", ROW_BYTES + 8 * k, head_rows)
+    head, tail = parts or weight_parts(model, head_rows)
     marked = F.concat(F.array(F.lit(NO_WORD)), F.array_distinct(paper_words()))
     tokens = papers.select(F.col(key).alias(ROW), F.explode(marked).alias("token"))
     met = tokens.join(F.broadcast(head), "token", "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from labelmill.functions.records import default_fields, resolve_id
 from labelmill.functions.scoring import predicted_tags, tag_probabilities, threshold_vector
 from labelmill.functions.taxonomy import multihot_to_labels
-from labelmill.operators.linear_model import LinearModel, score_linear
+from labelmill.operators.linear_model import LinearModel, WeightParts, score_linear
 from labelmill.operators.metrics import tag_ratios, tag_sums
 from labelmill.operators.rows import ROW
 from labelmill.operators.sampling import limit_records
@@ -37,7 +37,7 @@ def add_tags(
 
 def tag_papers(
     papers: DataFrame, model: LinearModel, thresholds=None, key: str | None = None,
-    inclusive: bool = False, keep_input: bool = False,
+    inclusive: bool = False, keep_input: bool = False, parts: WeightParts | None = None,
 ) -> DataFrame:
     """``papers`` without the abstract (unless ``keep_input``), plus predicted tags and probabilities.
 
@@ -45,7 +45,7 @@ def tag_papers(
     itself, whatever its id. ``key`` names a column that is unique already, if there is one.
     """
     keep = tuple(c for c in papers.columns if (keep_input or c != "abstract") and c != ROW)
-    scored = score_linear(papers, model, key, keep)
+    scored = score_linear(papers, model, key, keep, parts=parts)
     return add_tags(scored, thresholds, model.labels, inclusive).drop("logit", "prob")
 
 

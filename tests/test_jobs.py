@@ -1,4 +1,7 @@
 import json
+import time
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +13,7 @@ from labelmill.operators.profiling import (
 )
 from labelmill.plans import evaluation, prep, tagging
 from labelmill.registry import views as V
-from labelmill.session import scratch_path, stored
+from labelmill.session import run_folder, scratch_path, scratch_root, stored
 from labelmill.sources import readers
 from labelmill.streaming import tagging as stream
 
@@ -149,6 +152,83 @@ def test_stream_equals_batch_and_replays_cleanly(spark, ready):
     assert plain(stream.read_tagged(spark, out)) == plain(batch)
 
 
+@pytest.mark.parametrize("dies_at", ["write_tagged", "write_document"])
+def test_a_batch_that_dies_is_seen_in_neither_output(spark, ready, tmp_path, monkeypatch, dies_at):
+    _, model = ready
+    out, progress = str(tmp_path / "out"), str(tmp_path / "cp")
+    lines = [json.dumps({"id": str(i), "title": f"t{i}", "abstract": "x"}) for i in range(6)] + ['{"id": "7"}']
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.json").write_text("\n".join(lines[:3]))
+
+    def run():
+        rows = stream.read_record_stream(spark, str(source))
+        stream.start_tagging(rows, model, out, progress).awaitTermination()
+
+    run()
+    (source / "b.json").write_text("\n".join(lines[3:]))
+    kept = getattr(stream, dies_at)
+
+    def dies(*given, **named):
+        raise OSError("executor and driver are gone")
+
+    monkeypatch.setattr(stream, dies_at, dies)
+    with pytest.raises(Exception, match="gone"):
+        run()
+    assert stream.committed(spark, out) == [0]
+    assert sorted(r["id"] for r in stream.read_tagged(spark, out).collect()) == ["0", "1", "2"]
+    assert stream.read_rejects(spark, out).count() == 0
+    monkeypatch.setattr(stream, dies_at, kept)
+    run()
+    assert stream.committed(spark, out) == [0, 1]
+    assert sorted(r["id"] for r in stream.read_tagged(spark, out).collect()) == [str(i) for i in range(6)]
+    assert [r["id"] for r in stream.read_rejects(spark, out).collect()] == ["7"]
+
+
+def test_a_committed_batch_is_not_written_again(spark, ready, tmp_path):
+    _, model = ready
+    out, progress = str(tmp_path / "out"), tmp_path / "cp"
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.json").write_text(json.dumps({"id": "1", "title": "t", "abstract": "x"}))
+
+    def run():
+        stream.start_tagging(stream.read_record_stream(spark, str(source)), model, out, str(progress)).awaitTermination()
+        return sorted(p.name for p in (tmp_path / "out" / "tagged" / "batch_id=0").iterdir())
+
+    before = run()
+    for name in ("0", ".0.crc"):  # the ledger has the batch, the checkpoint lost it
+        (progress / "commits" / name).unlink(missing_ok=True)
+    assert run() == before
+    assert stream.read_tagged(spark, out).count() == 1
+
+
+def test_micro_batches_leave_nothing_in_the_scratch_folder(spark, ready, tmp_path):
+    _, model = ready
+    root = Path(scratch_root(spark).removeprefix("file://"))
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.json").write_text(json.dumps({"id": "1", "title": "t", "abstract": "x"}))
+    rows = stream.read_record_stream(spark, str(source))
+    before = set(root.iterdir())
+    stream.start_tagging(rows, model, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert set(root.iterdir()) == before
+
+
+def test_runs_in_threads_have_folders_of_their_own(spark):
+    def job(i):
+        with run_folder(spark, f"job{i}") as path:
+            first = stored(spark.range(10 * (i + 1)), "first")
+            time.sleep(0.5 * (2 - i))
+            second = stored(first, "second")
+            return path, second.count(), second.inputFiles()
+
+    with ThreadPoolExecutor(2) as pool:
+        found = list(pool.map(job, range(2)))
+    assert [n for _, n, _ in found] == [10, 20]
+    assert all(path in name for path, _, names in found for name in names)
+
+
 def test_stream_rejects_malformed_lines(spark, ready, tmp_path):
     _, model = ready
     (tmp_path / "in").mkdir()
