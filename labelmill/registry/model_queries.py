@@ -10,6 +10,7 @@ from labelmill.functions.taxonomy import has_label, label_name
 from labelmill.operators import curves
 from labelmill.operators.linear_model import pos_weight, score_linear, train_linear
 from labelmill.operators.logreg import LogRegModel, score_logreg, train_logreg
+from labelmill.operators.metrics import confusion, report
 from labelmill.operators.plugged import score_plugged
 from labelmill.operators.rows import ROW, numbered
 from labelmill.plans import evaluation, tagging, training
@@ -18,6 +19,7 @@ from labelmill.registry.base import query
 from labelmill.registry.metric_queries import POLICY_SQL, rounded
 from labelmill.registry.sql_views import sql
 from labelmill.session import scratch_path, stored
+from labelmill.sources import readers
 from labelmill.streaming import tagging as stream
 
 
@@ -231,6 +233,34 @@ def train_job_query(spark, sf):
     return rounded(report)
 
 
+@query("train_log_own", sql("""
+    SELECT 'own' AS run, cast(4 AS bigint) AS passes, cast(4 AS bigint) AS evals, true AS loss_falls,
+           true AS best_is_recorded, true AS weights_are_kept,
+           (SELECT count(*) FROM papers WHERE split = 'val') AS val_papers"""))
+def train_log_own(spark, sf):
+    """The iterative fit's own log, read back as any log: its rows, its pick, and the weights of the pick."""
+    papers = stored(V.papers(spark, sf), "papers")
+    out = scratch_path(spark, "passes")
+    model, log = training.gradient_job(papers, out, passes=4, tol=0.0)
+    path = f"{out}/{training.STATE}"
+    best, recorded = curves.best_checkpoint(log), readers.read_recorded_best(spark, path)
+    picked = best.join(recorded, "run").select("run", (
+        (F.col("best_step") == F.col("best_global_step")) & (F.col("best_f1") == F.col("best_metric"))
+    ).alias("best_is_recorded"), "best_f1")
+    # The weights of the picked pass give the F1 that its row tells.
+    val = papers.where("split = 'val'")
+    again = report(confusion(score_logreg(val, model, ("y",)), 0.5)).select(F.col("f1").alias("again"))
+    rows = log.groupBy("run").agg(
+        F.count("loss").alias("passes"), F.count("eval_f1").alias("evals"),
+        (F.max_by("loss", F.when(F.col("loss").isNotNull(), F.col("step")))
+         < F.min_by("loss", F.when(F.col("loss").isNotNull(), F.col("step")))).alias("loss_falls"))
+    return (
+        rows.join(picked, "run").join(F.broadcast(again))
+        .join(F.broadcast(val.agg(F.count(F.lit(1)).alias("val_papers"))))
+        .select("run", "passes", "evals", "loss_falls", "best_is_recorded",
+                (F.abs(F.col("again") - F.col("best_f1")) < 1e-12).alias("weights_are_kept"), "val_papers"))
+
+
 # ---- pluggable models, over the embeddings table ----
 
 MAX_CLASSES = 4096  # a centroid model is one matrix in each worker

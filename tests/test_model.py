@@ -1,3 +1,4 @@
+import json
 import math
 from collections import Counter
 
@@ -12,6 +13,7 @@ from labelmill.operators.logreg import LogRegModel, feature_frame, fit_steps, ha
 from labelmill.operators.lookup import lookup, most_frequent
 from labelmill.operators.plugged import score_plugged
 from labelmill.operators.vocab import build_vocab, decode_tokens, encode_pairs
+from labelmill.plans.training import gradient_job, load_best
 
 NAMES = ["a", "b", "c"]
 WORDS = {"a": "apple apricot", "b": "boat bridge", "c": "cloud"}
@@ -281,6 +283,34 @@ def test_an_iteration_is_one_job(spark):
     assert len(tracker.getJobIdsForGroup("joint-fit")) <= 2 * (len(steps) + 1)
 
 
+def test_every_pass_is_logged_and_the_best_is_given(spark, tmp_path):
+    papers = noisy_corpus(spark).withColumn("split", F.when(F.crc32("id") % 4 == 0, "val").otherwise("train"))
+    out = str(tmp_path / "own")
+    model, log = gradient_job(papers, out, passes=6, every=2, labels=NAMES, features=128, tol=0.0)
+    rows = sorted((r["step"], r["loss"] is None) for r in log.collect())
+    assert rows == [(2, False), (2, True), (4, False), (4, True), (6, False), (6, True)]
+    state = json.loads((tmp_path / "own" / "state.json").read_text())
+    f1 = {h["step"]: h["eval_f1"] for h in state["log_history"] if h["eval_f1"] is not None}
+    assert state["best_metric"] == max(f1.values()) and state["best_global_step"] == min(s for s, v in f1.items() if v == max(f1.values()))
+    kept = LogRegModel.load(spark, f"{out}/checkpoint-{state['best_global_step']}/weights", NAMES)
+    assert (kept.coef == model.coef).all() and (kept.bias == model.bias).all()
+    half = json.loads((tmp_path / "own" / "checkpoint-4" / "state.json").read_text())
+    assert half["log_history"] == state["log_history"][:4]  # a run that dies keeps the log so far
+    state["best_global_step"] = 999
+    (tmp_path / "own" / ".state.json.crc").unlink(missing_ok=True)
+    (tmp_path / "own" / "state.json").write_text(json.dumps(state))
+    with pytest.raises(ValueError):
+        load_best(spark, out, NAMES)
+    with pytest.raises(FileNotFoundError):
+        load_best(spark, str(tmp_path), NAMES)
+
+
+def test_a_run_with_nothing_to_fit_has_a_log_too(spark, tmp_path):
+    papers = noisy_corpus(spark, 20).withColumn("split", F.lit("val"))
+    model, log = gradient_job(papers, str(tmp_path / "x"), labels=NAMES, features=16)
+    assert model.fitted == [False] * 3 and log.count() == 2
+
+
 def test_rare_and_full_classes_are_left_out(spark):
     rows = [(str(i), "a b", f"w{i}", [1.0, 0.0, float(i < 2)]) for i in range(9)]
     papers = spark.createDataFrame(rows, "id string, title string, abstract string, y array<double>")
