@@ -24,6 +24,7 @@ from labelmill.registry.base import query
 from labelmill.registry.sql_views import WHITESPACE, clean, sql
 from labelmill.session import scratch_path, stored
 from labelmill.sources import landing, readers, writers
+from labelmill.sources.arrow_dataset import read_dataset, write_dataset
 
 RAW_SQL = sql("SELECT id, title, abstract, categories, authors, update_date FROM papers_source")
 
@@ -196,6 +197,16 @@ def sink_thresholds(spark, sf):
     return parsed.select(F.explode("m").alias("label", "threshold"))
 
 
+@query("dataset_on_disk", sql("""
+    SELECT id, title, labels, split FROM papers WHERE split IN ('val', 'test') AND title >= 'b'"""))
+def dataset_on_disk(spark, sf):
+    """The taxonomy stage as Arrow shards, read back with two of its splits and four of its columns."""
+    path = scratch_path(spark, "dataset")
+    write_dataset(V.papers(spark, sf).drop("y"), path)
+    rows = read_dataset(spark, path, ["id", "title", "labels", "split"])
+    return rows.where("split IN ('val', 'test') AND title >= 'b'").withColumn("labels", V.text_of("labels"))
+
+
 # ---- projection and filter ----
 
 @query("project_base", RAW_SQL)
