@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from labelmill.session import stored
 
-GROUP = 1000
+GROUP = 100
 BROADCAST_ROWS = 100_000  # large groups, 100 bytes each at most
 END = "<|end|>"
 

@@ -20,16 +20,17 @@ benchmark gives rows without hits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.llm.words import alnum_words, without
+from labelmill.operators.bits import flag_possible
 from labelmill.session import stored
 
 WINDOW = 10
+NEAR = 2 * WINDOW  # words within which a phrase's words count as near each other
 LISTS = 3  # intersected one by one before the rest are met at once
 BROADCAST_BYTES = 32 << 20
-FILTER_BITS = 1 << 25  # in words of 64, so a table of at most half a million rows
 _AT = ["row", "pos", "term"]
 
 
@@ -42,25 +43,9 @@ def _sent(rows: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(rows) if _fits(rows, row_bytes) else rows
 
 
-def _bit(column: str) -> tuple[Column, Column]:
-    """The word of a bit table that a value falls in, and its bit."""
-    at = F.pmod(F.xxhash64(column, F.lit("bit")), F.lit(FILTER_BITS))
-    return F.shiftright(at, 6), at.bitwiseAND(F.lit(63)).cast("int")
-
-
-def _maybe_in(rows: DataFrame, column: str, wanted: DataFrame, always: Column | None = None) -> DataFrame:
-    """``rows`` whose ``column`` is in ``wanted`` or that are ``always`` kept, and a few others."""
-    word, bit = _bit(column)
-    bits = wanted.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(
-        F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits")
-    )
-    told = rows.withColumns({"__word": word, "__bit": bit})
-    kept = F.expr("getbit(__bits, __bit) = 1")
-    if always is None:
-        told = told.join(F.broadcast(bits), "__word").where(kept)
-    else:
-        told = told.join(F.broadcast(bits), "__word", "left").where(always | kept)
-    return told.drop("__word", "__bit", "__bits")
+def _maybe_in(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose ``column`` is in ``wanted``, and a few others."""
+    return flag_possible(rows, wanted, column, "__possible").where("__possible").drop("__possible")
 
 
 def build_index(docs: DataFrame, key: str, text: str, vocabulary: DataFrame | None = None) -> DataFrame:
@@ -83,7 +68,8 @@ def build_index(docs: DataFrame, key: str, text: str, vocabulary: DataFrame | No
     )
     if vocabulary is not None:
         known = stored(vocabulary.select("term").distinct(), "vocabulary")
-        postings = _maybe_in(postings, "term", known, always=F.col("term").isNull())
+        told = flag_possible(postings, known, "term", "__possible")
+        postings = told.where("__possible OR term IS NULL").drop("__possible")
     return stored(postings, "index")
 
 
@@ -106,7 +92,8 @@ def phrase_terms(phrases: DataFrame) -> DataFrame:
 
 def _by_rarity(index: DataFrame, terms: DataFrame) -> DataFrame:
     """``(phrase_id, length, lists)``: terms from the rarest on; phrases with an unseen term go."""
-    seen = index.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    # Written first: a word of many phrases may then be split by the join.
+    seen = stored(index.where("term IS NOT NULL").groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term-counts")
     ordered = terms.join(seen, "term").groupBy("phrase_id", "length").agg(
         F.sort_array(F.collect_list(F.struct("n", "offset", "term"))).alias("lists")
     )
@@ -152,27 +139,26 @@ def phrase_matches(index: DataFrame, terms: DataFrame) -> DataFrame:
 def proximity_matches(index: DataFrame, terms: DataFrame, within: int) -> DataFrame:
     """``(row, phrase_id, anchor)``: all distinct terms of a phrase, in any order, in ``within`` words.
 
-    ``anchor`` is an occurrence of the phrase's rarest term that lies in such a stretch. The other
-    terms are looked up in ranges of ``within`` positions, so the join is on equal keys and an
-    anchor meets a bounded number of postings.
+    ``anchor`` is an occurrence of the phrase's rarest term that lies in such a stretch. The next
+    rarest terms are looked for near the anchors one after another, and only anchors that have
+    them go on to be checked with all terms. Terms are looked up in ranges of ``within`` positions,
+    so the joins are on equal keys and an anchor meets a bounded number of postings.
     """
     distinct = terms.groupBy("phrase_id", "term").agg(F.min("offset").alias("offset"))
     distinct = distinct.withColumn("length", F.lit(0))
-    ordered = _by_rarity_all(index, distinct)
+    ordered = stored(_by_rarity_all(index, distinct), "near-phrases")
     postings = index.where("term IS NOT NULL").select(*_AT)
-    rarest = stored(ordered.select("phrase_id", F.size("lists").alias("n"), F.col("lists")[0]["term"].alias("term")), "rarest")
-    anchors = stored(
-        postings.join(_sent(rarest, 64), "term").select("row", F.col("pos").alias("anchor"), "phrase_id", "n"),
-        "anchors",
-    )
-    others = stored(ordered.select("phrase_id", F.explode(F.slice("lists", 2, 1 << 30)).alias("o")).select("phrase_id", "o.term"), "others")
-    span = F.lit(within)
-    wanted = anchors.join(_sent(others, 64), "phrase_id").withColumn(
-        "cell", F.explode(F.array(*[F.floor(F.col("anchor") / span) + d for d in (-1, 0, 1)]))
-    )
-    celled = postings.join(_sent(others.select("term").distinct(), 64), "term", "left_semi")
-    celled = celled.withColumn("cell", F.floor(F.col("pos") / span))
-    near = celled.join(wanted, ["row", "cell", "term"]).where(F.abs(F.col("pos") - F.col("anchor")) < span)
+    rarest = ordered.select("phrase_id", F.size("lists").alias("n"), F.col("lists")[0]["term"].alias("term"))
+    anchors = postings.join(_sent(rarest, 64), "term").select("row", F.col("pos").alias("anchor"), "phrase_id", "n")
+    for k in range(1, LISTS):
+        anchors = stored(anchors, "anchors")
+        nth = ordered.select("phrase_id", F.get("lists", F.lit(k))["term"].alias("term"))
+        wanted = anchors.join(_sent(nth, 64), "phrase_id")
+        near = _near(index, wanted.where("term IS NOT NULL"), within).select(*anchors.columns).distinct()
+        anchors = near.unionByName(wanted.where("term IS NULL").drop("term"))
+    anchors, span = stored(anchors, "anchors"), F.lit(within)
+    others = ordered.select("phrase_id", F.explode(F.slice("lists", 2, 1 << 30)).alias("o")).select("phrase_id", "o.term")
+    near = _near(index, anchors.join(_sent(others, 64), "phrase_id"), within)
     places = near.groupBy("row", "phrase_id", "anchor", "n").agg(F.collect_list(F.struct("pos", "term")).alias("at"))
     # A stretch that holds everything starts at one of the positions or at the anchor.
     starts = F.concat(F.transform("at", lambda x: x["pos"]), F.array("anchor"))
@@ -185,6 +171,16 @@ def proximity_matches(index: DataFrame, terms: DataFrame, within: int) -> DataFr
     return places.where(complete).select("row", "phrase_id", "anchor").unionByName(alone)
 
 
+def _near(index: DataFrame, wanted: DataFrame, within: int) -> DataFrame:
+    """Rows of ``wanted(row, anchor, term, ...)`` once per posting of the term less than ``within`` away, with its ``pos``."""
+    span = F.lit(within)
+    cell = F.floor(F.col("anchor") / span)
+    wanted = stored(wanted.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1))), "near-wanted")
+    postings = index.where("term IS NOT NULL").select(*_AT)
+    postings = _maybe_in(_maybe_in(postings, "row", wanted), "term", wanted).withColumn("cell", F.floor(F.col("pos") / span))
+    return postings.join(wanted, ["row", "cell", "term"]).where(F.abs(F.col("pos") - F.col("anchor")) < span)
+
+
 def _by_rarity_all(index: DataFrame, terms: DataFrame) -> DataFrame:
     """As :func:`_by_rarity`, for distinct terms."""
     sizes = terms.groupBy("phrase_id").agg(F.count(F.lit(1)).cast("int").alias("length"))
@@ -201,12 +197,13 @@ aggregate(sort_array(spans), struct(0 AS upto, 0L AS n), (a, s) -> struct(
 
 def contamination(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
-    item_key: str = "item_id", item_text: str = "text", size: int = WINDOW,
+    item_key: str = "item_id", item_text: str = "text", size: int = WINDOW, near: int | None = None,
 ) -> DataFrame:
-    """``(key, n_words, n_hit, items)`` per document, for every document.
+    """``(key, n_words, n_hit, items)`` per document, for every document; with ``near`` also ``n_near``.
 
     ``n_hit`` counts the words inside any occurrence of any window of the items, ``items`` lists
-    the ids (as sorted strings) of the items with an occurring window.
+    the ids (as sorted strings) of the items with an occurring window. ``n_near`` counts the
+    windows whose distinct words the document has, in any order, within ``near`` words.
     """
     own = stored(windows(items, item_key, item_text, size), "windows")
     terms = stored(phrase_terms(own), "terms")
@@ -219,10 +216,16 @@ def contamination(
     which = stored(which, "which")
     named = matches.select("row", "phrase_id").distinct().join(_sent(which, 128), "phrase_id")
     named = named.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    found = stored(covered.join(named, "row", "left"), "found")
+    found = covered.join(named, "row", "left")
+    more = []
+    if near is not None:
+        close = proximity_matches(index, terms, near).select("row", "phrase_id").distinct()
+        found = found.join(close.groupBy("row").agg(F.count(F.lit(1)).alias("n_near")), "row", "full")
+        more = [F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near")]
+    found = stored(found, "found")
     return index.where("term IS NULL").join(found, "row", "left").select(
         F.col("key").alias(key), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), *more,
     )
 
 

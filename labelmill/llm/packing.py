@@ -6,8 +6,10 @@ bounded size. A group starts from best-fit decreasing, then exchanges pieces bet
 bins: it takes the emptiest and hands on what it holds by moves, one-for-one, two-for-one and
 one-for-two swaps towards fuller bins, so that the sum of squared fills rises with every step,
 until the bin is empty or no step is left. It ends when what is free elsewhere cannot
-hold any further bin. The underfull bins of all groups are dealt to fewer groups and searched
-again, round by round, until one group held them all.
+hold any further bin. The underfull bins of all groups are dealt anew, to fewer groups if they
+have become fewer, and searched again, until one group held them all, or their number is
+the least that their pieces allow (by tokens, and by pieces of more than half a sequence), or two
+deals in a row have neither freed nor filled a single bin. ``STALLED`` is that number of deals.
 
 Ids come from a public byte-level BPE vocabulary; its rank form is used because it is several
 times faster, and gives the ids of the ``tokenizers`` file (tested). Texts with a very
@@ -37,6 +39,7 @@ from labelmill.session import stored
 LENGTH = 1024
 END = 2
 GROUP_PIECES = 20_000
+STALLED = 2
 _LONG_RUN = re.compile(r"\S{5000}")
 
 
@@ -275,7 +278,7 @@ def packed(rows: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIEC
     share_package(rows.sparkSession)
     full = rows.where(F.col("length") >= length).select("piece_row", F.col("piece_row").alias("sequence_id"))
     todo = rows.where(F.col("length") < length).select(F.lit(None).cast("long").alias("bin"), "piece_row", "length")
-    done, turn = [full], 0
+    done, turn, stalled, bins_before = [full], 0, 0, None
     while True:
         groups = max(1, -(-todo.count() // group_pieces))
         dealt = F.pmod(F.xxhash64(F.coalesce("bin", "piece_row"), F.lit(turn)), F.lit(groups))
@@ -286,9 +289,14 @@ def packed(rows: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIEC
         if groups == 1:
             return _all([*done, found.select("piece_row", F.col("bin").alias("sequence_id"))])
         done.append(found.where("NOT open").select("piece_row", F.col("bin").alias("sequence_id")))
-        before, todo = todo, found.where("open").select("bin", "piece_row", "length")
-        if turn and todo.count() > 0.9 * before.count():  # nearly nothing left to gain by another deal
+        todo = found.where("open").select("bin", "piece_row", "length")
+        bins, tokens, large = todo.agg(
+            F.count_distinct("bin"), F.coalesce(F.sum("length"), F.lit(0)), F.count_if(F.col("length") > length // 2)
+        ).first()
+        stalled = stalled + 1 if bins_before is not None and bins >= bins_before else 0
+        if bins <= max(-(-tokens // length), large) or stalled >= STALLED:
             return _all([*done, todo.select("piece_row", F.col("bin").alias("sequence_id"))])
+        bins_before = bins
         turn += 1
 
 

@@ -111,6 +111,15 @@ def passes(policy: str = CURRENT, bits: str = "failed_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0
 
 
+def only_rule(policy: str = CURRENT, bits: str = "failed_bits") -> Column:
+    """The one rule of a policy that a ledger row fails; null if it fails none or several."""
+    failed = F.col(bits).bitwiseAND(F.lit(mask(POLICIES[policy])))
+    found = F.lit(None).cast("string")
+    for rule in POLICIES[policy]:
+        found = F.when(failed == bit(rule), rule).otherwise(found)
+    return found
+
+
 def ablation(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
     """What each rule of a policy is worth, from ledger rows alone.
 

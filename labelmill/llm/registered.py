@@ -24,11 +24,17 @@ def query(fn: Query) -> Query:
 
 @query
 def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
-    rows = quality_rules.ledger(table(spark, sf, "documents").select("doc_id", "text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rows = stored(quality_rules.ledger(docs).drop("text"), "ledger")
     base = F.col("failed_bits").bitwiseAND(F.lit(quality_rules.mask(quality_rules.BASE_RULES)))
-    return rows.select(
+    # What the rule that alone rejects a document is worth; a row per rule.
+    worth = quality_rules.ablation(rows).select(F.col("rule").alias("only_rule"), "failing", "only_this", "kept_without")
+    told = rows.withColumn("only_rule", quality_rules.only_rule())
+    return told.join(F.broadcast(worth), "only_rule", "left").select(
         "doc_id", *quality_rules.MEASURES, "failed_bits", (base != 0).alias("base_failed"),
         quality_rules.passes().alias("kept"),
+        *[quality_rules.passes(p).alias(f"kept_{p}") for p in quality_rules.POLICIES],
+        "only_rule", "failing", "only_this", "kept_without",
     )
 
 
@@ -61,8 +67,18 @@ WITH d AS (
     + 8 * (100 * n_dup_lines > 50 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT
     + 32 * (word_chars > 15 * n_words)::BIGINT + 64 * (100 * n_bangs > 50 * n_words)::BIGINT
   )::BIGINT AS failed_bits FROM m
+), rules AS (
+  SELECT 'few_words' AS rule, 1::BIGINT AS b UNION ALL SELECT 'repeated_words', 2 UNION ALL SELECT 'symbols', 4
+  UNION ALL SELECT 'repeated_lines', 8 UNION ALL SELECT 'short_words', 16 UNION ALL SELECT 'long_words', 32
+  UNION ALL SELECT 'shouting', 64
+), worth AS (
+  SELECT rule, b, count(*) FILTER (failed_bits & b <> 0) AS failing, count(*) FILTER (failed_bits = b) AS only_this,
+    count(*) FILTER (failed_bits & (127 - b) = 0) AS kept_without
+  FROM f, rules GROUP BY rule, b
 )
-SELECT *, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept FROM f
+SELECT f.*, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits & 3 = 0 AS kept_v1,
+  failed_bits = 0 AS kept_v2, rule AS only_rule, failing, only_this, kept_without
+FROM f LEFT JOIN worth ON failed_bits = b
 """
 
 
@@ -90,14 +106,15 @@ def op1_sharding(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    found = decontaminate.contamination(docs, table(spark, sf, "benchmark"))
+    found = decontaminate.contamination(docs, table(spark, sf, "benchmark"), near=decontaminate.NEAR)
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        (F.col("n_hit") > 0).alias("contaminated"), "n_near",
     )
 
 
+# Near: of the stretches that begin at one of the phrase's words, one of 20 words holds all of them.
 ORACLES["op3_decontaminate"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(
@@ -123,11 +140,23 @@ WITH d AS (
 ), items AS (
   SELECT k, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
   FROM (SELECT DISTINCT k, item_id FROM hit) GROUP BY k
+), terms AS (
+  SELECT p, unnest(list_distinct(string_split(p, ' '))) AS t FROM (SELECT DISTINCT p FROM bw)
+), sizes AS (
+  SELECT p, count(*) AS n FROM terms GROUP BY p
+), own AS (
+  SELECT k, t, list(i ORDER BY i) AS pos FROM (SELECT k, unnest(w) AS t, unnest(range(len(w))) AS i FROM d)
+  WHERE t IN (SELECT t FROM terms) GROUP BY k, t
+), whole AS (
+  SELECT k, p, list(pos) AS places FROM own JOIN terms USING (t) JOIN sizes USING (p) GROUP BY k, p, n HAVING count(*) = n
+), near AS (
+  SELECT k, count(*) AS n_near FROM whole WHERE len(list_filter(flatten(places), lambda s:
+    len(list_filter(places, lambda a: len(list_filter(a, lambda x: x >= s AND x < s + 20)) > 0)) = len(places))) > 0 GROUP BY k
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k)
+  coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN words USING (k) LEFT JOIN items USING (k) LEFT JOIN near USING (k)
 """
 
 
@@ -179,16 +208,13 @@ WITH turns AS (
   GROUP BY conv_id
 ), c AS (
   SELECT conv_id, t, coalesce(list_sum(list_transform(
-    list_filter(t, lambda x: x.role = 'assistant'), lambda x: coalesce(length(x.text), 0))), 0) AS said,
-    count(*) OVER (PARTITION BY t[1].role, t[1].text) AS n,
-    ('0x' || substr(md5(conv_id::VARCHAR), 1, 8))::BIGINT AS h
+    list_filter(t, lambda x: x.role = 'assistant'), lambda x: coalesce(length(x.text), 0))), 0) AS said
   FROM turns
 ), ranked AS (
   SELECT conv_id, t,
     lead(conv_id) OVER w AS next_id, lead(t) OVER w AS next_t
   FROM c WINDOW w AS (
-    PARTITION BY t[1].role, t[1].text, CASE WHEN n > 1000 THEN h % ceil(n / 1000)::BIGINT ELSE 0 END
-    ORDER BY said DESC, conv_id)
+    PARTITION BY t[1].role, t[1].text ORDER BY said DESC, conv_id)
 ), pairs AS (
   SELECT 'opening' AS kind, conv_id AS chosen_id, next_id AS rejected_id, t AS a, next_t AS b
   FROM ranked WHERE next_id IS NOT NULL

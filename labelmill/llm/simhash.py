@@ -264,6 +264,19 @@ def _by_chunks(handed_on: DataFrame, limit: int) -> DataFrame:
     return dealt.select(tile.alias("bucket"), "fp")
 
 
+def _without_large(buckets: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Buckets that fit a task, and the rows ``(bucket, fp)`` of those that do not (None if there are none).
+
+    Sizes are counted where the rows are, so no large bucket is gathered to learn that it is one.
+    """
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    large = stored(sizes.select("bucket"), "simhash-large")
+    if large.isEmpty():
+        return buckets, None
+    on = stored(buckets.join(large, "bucket", "left_semi").select("bucket", "fp"), "simhash-on")
+    return buckets.join(large, "bucket", "left_anti"), on
+
+
 def _held(buckets: DataFrame, radius: int, limit: int) -> DataFrame:
     share_package(buckets.sparkSession)
     dealt = buckets.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket")
@@ -278,16 +291,15 @@ def links(prints: DataFrame, radius: int = RADIUS, limit: int = BUCKET_ROWS) ->
     """
     if not 1 <= radius < 32:
         raise ValueError("radius must be from 1 to 31")
-    first = _held(_by_range(prints, radius), radius, limit)
-    found, on = [first.where("b IS NOT NULL")], first.where("b IS NULL")
-    if not on.isEmpty():
+    buckets, on = _without_large(_by_range(prints, radius), limit)
+    found = [_held(buckets, radius, limit)]
+    if on is not None:
         # Only rows of large buckets go on, and only into finer buckets of those.
-        finer = _by_two_ranges(on.select(F.col("a").alias("fp")).distinct(), radius)
-        finer = finer.join(on.select(F.col("bucket").alias("outer")).distinct(), "outer", "left_semi")
-        second = _held(finer, radius, limit)
-        found.append(second.where("b IS NOT NULL"))
-        on = second.where("b IS NULL").select("bucket", F.col("a").alias("fp"))
-        if not on.isEmpty():
+        finer = _by_two_ranges(on.select("fp").distinct(), radius)
+        finer = stored(finer.join(on.select(F.col("bucket").alias("outer")).distinct(), "outer", "left_semi"), "simhash-finer")
+        buckets, on = _without_large(finer.select("bucket", "fp"), limit)
+        found.append(_held(buckets, radius, limit))
+        if on is not None:
             # Chunks are compared whatever their size; it is bounded by construction.
             found.append(_held(_by_chunks(on, limit), radius, 1 << 62).where("b IS NOT NULL"))
     edges = found[0]

@@ -81,12 +81,12 @@ def test_empty_table(spark):
 
 
 @pytest.mark.parametrize("broadcast", [0, 100_000])
-def test_a_common_opening_is_cut_but_stays_linear(spark, monkeypatch, broadcast):
+def test_a_common_opening_gives_one_pair_less_than_it_has_members(spark, monkeypatch, broadcast):
     monkeypatch.setattr(C, "BROADCAST_ROWS", broadcast)
     rows = [r for c in range(300) for r in ((c, 0, "user", "hi"), (c, 1, "assistant", "a" * (c % 17)))]
     convs = C.conversations(table(spark, rows))
     pairs = C.pairs_by_first_turn(convs, group=50).select("chosen_id", "rejected_id").collect()
-    assert 300 - 6 <= len(pairs) <= 299
+    assert len(pairs) == 299
     assert len({p.chosen_id for p in pairs}) == len(pairs) == len({p.rejected_id for p in pairs})
 
 

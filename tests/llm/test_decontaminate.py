@@ -4,6 +4,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from labelmill.llm import decontaminate as D
+from labelmill.operators import bits
 from tests.llm.cases import documents, none, prose, texts
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -59,7 +60,7 @@ def test_full_bit_tables_change_nothing(spark, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id int, text string")
     rows = lambda: sorted(map(str, D.contamination(docs, items).collect()))
     before = rows()
-    monkeypatch.setattr(D, "FILTER_BITS", 64)
+    monkeypatch.setattr(bits, "BITS", 64)
     monkeypatch.setattr(D, "BROADCAST_BYTES", 0)
     assert rows() == before
 
@@ -100,3 +101,21 @@ def test_proximity(spark):
                 if any(need <= set(w[i : i + within]) for i in range(len(w))):
                     want.add((d, p))
         assert got == want, within
+
+
+def test_near_windows_are_counted(spark):
+    docs = documents(spark, list(enumerate(corpus())) + [(None, ITEMS[0][1]), (2, None)])
+    items = spark.createDataFrame(ITEMS, "item_id int, text string")
+    phrases = {r.phrase for r in D.windows(items, "item_id", "text").collect()}
+    for within in (D.WINDOW, D.NEAR):
+        want = []
+        for r in docs.collect():
+            w = words(r.text)
+            near = 0
+            for phrase in phrases:
+                own = set(phrase.split(" "))
+                near += any(own <= set(w[i : i + within]) for i in range(len(w)) if w[i] in own)
+            want.append((r.doc_id is None, r.doc_id or 0, len(w), near))
+        found = D.contamination(docs, items, near=within).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_near) for r in found) == sorted(want)
+        assert sum(x[-1] for x in want) > 0

@@ -110,6 +110,20 @@ def test_many_groups_meet_again(spark):
     assert len(fill) <= 1.02 * len(np.unique(alone)) + 2
 
 
+@pytest.mark.parametrize("low,high", [(513, 1024), (340, 700), (1, 1024)])
+def test_dealing_ends_at_the_least_or_when_nothing_moves(spark, low, high):
+    sizes = np.random.default_rng(low).integers(low, high, 400)
+    rows = spark.createDataFrame(list(enumerate(sizes.tolist())), "piece_row long, length long")
+    placed = P.packed(rows, 1024, group_pieces=40).collect()
+    fill = defaultdict(int)
+    for r in placed:
+        fill[r.sequence_id] += int(sizes[r.piece_row])
+    assert len(placed) == 400 and max(fill.values()) <= 1024
+    least = max(-(-int(sizes.sum()) // 1024), int((sizes > 512).sum()))
+    alone = len(np.unique(P.local_search(sizes, P.best_fit(sizes, 1024), 1024)))
+    assert least <= len(fill) <= max(alone, least) + 3  # groups that never met would leave a bin each
+
+
 def test_sequences_hold_the_ids(spark):
     docs = spark.createDataFrame(list(enumerate(texts()[:12])), "doc_id int, text string")
     placed = P.pack(P.pieces(docs, with_ids=True))

@@ -37,6 +37,13 @@ def odd():
     return texts() + [" ".join(r.choice("abc") for _ in range(n)) for n in (2, 3, 4, 5, 8, 30, 60, 200)]
 
 
+def test_the_rule_that_alone_rejects(spark):
+    rows = [(1, 0), (2, 1), (3, 64), (4, 65), (5, 4), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id int, failed_bits long")
+    found = {r.doc_id: (r.a, r.b) for r in df.select("doc_id", R.only_rule().alias("a"), R.only_rule("v1").alias("b")).collect()}
+    assert found == {1: (None, None), 2: ("few_words", "few_words"), 3: ("shouting", None), 4: (None, "few_words"), 5: ("symbols", None), 6: (None, None)}
+
+
 def test_ledger(spark):
     docs = documents(spark, list(enumerate(odd())) + [(0, odd()[0]), (None, None)])
     out = R.ledger(docs).collect()
