@@ -9,10 +9,13 @@ the plain join's.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmill.operators.bits import flag_possible
+from labelmill.session import stored
 
 HEAD_BYTES = 32 << 20  # what one broadcast head may take
 ROW_BYTES = 48  # a row beside the bytes of its key
@@ -82,3 +85,38 @@ def lookup(
         return found
     absent = told.where("NOT __possible").drop("__possible")
     return found.unionByName(absent, allowMissingColumns=True)
+
+
+def gathered(
+    rows: DataFrame, table: DataFrame, key: str, frequency: str, by: str, value: str,
+    made: Callable[[Column], Column], into: str, extra: dict[str, Column] | None = None,
+    row_bytes: int = ROW_BYTES, head_rows: int | None = None,
+) -> DataFrame:
+    """``rows`` looked up in ``table`` and gathered per ``by``: ``(by, into, *extra)``, ``into`` sorted.
+
+    ``made(value)`` is what a row adds to the list; its value is null if the key is not in the table.
+    ``extra`` are aggregates over a group's rows. ``rows``, which may be a costly split of texts,
+    are read once: what the head knows is gathered where it is met, the other keys of a group are
+    kept beside it, written once, and only those meet the tail.
+    """
+    extra = extra or {}
+    head, tail = split_table(table, key, frequency, row_bytes, head_rows)
+    met = rows.join(F.broadcast(head.select(key, value)), key, "left")
+    told = [c.alias(n) for n, c in extra.items()]
+    if tail is None:
+        return met.groupBy(by).agg(F.sort_array(F.collect_list(made(F.col(value)))).alias(into), *told)
+    known = F.when(F.col(value).isNotNull(), made(F.col(value)))
+    columns = [c for c in rows.columns if c != by]
+    other = F.when(F.col(value).isNull(), F.struct(*columns))
+    part = stored(met.groupBy(by).agg(
+        F.collect_list(known).alias("__known"), F.collect_list(other).alias("__rest"), *told
+    ), "gathered")
+    rest = part.select(by, F.explode("__rest").alias("__r")).select(by, "__r.*")
+    flagged = flag_possible(rest, tail, key, "__possible")
+    rare = flagged.where("__possible").drop("__possible").join(tail.select(key, value), key, "left")
+    absent = flagged.where("NOT __possible").drop("__possible")
+    late = rare.unionByName(absent, allowMissingColumns=True)
+    late = late.groupBy(by).agg(F.collect_list(made(F.col(value))).alias("__late"))
+    both = part.drop("__rest").join(late, by, "left")
+    whole = F.sort_array(F.when(F.col("__late").isNull(), F.col("__known")).otherwise(F.concat("__known", "__late")))
+    return both.select(by, whole.alias(into), *extra)

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmill.functions.taxonomy import has_label
+from labelmill.operators.lookup import ROW_BYTES, lookup
+from labelmill.operators.rows import ROW, numbered
+from labelmill.session import stored
+
+MAP_BYTES = 8 << 20  # what a map that goes with every row may take
 
 
 def label_distribution(df: DataFrame, column: str = "labels", by: tuple[str, ...] = ()) -> DataFrame:
@@ -161,12 +166,19 @@ def unmapped_codes(df: DataFrame, codes: DataFrame, column: str = "categories")
     return counted.where(F.col("code") != "").join(codes, "code", "left_anti")
 
 
-def join_codes(df: DataFrame, codes: DataFrame, column: str = "categories") -> DataFrame:
+def join_codes(
+    df: DataFrame, codes: DataFrame, column: str = "categories", map_bytes: int = MAP_BYTES, head_rows: int | None = None,
+) -> DataFrame:
     """``(id, label)`` rows, each label of a paper once: the join form of the code lookup.
 
-    The code table (one row per known code) becomes one map that every row meets, so repeats are
-    removed inside the row and nothing is exchanged; papers that share an id stay apart.
+    A code table (one row per known code) that is small by its measured bytes becomes one map that
+    every row meets, so repeats are removed inside the row and nothing is exchanged. A larger one
+    is looked up, its most frequent codes by broadcast and the rest by a join. Papers that share an
+    id stay apart.
     """
+    n, size = codes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("code") + F.octet_length("label")), F.lit(0))).first()
+    if n * ROW_BYTES + size > map_bytes:
+        return _join_large_codes(df, codes, column, head_rows)
     pairs = codes.agg(F.map_from_entries(F.collect_list(F.struct("code", "label"))).alias("m"))
     known = df.withColumn("__codes", pairs.scalar())
     labels = F.transform(column, lambda c: F.try_element_at("__codes", c))
@@ -174,6 +186,15 @@ def join_codes(df: DataFrame, codes: DataFrame, column: str = "categories") -> D
     return known.select("id", F.explode(own).alias("label"))
 
 
+def _join_large_codes(df: DataFrame, codes: DataFrame, column: str, head_rows: int | None) -> DataFrame:
+    rows = numbered(df.select("id", column), "coded")
+    each = rows.select(ROW, F.explode(column).alias("code"))
+    often = each.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    table = stored(codes.select("code", "label").join(often, "code"), "codes")
+    found = lookup(each, table, "code", "n", head_rows=head_rows).select(ROW, "label").where("label IS NOT NULL").distinct()
+    return rows.select(ROW, "id").join(found, ROW).select("id", "label")
+
+
 def label_grid(df: DataFrame, y: str = "y") -> DataFrame:
     """Long ``(id, idx, y)`` grid of the label vectors."""
     return df.select("id", F.posexplode(y).alias("idx", "y"))

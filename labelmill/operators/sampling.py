@@ -126,15 +126,46 @@ def sample_papers(df: DataFrame, k: int, seed: int = 42, key: str = "id") -> Dat
 
 
 def limit_records(df: DataFrame, n: int, key: str | None = "id") -> DataFrame:
-    """The first ``n`` records by ``key``; any ``n`` records when ``key`` is None.
+    """The first ``n`` records by ``key`` (nulls first); any ``n`` records when ``key`` is None.
 
-    A limit passes its rows through one task, so a large one is a place in ranges of the order
-    instead, which keeps rows where they are.
+    A limit passes its rows through one task. Beyond ``ONE_TASK_ROWS`` the last key that is still
+    in is found first, over the keys alone, and the rows are filtered where they are. Without a key
+    the rows' own hash orders them, which a histogram cuts. Of rows that repeat the last key as
+    many are taken as are missing.
     """
     if n <= ONE_TASK_ROWS:
         return (df.orderBy(key) if key else df).limit(n)
-    rows = df if key else df.withColumn("__order", F.monotonically_increasing_id())
-    return ranked_rows(rows, [F.col(key or "__order")], "__place").where(F.col("__place") <= n).drop("__place", "__order")
+    if key is None:
+        own = F.xxhash64(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
+        return _limit_by_hash(df.withColumn("__own", own), n).drop("__own")
+    total, nulls = df.agg(F.count(F.lit(1)), F.count_if(F.col(key).isNull())).first()
+    if total <= n:
+        return df
+    if n <= nulls:
+        return _some_of(df.where(F.col(key).isNull()), n)
+    keys = df.where(F.col(key).isNotNull()).select(key)
+    placed = ranked_rows(keys, [F.col(key)], "__place")
+    last = placed.where(F.col("__place") == n - nulls).first()[key]
+    below = keys.where(F.col(key) < F.lit(last)).count()
+    whole = df.where(F.col(key).isNull() | (F.col(key) < F.lit(last)))
+    return whole.unionByName(_some_of(df.where(F.col(key) == F.lit(last)), n - nulls - below))
+
+
+def _some_of(df: DataFrame, n: int) -> DataFrame:
+    """Any ``n`` of equal rows, of which there seldom are many."""
+    return df.limit(n) if n <= ONE_TASK_ROWS else limit_records(df, n, None)
+
+
+def _limit_by_hash(df: DataFrame, n: int) -> DataFrame:
+    total = df.count()
+    if total <= n:
+        return df
+    row_key, cuts = _cut_keys(df, "__own", 0, {"last": lambda _: F.lit(n)})
+    keyed = df.withColumn("__key", row_key)
+    below = keyed.where(F.col("__key") < cuts["last"])
+    # Rows of one hash are copies, or nearly never others: one task takes what is missing.
+    ties = keyed.where(F.col("__key") == cuts["last"]).limit(n - below.count())
+    return below.unionByName(ties).drop("__key")
 
 
 def peek_row(df: DataFrame, key: str = "id") -> DataFrame:

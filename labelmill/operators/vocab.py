@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.functions.text import clean_text, words
-from labelmill.operators.lookup import lookup
+from labelmill.operators.lookup import gathered
 from labelmill.operators.rows import ROW, numbered, ranked_rows
 from labelmill.session import stored
 
@@ -63,8 +63,8 @@ def encode_pairs(
     """``[CLS] title [SEP] abstract [SEP]`` as ids, segment ids and mask; ragged, no padding.
 
     Truncation happens in the row, before the vocabulary join, so at most ``max_length`` rows per
-    paper are joined and regrouped. Those rows hold a row number, a place and a word; ``id`` and
-    ``keep`` join back on the number. ``key`` names a column that is unique already, which
+    paper are joined and regrouped, and the text is split once however large the vocabulary is.
+    Those rows hold a row number, a place and a word; ``id`` and ``keep`` join back on the number. ``key`` names a column that is unique already, which
     spares writing the rows once; ids may repeat.
     """
     columns = list(dict.fromkeys(["id", *keep]))
@@ -80,11 +80,11 @@ def encode_pairs(
         F.slice("a", 1, F.col("ka")), F.array(F.lit("[SEP]")),
     )
     tokens = sides.select(key, (F.col("kt") + 2).alias("first_len"), F.posexplode(sequence).alias("pos", "token"))
-    found = lookup(tokens, vocab, "token", "n", "left", head_rows=head_rows)
     # Place and id in one number: sorting the numbers sorts the places.
-    packed = F.shiftleft(F.col("pos").cast("bigint"), 32) + F.coalesce("token_id", F.lit(UNKNOWN))
-    grouped = found.groupBy(key).agg(
-        F.sort_array(F.collect_list(packed)).alias("seq"), F.max("first_len").alias("first_len"),
+    grouped = gathered(
+        tokens, vocab, "token", "n", key, "token_id",
+        lambda i: F.shiftleft(F.col("pos").cast("bigint"), 32) + F.coalesce(i, F.lit(UNKNOWN)), "seq",
+        {"first_len": F.max("first_len")}, head_rows=head_rows,
     )
     n = F.size("seq")
     made = grouped.select(
@@ -107,11 +107,11 @@ def decode_tokens(
     if key is None:
         encoded, key = numbered(encoded.select("id", ids)), ROW
     places = encoded.select(key, F.posexplode(ids).alias("pos", "token_id"))
-    found = lookup(places, vocab, "token_id", "n", "left", head_rows=head_rows)
-    token = F.coalesce("token", F.lit("[UNK]"))
-    told = found.groupBy(key).agg(F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", token.alias("t")))), lambda s: s["t"]), " ",
-    ).alias("text"))
+    found = gathered(
+        places, vocab, "token_id", "n", key, "token",
+        lambda t: F.struct("pos", F.coalesce(t, F.lit("[UNK]")).alias("t")), "seq", head_rows=head_rows,
+    )
+    told = found.select(key, F.array_join(F.transform("seq", lambda s: s["t"]), " ").alias("text"))
     return encoded.select(F.col(key).alias(ROW), "id").join(told.withColumnRenamed(key, ROW), ROW, "left").select(
         "id", F.coalesce("text", F.lit("")).alias("text")
     )

@@ -16,22 +16,27 @@ from labelmill.sources.writers import write_report, write_thresholds
 BASELINE_THRESHOLD = 0.35  # fixed value: the scalar that tuning is held against
 
 
-def score_split(papers: DataFrame, model: LinearModel, split: str | None = None) -> DataFrame:
-    """``(id, y, logit, prob)`` of one split, or of every paper, with its truth."""
+def score_split(
+    papers: DataFrame, model: LinearModel, split: str | None = None, key: str | None = None
+) -> DataFrame:
+    """``(id, y, logit, prob)`` of one split, or of every paper, with its truth.
+
+    ``key`` names a column that is unique already, which spares writing the papers with a number.
+    """
     if split is not None:
         papers = papers.where(F.col("split") == split)
-    return score_linear(papers, model, keep=("id", "y"))
+    return score_linear(papers, model, key, keep=("id", "y"))
 
 
 def tune_job(
     papers: DataFrame, model: LinearModel, out: str | None = None,
-    baseline: float = BASELINE_THRESHOLD,
+    baseline: float = BASELINE_THRESHOLD, key: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Thresholds per class from the val split, and scalar against tuned F1.
 
     The scores are written once and serve the sweep and the comparison.
     """
-    scored = stored(score_split(papers, model, "val"), "val-scores")
+    scored = stored(score_split(papers, model, "val", key), "val-scores")
     tuned = stored(best_thresholds(pr_curve(scored, model.labels), model.labels), "thresholds")
     if out is not None:
         write_thresholds(tuned, out)
@@ -55,13 +60,13 @@ def resolve_thresholds(
 
 def evaluate(
     papers: DataFrame, model: LinearModel, thresholds=None, split: str = "test",
-    inclusive: bool = False,
+    inclusive: bool = False, key: str | None = None,
 ) -> DataFrame:
     """The one-row report of a split: loss, macro and weighted F1, P, R, hit rate.
 
     The loss weighs classes as the model did when it was fitted.
     """
-    scored = stored(score_split(papers, model, split), f"{split}-scores")
+    scored = stored(score_split(papers, model, split, key), f"{split}-scores")
     loss = weighted_bce(scored, pos_weight_vector(model.bias)).scalar()
     counts = confusion(scored, thresholds, model.labels, inclusive)
     return report(counts).withColumn("loss", loss)
@@ -69,11 +74,11 @@ def evaluate(
 
 def eval_job(
     papers: DataFrame, model: LinearModel, model_dir: str, out: str | None = None,
-    thresholds_file: str | None = None, scalar: float = 0.5,
+    thresholds_file: str | None = None, scalar: float = 0.5, key: str | None = None,
 ) -> DataFrame:
     spark = papers.sparkSession
     chosen = resolve_thresholds(spark, model_dir, thresholds_file, scalar, model.labels)
-    result = evaluate(papers, model, chosen)
+    result = evaluate(papers, model, chosen, key=key)
     if out is not None:
         write_report(result, out)
     return result

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from labelmill import schemas as S
@@ -52,37 +52,49 @@ def drop_text(df: DataFrame) -> DataFrame:
     return df.drop(*TEXT_COLUMNS)
 
 
-def encode(papers: DataFrame, vocab: DataFrame, max_length: int = MAX_LENGTH) -> DataFrame:
+def encode(
+    papers: DataFrame, vocab: DataFrame, max_length: int = MAX_LENGTH, key: str | None = None
+) -> DataFrame:
     """Ids, segments, mask and ``y``. ``id`` stays: rows are addressed by it."""
-    return encode_pairs(with_y(papers), vocab, max_length, keep=("y", "split"))
+    return encode_pairs(with_y(papers), vocab, max_length, keep=("y", "split"), key=key)
 
 
 def prep_job(
     raw: DataFrame, out: str, seed: int = SEED, exact: bool = False,
-    vocab_size: int | None = None, max_length: int = MAX_LENGTH, write_base: bool = True,
+    vocab_size: int | None = None, max_length: int = MAX_LENGTH, write_base: bool = True, key: str | None = None,
 ) -> dict[str, DataFrame]:
     """Run the whole preparation, one write per stage, and return the written stages.
 
     The vocabulary comes from the train split only. Without ``write_base`` the text
     goes from the snapshot to the taxonomy stage in one pass and is written once. Malformed lines
-    of a snapshot read with ``keep_bad`` go to ``rejects``.
+    of a snapshot read with ``keep_bad`` go to ``rejects``. ``retention`` tells how many papers the
+    snapshot had and how many have a label; both are counted while writing. ``key`` names a column
+    of the kept ones that is unique already, if there is one.
     """
     spark = raw.sparkSession
     if BAD_LINE in raw.columns:
         raw, rejects = split_bad(raw)
         rejects.write.mode("overwrite").json(f"{out}/rejects")
+    read, kept = Observation("read"), Observation("kept")
     base_df = base(raw)
     if write_base:
-        write_stage(base_df, f"{out}/base")
+        write_stage(base_df.observe(read, F.count(F.lit(1)).alias("n")), f"{out}/base")
         base_df = read_stage(spark, f"{out}/base", S.BASE)
-
-    write_splits(taxonomy(base_df, seed, exact), f"{out}/taxonomy")
+    else:
+        base_df = base_df.observe(read, F.count(F.lit(1)).alias("n"))
+    labelled = taxonomy(base_df, seed, exact)
+    write_splits(labelled.observe(kept, F.count(F.lit(1)).alias("n")), f"{out}/taxonomy")
+    before, after = read.get["n"], kept.get["n"]
+    write_report(spark.range(1).select(
+        F.lit(before).cast("bigint").alias("papers"), F.lit(after).cast("bigint").alias("labelled"),
+        F.lit(100.0 * after / before if before else 0.0).alias("percent"),
+    ), f"{out}/retention")
     papers = read_stage(spark, f"{out}/taxonomy", S.TAXONOMY)
 
     write_stage(build_vocab(papers.where(F.col("split") == "train"), vocab_size), f"{out}/vocab")
     vocab = read_stage(spark, f"{out}/vocab", S.VOCAB)
 
-    write_splits(encode(papers, vocab, max_length), f"{out}/encoded")
+    write_splits(encode(papers, vocab, max_length, key), f"{out}/encoded")
     encoded = read_stage(spark, f"{out}/encoded", S.ENCODED)
 
     index = F.map_from_arrays(

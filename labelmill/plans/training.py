@@ -25,12 +25,13 @@ from labelmill.sources.writers import write_document, write_report
 
 def train_job(
     papers: DataFrame, out: str, ratio: float = 1.0, seed: int = 42, labels: list[str] | None = None,
-    smoothing: float = 1.0, threshold: float = 0.5,
+    smoothing: float = 1.0, threshold: float = 0.5, key: str | None = None,
 ) -> tuple[LinearModel, DataFrame]:
     """Fit on a sample of the train split and report on a sample of the val split.
 
     Val is drawn with the next seed. Class weights come from the sampled train papers and stay
-    with the model. ``out`` gets ``model``, ``settings`` and ``report``. Returns the saved model
+    with the model. ``key`` names a column that is unique already, if there is one. ``out`` gets
+    ``model``, ``settings`` and ``report``. Returns the saved model
     and a report row for ``train`` and one for ``val``.
     """
     spark = papers.sparkSession
@@ -39,7 +40,7 @@ def train_job(
     train_linear(train, labels, smoothing=smoothing).save(f"{out}/model")
     model = LinearModel.load(spark, f"{out}/model", labels)
     sides = [
-        evaluate(rows, model, threshold, name).withColumn("split", F.lit(name))
+        evaluate(rows, model, threshold, name, key=key).withColumn("split", F.lit(name))
         for name, rows in (("train", train), ("val", val))
     ]
     report = stored(sides[0].unionByName(sides[1]), "train-report")

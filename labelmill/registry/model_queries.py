@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labelmill import schemas as S
 from labelmill.functions.taxonomy import has_label, label_name
 from labelmill.operators import curves
+from labelmill.operators.blocked import score_blocked
 from labelmill.operators.linear_model import pos_weight, score_linear, train_linear
 from labelmill.operators.logreg import LogRegModel, score_logreg, train_logreg
 from labelmill.operators.metrics import confusion, report
@@ -15,7 +16,7 @@ from labelmill.operators.plugged import score_plugged
 from labelmill.operators.rows import ROW, numbered
 from labelmill.plans import evaluation, tagging, training
 from labelmill.registry import views as V
-from labelmill.registry.base import query
+from labelmill.registry.base import ORACLES, query
 from labelmill.registry.metric_queries import POLICY_SQL, rounded
 from labelmill.registry.sql_views import sql
 from labelmill.session import scratch_path, stored
@@ -263,7 +264,7 @@ def train_log_own(spark, sf):
 
 # ---- pluggable models, over the embeddings table ----
 
-MAX_CLASSES = 4096  # a centroid model is one matrix in each worker
+ONE_MATRIX = 4096  # classes that one matrix in each worker holds; more are scored in blocks
 
 
 def centroids(spark, sf):
@@ -273,16 +274,12 @@ def centroids(spark, sf):
     return rows.groupBy("label", "dim").agg(F.avg("x").alias("x"))
 
 
-def centroid_model(spark, sf):
+def centroid_model(spark, path, labels):
     """A model stored by Spark, sent to the workers as files, and loaded there once.
 
-    ``(make_predict, width of a vector)``. Only two numbers reach the driver.
+    ``(make_predict, width of a vector)``. Columns of the model's matrix are ``labels`` in order.
     """
-    path = scratch_path(spark, "centroids")
-    centroids(spark, sf).write.parquet(path)
-    width, classes = spark.read.parquet(path).agg(F.max("dim") + 1, F.max("label") + 1).first()
-    if classes > MAX_CLASSES:
-        raise ValueError(f"{classes} classes; this model holds {MAX_CLASSES} at most")
+    width = spark.read.parquet(path).agg(F.max("dim") + 1).first()[0]
     spark.sparkContext.addFile(path, recursive=True)
     name = path.rsplit("/", 1)[-1]
 
@@ -291,19 +288,30 @@ def centroid_model(spark, sf):
         from pyspark import SparkFiles
 
         rows = pyarrow.dataset.dataset(SparkFiles.get(name), format="parquet").to_table().to_pandas()
-        matrix = np.zeros((width, classes))
-        matrix[rows["dim"], rows["label"]] = rows["x"]
+        matrix = np.zeros((width, len(labels)))
+        matrix[rows["dim"], np.searchsorted(labels, rows["label"])] = rows["x"]
         # One vector at a time, so that a result cannot depend on its batch.
         return lambda vectors: np.array([np.asarray(v, dtype=np.float64) @ matrix for v in vectors])
 
     return make_predict, width
 
 
-def plugged(spark, sf, batch_size):
-    make_predict, width = centroid_model(spark, sf)
+def plugged(spark, sf, batch_size, one_matrix=ONE_MATRIX, **blocks):
+    """``(vec_id, idx, logit)`` of every vector and label; one matrix if the labels fit, else blocks."""
+    path = scratch_path(spark, "centroids")
+    centroids(spark, sf).write.parquet(path)
     vectors = V.table(spark, sf, "embeddings").select(
         "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    return score_plugged(vectors, make_predict, [F.col("v")], "vec_id", batch_size, [[width]])
+    model = spark.read.parquet(path)
+    few = sorted(r[0] for r in model.select("label").distinct().limit(one_matrix + 1).collect())
+    if not few or len(few) > one_matrix:
+        scored = score_blocked(vectors, model, "vec_id", **blocks)
+        return scored.select("vec_id", F.col("label").alias("idx"), F.col("score").alias("logit"))
+    make_predict, width = centroid_model(spark, path, few)
+    scored = score_plugged(vectors, make_predict, [F.col("v")], "vec_id", batch_size, [[width]])
+    each = scored.select("vec_id", F.posexplode("logit").alias("place", "logit"))
+    names = spark.createDataFrame(list(enumerate(few)), "place int, idx int")
+    return each.join(F.broadcast(names), "place").select("vec_id", "idx", "logit")
 
 
 @query("plug_model", """
@@ -315,16 +323,25 @@ def plugged(spark, sf, batch_size):
               FROM embeddings) GROUP BY label, dim) c ON c.dim = e.dim
     GROUP BY vec_id, c.label""")
 def plug_model(spark, sf):
-    rows = plugged(spark, sf, 64).select("vec_id", F.posexplode("logit").alias("idx", "logit"))
-    return rounded(rows)
+    return rounded(plugged(spark, sf, 64))
+
+
+@query("plug_in_blocks", ORACLES["plug_model"])
+def plug_in_blocks(spark, sf):
+    """The same scores when a matrix holds three classes: blocks of rows, classes and dimensions."""
+    return rounded(plugged(spark, sf, 64, one_matrix=0, rows=100, classes=3, dims=20))
 
 
 @query("batch_invariance", "SELECT count(*) AS vectors, cast(0 AS bigint) AS different "
                            "FROM embeddings")
 def batch_invariance(spark, sf):
-    small = plugged(spark, sf, 7).select("vec_id", F.col("logit").alias("a"))
-    large = plugged(spark, sf, 64).select("vec_id", F.col("logit").alias("b"))
-    apart = F.exists(F.zip_with("a", "b", lambda a, b: F.abs(a - b) > 1e-9), lambda x: x)
+    small, large = (
+        plugged(spark, sf, size).groupBy("vec_id").agg(
+            F.map_from_entries(F.collect_list(F.struct("idx", "logit"))).alias(name))
+        for size, name in ((7, "a"), (64, "b"))
+    )
+    apart = F.exists(F.map_keys("a"), lambda i: F.coalesce(
+        F.abs(F.element_at("a", i) - F.element_at("b", i)) > 1e-9, F.lit(True)))
     return small.join(large, "vec_id").agg(
         F.count(F.lit(1)).alias("vectors"), F.count_if(apart).alias("different"))
 

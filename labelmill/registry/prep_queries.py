@@ -20,7 +20,7 @@ from labelmill.operators import curves, profiling, vocab
 from labelmill.plans import prep
 from labelmill.plans.tagging import add_tags, join_predictions
 from labelmill.registry import views as V
-from labelmill.registry.base import query
+from labelmill.registry.base import ORACLES, query
 from labelmill.registry.sql_views import WHITESPACE, clean, sql
 from labelmill.session import scratch_path, stored
 from labelmill.sources import landing, readers, writers
@@ -455,6 +455,17 @@ def encode_pairs(spark, sf):
         F.array_join("input_ids", " ").alias("ids"))
 
 
+@query("encode_with_tail", ORACLES["encode_pairs"])
+def encode_with_tail(spark, sf):
+    """The same ids when only 300 words of the vocabulary are broadcast."""
+    rows = vocab.encode_pairs(V.papers(spark, sf), _vocab(spark, sf), head_rows=300)
+    segments = F.aggregate("token_type_ids", F.lit(0), lambda a, x: a + x)
+    return rows.select(
+        "id", (F.size("input_ids") - segments).alias("first_len"),
+        F.size("attention_mask").cast("bigint").alias("n"),
+        F.array_join("input_ids", " ").alias("ids"))
+
+
 @query("decode_tokens", sql("""
     SELECT id, string_agg(token, ' ' ORDER BY pos) AS text FROM encoded_tokens GROUP BY id"""))
 def decode_tokens(spark, sf):
@@ -489,6 +500,12 @@ def join_codes(spark, sf):
     return profiling.join_codes(V.catalog(spark, sf), code_dim(spark))
 
 
+@query("join_large_codes", ORACLES["join_codes"])
+def join_large_codes(spark, sf):
+    """The same rows when the code table is too large for a map and only 20 of its codes are broadcast."""
+    return profiling.join_codes(V.catalog(spark, sf), code_dim(spark), map_bytes=0, head_rows=20)
+
+
 @query("join_predictions", sql("""
     SELECT c.id, title, labels, predicted FROM catalog c JOIN tagged t ON t.id = c.id"""))
 def join_predictions_query(spark, sf):

@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 
 from labelmill.functions.hashing import hash_split
 from labelmill.functions.records import tag_ranks
+from labelmill.operators import increments, sketches
 from labelmill.operators import profiling as P
 from labelmill.operators import sampling as G
 from labelmill.operators import vocab
 from labelmill.plans.tagging import add_tags
 from labelmill.registry import views as V
-from labelmill.registry.base import query
+from labelmill.registry.base import ORACLES, query
 from labelmill.registry.sql_views import h, split_of, sql
-from labelmill.session import stored
+from labelmill.session import scratch_path, stored
 
 
 @query("label_distribution", sql("""
@@ -126,6 +127,54 @@ def js_divergence(spark, sf):
                       F.round("js_distance", 6).alias("js_distance"))
 
 
+def _landed(spark, sf):
+    """A state after three batches, with a replay, a batch that was wrong, a retraction and a merge."""
+    papers = stored(V.catalog(spark, sf), "catalog")
+    state = scratch_path(spark, "profile")
+    part = F.pmod(F.crc32("id"), F.lit(3))
+    increments.land(papers.where(part == 0), state, "first")
+    increments.land(papers.where(part != 0), state, "second")  # too much: landed again below
+    increments.land(papers.where(part == 1), state, "second")
+    increments.merge_batches(spark, state, "so-far")
+    increments.land(papers.where(part >= 1), state, "third")  # with papers that are there already
+    increments.land(papers.where(part == 1), state, "third-again", retract=True)
+    increments.land(papers, state, "third-again-and-again")
+    increments.withdraw(spark, state, "third-again-and-again")
+    return state
+
+
+@query("profile_increments", sql("""
+    SELECT c.split, k.label, count(*) AS count FROM catalog_labels k JOIN catalog c ON c.id = k.id
+    GROUP BY c.split, k.label"""))
+def profile_increments(spark, sf):
+    return increments.profile(spark, _landed(spark, sf))
+
+
+@query("drift_from_state", ORACLES["js_divergence"])
+def drift_from_state(spark, sf):
+    out = increments.drift(spark, _landed(spark, sf))
+    return out.select("split_a", "split_b", F.round("js_divergence", 9).alias("js_divergence"),
+                      F.round("js_distance", 6).alias("js_distance"))
+
+
+@query("length_sketches", sql("""
+    SELECT split, count(*) AS n, round(avg(n), 6) AS mean, min(n) AS least, max(n) AS most,
+           round(quantile_cont(n, 0.95), 6) AS exact_p95, true AS sketch_is_near
+    FROM (SELECT split, length(title) AS n FROM papers) GROUP BY split"""))
+def length_sketches(spark, sf):
+    """p95 per split from sketches stored per split and day, beside the exact one and the bound's word."""
+    rows = stored(V.papers(spark, sf).select("split", "update_date", F.length("title").alias("n")), "lengths")
+    kept = stored(sketches.sketched(rows, "n", ("split", "update_date")), "sketches")
+    found = stored(sketches.length_summary(kept, ("split",)), "found")
+    exact = rows.groupBy("split").agg(F.percentile("n", F.lit(0.95)).alias("exact_p95"))
+    off = F.lit(sketches.rank_error())
+    near = sketches.rank_bounds(rows, "n", found, ("split",)).select(
+        "split", ((F.col("below") - off <= 0.95) & (F.col("upto") + off >= 0.95)).alias("sketch_is_near"))
+    return found.join(exact, "split").join(near, "split").select(
+        "split", "n", F.round("mean", 6).alias("mean"), F.col("least").cast("bigint"), F.col("most").cast("bigint"),
+        F.round("exact_p95", 6).alias("exact_p95"), "sketch_is_near")
+
+
 @query("align_distributions", sql("""
     SELECT coalesce(a.code, b.code) AS label, coalesce(a.n, 0) AS left_count,
            coalesce(b.n, 0) AS right_count
@@ -165,6 +214,12 @@ def row_counts(spark, sf):
     return P.row_counts(V.labelled(spark, sf))
 
 
+@query("limit_large", sql("SELECT id, title FROM catalog_raw ORDER BY id LIMIT 11000"))
+def limit_large(spark, sf):
+    """A limit too large for one task; the rows are filtered where they are."""
+    return G.limit_records(V.catalog_raw(spark, sf).select("id", "title"), 11_000)
+
+
 @query("limit_records", sql("SELECT id, title FROM catalog_raw ORDER BY id LIMIT 200"))
 def limit_records(spark, sf):
     return G.limit_records(V.catalog_raw(spark, sf).select("id", "title"), 200)

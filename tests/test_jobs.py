@@ -367,12 +367,83 @@ def test_no_exchange_and_no_explode_where_a_row_will_do(spark):
 def test_large_limit_uses_no_single_task(spark, monkeypatch):
     from labelmill.operators import sampling
 
-    df = spark.range(5000).selectExpr("cast(id AS string) AS id").repartition(7)
+    df = spark.range(5000).selectExpr("cast(id AS string) AS id", "'text' AS text").repartition(7)
     want = sorted(str(i) for i in range(5000))[:777]
     monkeypatch.setattr(sampling, "ONE_TASK_ROWS", 10)
     assert sorted(r["id"] for r in sampling.limit_records(df, 777).collect()) == want
     assert sampling.limit_records(df, 777, None).count() == 777
-    assert sampling.limit_records(df, 777).columns == ["id"]
+    assert sampling.limit_records(df, 777).columns == ["id", "text"]
+    assert sampling.limit_records(df, 5001).count() == sampling.limit_records(df, 5001, None).count() == 5000
+    odd = spark.createDataFrame([(None,)] * 30 + [("x",)] * 40 + [("y",)] * 50, "id string").repartition(5)
+    for n in (20, 30, 31, 69, 70, 75, 119):
+        found = [r["id"] for r in sampling.limit_records(odd, n).collect()]
+        assert len(found) == n and found.count(None) == min(30, n) and found.count("x") == min(40, max(0, n - 30))
+        assert sampling.limit_records(odd, n, None).count() == n
+
+
+def test_a_large_limit_writes_nothing_but_keys(spark, monkeypatch):
+    from labelmill.operators import rows, sampling
+
+    wrote = []
+    monkeypatch.setattr(sampling, "ONE_TASK_ROWS", 10)
+    monkeypatch.setattr(rows, "stored", lambda df, name: wrote.append(df.columns) or stored(df, name))
+    df = spark.range(500).selectExpr("cast(id AS string) AS id", "repeat('text', 50) AS text")
+    out = sampling.limit_records(df, 100)
+    assert out.count() == 100 and wrote and all("text" not in columns for columns in wrote)
+
+
+def test_texts_are_split_once_with_a_tail(spark, monkeypatch):
+    from labelmill.operators import lookup, vocab
+
+    wrote = []
+    monkeypatch.setattr(lookup, "stored", lambda df, name: wrote.append(df) or stored(df, name))
+    papers = spark.createDataFrame([("1", "a b c d", "a a b zz"), ("1", "d e", ""), ("2", None, None)], "id string, title string, abstract string")
+    table = stored(vocab.build_vocab(papers.where("title <> 'd e'")), "vocab")
+    plain = sorted(map(str, vocab.encode_pairs(papers, table, key=None).collect()))
+    out = vocab.encode_pairs(papers, table, head_rows=2)
+    assert sorted(map(str, out.collect())) == plain
+    plan = wrote[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode") == 1
+    # What follows reads the written lists, not the texts.
+    rest = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in rest and set(wrote[0].columns) == {"__row", "__known", "__rest", "first_len"}
+
+
+def test_large_code_tables_are_looked_up(spark):
+    from labelmill.operators import profiling
+
+    rows = [("x", ["a", "b", "a", "zz"]), ("x", ["c", None]), ("y", []), ("z", None), ("w", ["d"])]
+    df = spark.createDataFrame(rows, "id string, categories array<string>")
+    codes = spark.createDataFrame([("a", "A"), ("b", "A"), ("c", "C"), ("d", None), ("e", "E")], "code string, label string")
+    want = sorted(map(tuple, profiling.join_codes(df, codes).collect()))
+    assert want == [("x", "A"), ("x", "C")]
+    for head in (None, 0, 1, 3):
+        assert sorted(map(tuple, profiling.join_codes(df, codes, map_bytes=0, head_rows=head).collect())) == want
+
+
+def test_jobs_take_a_key_and_write_no_numbered_rows(spark, tmp_path, monkeypatch):
+    from labelmill.operators import linear_model, vocab
+    from labelmill.plans import training
+
+    raw = V.papers_raw(spark, SF)
+    plain = prep.prep_job(raw, str(tmp_path / "a"), vocab_size=500)
+    told = json.loads((tmp_path / "a" / "retention").read_text())
+    assert told["papers"] == raw.count() and told["labelled"] == plain["taxonomy"].count()
+    assert told["percent"] == pytest.approx(100 * told["labelled"] / told["papers"])
+
+    def fails(*_):
+        raise AssertionError("the rows were written with a number")
+
+    monkeypatch.setattr(vocab, "numbered", fails)
+    monkeypatch.setattr(linear_model, "numbered", fails)
+    keyed = prep.prep_job(raw, str(tmp_path / "b"), vocab_size=500, key="id", write_base=False)
+    assert sorted(map(str, keyed["encoded"].collect())) == sorted(map(str, plain["encoded"].collect()))
+    assert json.loads((tmp_path / "b" / "retention").read_text()) == told
+    papers = prep.with_y(keyed["taxonomy"])
+    model, _ = training.train_job(papers, str(tmp_path / "m"), key="id")
+    evaluation.tune_job(papers, model, str(tmp_path / "m" / "model" / "thresholds"), key="id")
+    report = evaluation.eval_job(papers, model, str(tmp_path / "m" / "model"), str(tmp_path / "report"), key="id")
+    assert json.loads((tmp_path / "report").read_text())["f1"] == pytest.approx(report.first()["f1"])
 
 
 def test_run_folder_is_removed_at_the_end(spark, tmp_path):
