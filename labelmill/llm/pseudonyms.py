@@ -76,12 +76,17 @@ def _whole(pattern: str) -> str:
     return f"^(?:{pattern})$"
 
 
-def feistel(values: Column, bases: Column, kind: str, key: str) -> Column:
-    """A permutation of all digit lists with these ``bases``; both are int arrays of one size."""
+def feistel(values: Column, bases: Column, kind: str | Column, key: str) -> Column:
+    """A permutation of all digit lists with these ``bases``; both are int arrays of one size.
+
+    Every ``kind`` has its own. The key is a literal of the plan and stands in what ``explain`` and
+    event logs show of it, so guard those as the key.
+    """
+    kind = F.lit(kind) if isinstance(kind, str) else kind
 
     def moved(digit: Column, base: Column, other: Column, turn: Column, i: Column) -> Column:
         told = F.array_join(F.transform(other, lambda v: v.cast("string")), ",")
-        said = F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), told, i.cast("string"))
+        said = F.concat_ws("|", F.lit(key), kind, turn.cast("string"), told, i.cast("string"))
         amount = F.conv(F.substring(F.sha2(said, 256), 1, 12), 16, 10).cast("bigint")
         return F.pmod(digit + amount, base).cast("int")
 
@@ -275,8 +280,8 @@ def _date(m: Column, key: str) -> Column:
             at = F.datediff(d, start)
             values = F.array(F.floor(at / step).cast("int"), F.pmod(at, step).cast("int"))
             bases = F.array((days / step).cast("int"), step)
-            # The year is part of what is hashed: years do not share one pattern.
-            fresh = feistel(F.concat(values, F.array(F.year(d))), F.concat(bases, F.array(F.lit(1))), "date", key)
+            # Every round hashes the year: years do not share one pattern.
+            fresh = feistel(values, bases, F.concat(F.lit("date"), F.year(d).cast("string")), key)
             return F.date_add(start, F.get(fresh, F.lit(0)) * step + F.get(fresh, F.lit(1)))
 
         def padded(number: Column, like: Column) -> Column:

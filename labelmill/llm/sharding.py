@@ -140,19 +140,16 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = SEED) -> DataFra
     """
     if shards < 1:
         raise ValueError("shards must be positive")
-    rows = stored(
-        df.withColumns({_PART: F.spark_partition_id(), _ROW: F.monotonically_increasing_id()}),
-        "shard-rows",
-    )
+    # A partition's rows are permuted where they are, by a sort on the key; the place is stored with the row.
+    numbered = df.withColumns({_PART: F.spark_partition_id(), _ROW: F.monotonically_increasing_id()})
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    rows = stored(numbered.sortWithinPartitions(_key(seed, 1)).withColumn("__shard_at", place), "shard-rows")
     counts = stored(rows.groupBy(F.col(_PART).alias("part")).agg(F.count(F.lit(1)).alias("n")), "shard-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     drawn = stored(matrix(counts, even_sizes(total, shards), seed), "shard-matrix")
 
-    # Permute a partition's rows, then deal them out by the partition's counts.
-    here = Window.partitionBy(_PART).orderBy(_key(seed, 1))
-    dealt = rows.withColumn("__shard_at", F.row_number().over(here)).join(
-        drawn.withColumnRenamed("part", _PART), _PART
-    )
+    # The permuted rows of a partition are dealt out by its counts.
+    dealt = rows.join(drawn.withColumnRenamed("part", _PART), _PART)
     shard = F.expr("""
         aggregate(sizes, struct(0L AS upto, 0 AS shard), (a, n) -> struct(
           a.upto + n AS upto, a.shard + if(__shard_at > a.upto + n, 1, 0) AS shard), a -> a.shard)
