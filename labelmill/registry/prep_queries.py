@@ -16,7 +16,7 @@ from labelmill.functions.taxonomy import (
     multihot_to_labels,
 )
 from labelmill.functions.text import clean_papers, clean_text, split_categories
-from labelmill.operators import curves, profiling, vocab
+from labelmill.operators import curves, profiling, subwords, vocab
 from labelmill.plans import prep
 from labelmill.plans.tagging import add_tags, join_predictions
 from labelmill.registry import views as V
@@ -26,6 +26,7 @@ from labelmill.session import scratch_path, stored
 from labelmill.sources import landing, readers, writers
 from labelmill.sources.arrow_dataset import read_dataset, write_dataset
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # a public file; where it lies is a parameter
 RAW_SQL = sql("SELECT id, title, abstract, categories, authors, update_date FROM papers_source")
 
 
@@ -473,6 +474,18 @@ def decode_tokens(spark, sf):
     return vocab.decode_tokens(vocab.encode_pairs(V.papers(spark, sf), table), table)
 
 
+@query("subword_round_trip", sql("""
+    SELECT id, concat(title, ' ', abstract) AS text, true AS fewer_than_bytes FROM base"""))
+def subword_round_trip(spark, sf):
+    """Texts encoded by a public vocabulary and decoded again, and whether they took fewer ids than bytes."""
+    vocabulary = subwords.read_vocabulary(spark, VOCABULARY)
+    papers = V.papers_base(spark, sf).select("id", F.concat_ws(" ", "title", "abstract").alias("source"))
+    encoded = stored(subwords.encode_subwords(papers, vocabulary, "source", ("id", "source")), "encoded")
+    few = F.size("ids") < F.greatest(F.octet_length("source"), F.lit(1))
+    back = subwords.decode_subwords(encoded.withColumn("fewer_than_bytes", few), vocabulary, keep=("id", "fewer_than_bytes"))
+    return back.select("id", "text", "fewer_than_bytes")
+
+
 @query("papers_to_json", sql("SELECT id, title, abstract FROM base"))
 def to_json(spark, sf):
     rows = V.papers_base(spark, sf)
