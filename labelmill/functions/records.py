@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from labelmill.functions.text import WHITESPACE
 
+# The fields that may hold a record's id, in order of preference, and those of a response.
 ID_FIELDS = ("id", "arxiv_id", "paper_id")
 RESPONSE_FIELDS = ("title", "predicted_tags", "tag_probabilities")
 

@@ -57,7 +57,9 @@ def coverage_curve(df: DataFrame, column: str = "labels") -> DataFrame:
     Each paper is covered at the smallest rank among its labels, so one pass
     computes that minimum in the row, one aggregate counts papers per rank, and a
     running sum over the label-sized result gives the curve. Papers without
-    labels count in the denominator. Row 0 is the empty label set.
+    labels count in the denominator. Row 0 is the empty label set. The ranks go
+    with every row as one map, so the column should hold names of a list, as
+    labels and codes do, and not free text.
     """
     order = ranked(label_distribution(df, column))
     pairs = F.collect_list(F.struct("label", "rank"))
