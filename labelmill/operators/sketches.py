@@ -57,7 +57,10 @@ def rank_bounds(df: DataFrame, value: str, found: DataFrame, by: tuple[str, ...]
     One pass over the values; ``found`` has a row per group. The asked-for share lies between the
     two, give or take the sketch's rank error.
     """
-    near = df.join(F.broadcast(found.select(*by, quantile_column)), list(by)) if by else df.crossJoin(F.broadcast(found.select(quantile_column)))
+    if by:
+        near = df.join(F.broadcast(found.select(*by, quantile_column)), list(by))
+    else:
+        near = df.withColumn(quantile_column, found.select(quantile_column).scalar())
     n = F.count(value)
     return near.groupBy(*by).agg(
         (F.count_if(F.col(value) < F.col(quantile_column)) / n).alias("below"),

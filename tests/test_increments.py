@@ -93,6 +93,8 @@ def test_merged_sketches_stay_within_their_bound(spark, k):
             assert low - K.rank_error(k) <= p <= high + K.rank_error(k)
         bounds = K.rank_bounds(df, "v", found, ("split",)).collect()
         assert all(b.below - K.rank_error(k) <= p <= b.upto + K.rank_error(k) for b in bounds)
+    whole = K.rank_bounds(df, "v", K.length_summary(kept, (), 0.5), ()).first()
+    assert whole.below - K.rank_error(k) <= 0.5 <= whole.upto + K.rank_error(k)
     everything = K.merged(kept).select("n", K.quantile(0.5).alias("m"), K.rank(F.lit(10**9)).alias("r")).first()
     assert everything.n == 60_000 and everything.r == 1.0
     assert K.length_summary(kept.limit(0)).count() == 0
