@@ -47,7 +47,8 @@ TREES, ROOT, DEPTH = 36, 3, 7  # positions of a signature: the first three are n
 REGION = 32  # sets that are each other's candidates
 HOT = 20_000  # rows of a region that go on by full depth at once
 HOT_REGIONS = 5_000  # at most so many are hot
-CHUNK, CHUNK_HASHES = 1024, 1 << 20  # sets and hashes that are held against each other in one task
+CHUNK, CHUNK_HASHES = 1024, 1 << 20  # sets and hashes that are held against each other in one task, at most
+LEAST_CHUNK, CHUNKS = 64, 16  # smaller families are not cut; one that is has this many chunks, or more
 _ROWS = 256  # hashes multiplied at once
 _BATCH = 1 << 16
 
@@ -298,7 +299,8 @@ def links(
     """``(a, b)`` over ``rep``: a spanning forest of the links, confirmed on full sets."""
     members = stored(families(reps, percent, region, hot).join(reps.drop("first", "rest"), "rep"), "forest-members")
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("hashes"))
-    chunks = F.greatest(F.ceil(F.col("m") / chunk), F.ceil(F.col("hashes") / CHUNK_HASHES)).cast("bigint")
+    each = F.least(F.lit(chunk), F.greatest(F.lit(LEAST_CHUNK), F.ceil(F.col("m") / CHUNKS)))
+    chunks = F.greatest(F.ceil(F.col("m") / each), F.ceil(F.col("hashes") / CHUNK_HASHES)).cast("bigint")
     members = members.join(sizes.select("family", chunks.alias("chunks")), "family")
     wanted = stored(members.select("who", "rep", F.col("digest").alias("of"), "family", "chunks"), "forest-wanted")
     texts = docs.select(who(F.col(key), F.col(text)).alias("who"), F.col(text).cast("binary").alias("text"))
