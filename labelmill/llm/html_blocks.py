@@ -79,6 +79,12 @@ _RAW = ("script", "style")
 _COMMENT_END = re.compile(r"--!?>")
 
 
+def _less(counts: Counter[str], name: str) -> None:
+    counts[name] -= 1
+    if not counts[name]:
+        del counts[name]
+
+
 @dataclass
 class _Open:
     tag: str
@@ -95,6 +101,8 @@ class _Blocks(HTMLParser):
         self.open: list[_Open] = []
         self.places: dict[str, list[int]] = defaultdict(list)  # of the open elements, by tag
         self.block_places: list[int] = []
+        self.p_holders: list[int] = []  # of those that a paragraph does not reach out of
+        self.around: Counter[str] = Counter()
         self.hints: Counter[str] = Counter()
         self.hidden = 0
         self.unseen: list[tuple[str, int]] = []
@@ -142,8 +150,7 @@ class _Blocks(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             own = self.open[self.block_places[-1]].tag if self.block_places else "body"
-            around = frozenset(t for t in _SEEN_AROUND if self.places.get(t))
-            self.blocks.append(Block(text, self.linked, own, around, frozenset(+self.hints), self.hidden > 0))
+            self.blocks.append(Block(text, self.linked, own, frozenset(self.around), frozenset(self.hints), self.hidden > 0))
         self.parts, self.linked = [], 0
 
     def _push(self, element: _Open) -> None:
@@ -152,7 +159,12 @@ class _Blocks(HTMLParser):
         self.places[element.tag].append(at)
         if element.tag in _BLOCK_TAGS:
             self.block_places.append(at)
-        self.hints.update(element.hints)
+        if element.tag in _HOLDS_P:
+            self.p_holders.append(at)
+        if element.tag in _SEEN_AROUND:
+            self.around[element.tag] += 1
+        for hint in element.hints:
+            self.hints[hint] += 1
         self.hidden += element.hidden
 
     def _pop_to(self, at: int) -> None:
@@ -161,20 +173,26 @@ class _Blocks(HTMLParser):
             self.places[gone.tag].pop()
             if gone.tag in _BLOCK_TAGS:
                 self.block_places.pop()
-            self.hints.subtract(gone.hints)
+            if gone.tag in _HOLDS_P:
+                self.p_holders.pop()
+            if gone.tag in _SEEN_AROUND:
+                _less(self.around, gone.tag)
+            for hint in gone.hints:
+                _less(self.hints, hint)
             self.hidden -= gone.hidden
 
-    def _last(self, tags: set[str] | frozenset[str]) -> int:
+    def _last(self, tags: set[str]) -> int:
         return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
 
     def _close_implied(self, tag: str) -> None:
-        ended, bound = _ENDS.get(tag, (None, None))
-        if ended is None:
-            if tag not in _BLOCK_TAGS:
-                return
-            ended, bound = {"p"}, _HOLDS_P
-        at = self._last(ended)
-        if at >= 0 and at >= self._last(bound):
+        if tag in _ENDS:
+            ended, bound = _ENDS[tag]
+            at, held = self._last(ended), self._last(bound)
+        elif tag in _BLOCK_TAGS and self.places.get("p"):
+            at, held = self.places["p"][-1], self.p_holders[-1] if self.p_holders else -1
+        else:
+            return
+        if at >= 0 and at >= held:
             self._pop_to(at)
 
     # --- hiding elements ---
@@ -247,7 +265,7 @@ class _Blocks(HTMLParser):
             return
         if tag in _BLOCK_TAGS:
             self.flush()
-        at = self._last({tag})
+        at = self.places[tag][-1] if self.places.get(tag) else -1
         # An inline element does not close the block around it.
         if at >= 0 and (tag in _BLOCK_TAGS or not self.block_places or at > self.block_places[-1]):
             self._pop_to(at)
