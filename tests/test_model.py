@@ -15,6 +15,7 @@ from labelmill.operators.plugged import score_plugged
 from labelmill.operators.vocab import build_vocab, decode_tokens, encode_pairs
 from labelmill.plans.training import gradient_job, load_best
 from labelmill.registry import model_queries
+from labelmill.session import stored
 
 NAMES = ["a", "b", "c"]
 WORDS = {"a": "apple apricot", "b": "boat bridge", "c": "cloud"}
@@ -348,3 +349,14 @@ def test_a_plugged_model_needs_no_folder_on_the_workers(spark, tmp_path, monkeyp
     rows = model_queries.plugged(spark, str(tmp_path), 4).collect()
     got = {(r["vec_id"], r["idx"]): r["logit"] for r in rows}
     assert got == {(i, label): pytest.approx(mean * i + 1) for i in range(6) for label, mean in ((0, 2.0), (10, 3.0))}
+
+
+def test_a_head_of_the_model_is_met_without_a_sort(spark, trained, monkeypatch):
+    """Beside a tail, the words of the head are summed in the row: no aggregate of lists, no exchange."""
+    papers, model = trained
+    plans = []
+    monkeypatch.setattr(L, "stored", lambda df, name: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or stored(df, name))
+    rows = L.score_linear(papers, model, head_rows=3)
+    assert len(plans) == 1 and "Aggregate" not in plans[0] and "Exchange" not in plans[0]
+    assert sorted(r["id"] for r in rows.collect()) == sorted(r["id"] for r in papers.collect())
