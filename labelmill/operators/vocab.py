@@ -79,12 +79,12 @@ def encode_pairs(
         F.array(F.lit("[CLS]")), F.slice("t", 1, F.col("kt")), F.array(F.lit("[SEP]")),
         F.slice("a", 1, F.col("ka")), F.array(F.lit("[SEP]")),
     )
-    tokens = sides.select(key, (F.col("kt") + 2).alias("first_len"), F.posexplode(sequence).alias("pos", "token"))
+    tokens = sides.select(key, (F.col("kt") + 2).alias("first_len"), sequence.alias("token"))
     # Place and id in one number: sorting the numbers sorts the places.
     grouped = gathered(
         tokens, vocab, "token", "n", key, "token_id",
-        lambda i: F.shiftleft(F.col("pos").cast("bigint"), 32) + F.coalesce(i, F.lit(UNKNOWN)), "seq",
-        {"first_len": F.max("first_len")}, head_rows=head_rows,
+        lambda pos, i: F.shiftleft(pos.cast("bigint"), 32) + F.coalesce(i, F.lit(UNKNOWN)), "seq",
+        ("first_len",), head_rows=head_rows,
     )
     n = F.size("seq")
     made = grouped.select(
@@ -106,10 +106,10 @@ def decode_tokens(
     """``(id, text)``: the ids' tokens in order, joined by spaces; ids of rows may repeat."""
     if key is None:
         encoded, key = numbered(encoded.select("id", ids)), ROW
-    places = encoded.select(key, F.posexplode(ids).alias("pos", "token_id"))
+    places = encoded.select(key, F.col(ids).alias("token_id"))
     found = gathered(
         places, vocab, "token_id", "n", key, "token",
-        lambda t: F.struct("pos", F.coalesce(t, F.lit("[UNK]")).alias("t")), "seq", head_rows=head_rows,
+        lambda pos, t: F.struct(pos.alias("pos"), F.coalesce(t, F.lit("[UNK]")).alias("t")), "seq", head_rows=head_rows, in_row=True,
     )
     told = found.select(key, F.array_join(F.transform("seq", lambda s: s["t"]), " ").alias("text"))
     return encoded.select(F.col(key).alias(ROW), "id").join(told.withColumnRenamed(key, ROW), ROW, "left").select(

@@ -9,6 +9,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from labelmill.operators import linear_model as L
+from labelmill.operators import lookup as lookups
 from labelmill.operators.logreg import LogRegModel, feature_frame, fit_steps, hashed_words, score_logreg, train_logreg
 from labelmill.operators.lookup import lookup, most_frequent
 from labelmill.operators.plugged import score_plugged
@@ -360,3 +361,18 @@ def test_a_head_of_the_model_is_met_without_a_sort(spark, trained, monkeypatch):
     rows = L.score_linear(papers, model, head_rows=3)
     assert len(plans) == 1 and "Aggregate" not in plans[0] and "Exchange" not in plans[0]
     assert sorted(r["id"] for r in rows.collect()) == sorted(r["id"] for r in papers.collect())
+
+
+@pytest.mark.parametrize("head_rows", [None, 4])
+def test_ids_beyond_the_head_are_gathered_without_a_sort(spark, monkeypatch, head_rows):
+    df = spark.createDataFrame([("x", "a b", "c d e"), ("y", "b b", "zz a a"), ("z", "", None)],
+                               "id string, title string, abstract string")
+    vocab = stored(build_vocab(df.where("id = 'x'")), "vocab")
+    plans = []
+    monkeypatch.setattr(lookups, "stored", lambda part, name: plans.append(
+        part._jdf.queryExecution().executedPlan().toString()) or stored(part, name))
+    encoded = encode_pairs(df, vocab, 16, head_rows=head_rows)
+    text = {r["id"]: r["text"] for r in decode_tokens(encoded, vocab, head_rows=head_rows).collect()}
+    assert text == {"x": "[CLS] a b [SEP] c d e [SEP]", "y": "[CLS] b b [SEP] [UNK] a a [SEP]", "z": "[CLS] [SEP] [SEP]"}
+    assert len(plans) == (0 if head_rows is None else 2)
+    assert not any("Aggregate" in p for p in plans)
