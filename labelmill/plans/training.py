@@ -94,7 +94,7 @@ def gradient_job(
         write_document(spark, json.dumps(state), f"{folder}/{STATE}")
 
     def on_step(step: Step) -> None:
-        steps.append(step)
+        steps[:] = [step]  # a step holds a model; only the last is needed
         if step.number > 0 and step.number % every == 0:
             checkpoint(step)
 

@@ -1,5 +1,6 @@
 import json
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from labelmill.operators import linear_model as L
+from labelmill.operators import logreg
 from labelmill.operators import lookup as lookups
 from labelmill.operators.logreg import LogRegModel, feature_frame, fit_steps, hashed_words, score_logreg, train_logreg
 from labelmill.operators.lookup import lookup, most_frequent
@@ -376,3 +378,18 @@ def test_ids_beyond_the_head_are_gathered_without_a_sort(spark, monkeypatch, hea
     assert text == {"x": "[CLS] a b [SEP] c d e [SEP]", "y": "[CLS] b b [SEP] [UNK] a a [SEP]", "z": "[CLS] [SEP] [SEP]"}
     assert len(plans) == (0 if head_rows is None else 2)
     assert not any("Aggregate" in p for p in plans)
+
+
+def test_steps_of_a_fit_are_not_held_in_memory():
+    n, k = 20_000, 5
+    rng = np.random.default_rng(1)
+    tracemalloc.start()
+    kept = logreg._Curvature(n, k)
+    for _ in range(logreg.MEMORY + 2):
+        step = rng.normal(size=(n, k))
+        kept.add(step, 2 * step, np.arange(k) > 0)
+    down = kept.direction(step)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < logreg.MEMORY * step.nbytes
+    assert np.allclose(down[:, 0], -step[:, 0]) and np.allclose(down[:, 1:], -step[:, 1:] / 2)
