@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelmill.functions.scoring import predict, sigmoid, threshold_vector
+from labelmill.functions.taxonomy import LABELS
 from labelmill.plans.evaluation import resolve_thresholds
 from labelmill.plans.tagging import add_tags
+from labelmill.registry import views as V
 from labelmill.sources.readers import read_thresholds
 from labelmill.sources.writers import write_thresholds
 
@@ -72,3 +74,20 @@ def test_tags_and_probabilities(spark):
     assert rows[0]["predicted_tags"] == ["a", "c"]
     assert rows[0]["tag_probabilities"] == {"a": 0.9, "c": 0.6124}
     assert rows[1]["predicted_tags"] == [] and rows[1]["tag_probabilities"] == {}
+
+
+def test_labels_of_a_made_up_score_are_worked_out_once(spark, tmp_path):
+    """Inside a lambda every class would look the codes up again."""
+    spark.sql("SELECT id AS o_orderkey, 'HIGH' AS o_orderpriority, 'F' AS o_orderstatus, "
+              "timestamp '2020-01-01' AS o_orderdate FROM range(5)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT id % 4 AS l_orderkey, id * 31 AS l_partkey FROM range(20)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    known = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        rows = V.scored(spark, str(tmp_path))
+        plan = rows.where("exists(prob, x -> x > 0.2)").select("id")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", known)
+    assert 1 <= plan.count("element_at(") <= 2
+    for r in rows.collect():
+        assert r["y"] == [float(x in r["labels"]) for x in LABELS]
