@@ -114,19 +114,20 @@ def _met(head: Broadcast, key_type: str, value_type: str) -> Callable:
 
 
 def gathered(
-    rows: DataFrame, table: DataFrame, key: str, frequency: str, by: str, value: str,
+    rows: DataFrame, table: DataFrame, key: str, frequency: str, by: str | None, value: str,
     made: Callable[[Column, Column], Column], into: str, extra: tuple[str, ...] = (),
     row_bytes: int = ROW_BYTES, head_rows: int | None = None, in_row: bool = False,
 ) -> DataFrame:
-    """``(by, into, *extra)`` of ``rows``, whose column ``key`` is an array of keys; ``into`` is sorted.
+    """``(by, *extra, into)`` of ``rows``, whose column ``key`` is an array of keys; ``into`` is sorted.
 
     ``made(place, value)`` is what a key adds to the list; its value is null if the key is not in
-    the table. Rows without a key are left out. With ``in_row``, or beside a table beyond one
-    broadcast, a row's keys meet the head in the row itself, with no shuffle and no sort. If there is
-    a tail, the rows are written once, and only their other keys meet it.
+    the table. Rows without a key are left out. With ``in_row``, without ``by``, or beside a table
+    beyond one broadcast, a row's keys meet the head in the row itself, with no shuffle and no sort.
+    If there is a tail, the rows are written once with a number, and only their other keys meet it.
     """
     head, tail = split_table(table, key, frequency, row_bytes, head_rows)
-    if tail is None and not in_row:
+    own = [*([by] if by else []), *extra]
+    if tail is None and not in_row and by:
         each = rows.select(by, *extra, F.posexplode(key).alias("pos", key))
         met = each.join(F.broadcast(head.select(key, value)), key, "left")
         told = [F.max(c).alias(c) for c in extra]
@@ -136,19 +137,21 @@ def gathered(
     found = head.where(F.col(key).isNotNull()).select(key, value).toArrow()
     sent = spark.sparkContext.broadcast((found[key].combine_chunks(), found[value].combine_chunks()))
     kinds = [head.schema[c].dataType.simpleString() for c in (key, value)]
-    met = rows.where(F.size(key) > 0).select(by, *extra, _met(sent, *kinds)(F.col(key)).alias("__met"))
+    # Asked of what was met: asked of the keys, it would have Spark work them out again for the answer.
+    met = rows.select(*own, _met(sent, *kinds)(F.col(key)).alias("__met")).where(F.size("__met.known") > 0)
     if tail is None:
-        return met.select(by, F.transform("__met.known", lambda v, i: made(i, v)).alias(into), *extra)
-    part = stored(met.select(by, *extra, *[F.col(f"__met.{x}").alias(f"__{x}") for x in ("known", "at", "rest")]), "gathered")
-    pairs = part.select(by, F.explode(F.arrays_zip("__at", "__rest")).alias("__r"))
-    rest = pairs.select(by, F.col("__r.__at").alias("pos"), F.col("__r.__rest").alias(key))
+        return met.select(*own, F.transform("__met.known", lambda v, i: made(i, v)).alias(into))
+    told = [F.col(f"__met.{x}").alias(f"__{x}") for x in ("known", "at", "rest")]
+    part = stored(met.select(*own, F.monotonically_increasing_id().alias("__line"), *told), "gathered")
+    pairs = part.select("__line", F.explode(F.arrays_zip("__at", "__rest")).alias("__r"))
+    rest = pairs.select("__line", F.col("__r.__at").alias("pos"), F.col("__r.__rest").alias(key))
     flagged = flag_possible(rest, tail, key, "__possible")
     rare = flagged.where("__possible").drop("__possible").join(tail.select(key, value), key, "left")
     absent = flagged.where("NOT __possible").drop("__possible")
     late = rare.unionByName(absent, allowMissingColumns=True)
-    late = late.groupBy(by).agg(F.collect_list(made(F.col("pos"), F.col(value))).alias("__late"))
-    both = part.drop("__rest").join(late, by, "left")
+    late = late.groupBy("__line").agg(F.collect_list(made(F.col("pos"), F.col(value))).alias("__late"))
+    both = part.drop("__at", "__rest").join(late, "__line", "left")
     known = F.transform("__known", lambda v, i: F.when(v.isNotNull(), made(i, v)))
     known = F.filter(known, lambda x: x.isNotNull())
     whole = F.when(F.col("__late").isNull(), known).otherwise(F.sort_array(F.concat(known, "__late")))
-    return both.select(by, whole.alias(into), *extra)
+    return both.select(*own, whole.alias(into))

@@ -62,41 +62,48 @@ def encode_pairs(
 ) -> DataFrame:
     """``[CLS] title [SEP] abstract [SEP]`` as ids, segment ids and mask; ragged, no padding.
 
-    Truncation happens in the row, before the vocabulary join, so at most ``max_length`` rows per
-    paper are joined and regrouped, and the text is split once however large the vocabulary is.
-    Those rows hold a row number, a place and a word; ``id`` and ``keep`` join back on the number. ``key`` names a column that is unique already, which
-    spares writing the rows once; ids may repeat.
+    Truncation happens in the row, before the vocabulary, so at most ``max_length`` words per paper
+    meet it, and the text is split once however large the vocabulary is. They meet it in the row, so
+    a paper keeps its ``id`` and ``keep`` and nothing is written, but for a vocabulary beyond one
+    broadcast: then the ids are, once, and the words beyond the head are shuffled. Ids may repeat.
+    ``key`` names a column that is unique already, if there is one; then Spark's own aggregate
+    gathers the ids of a key, and ``id`` and ``keep`` join back on it.
     """
     columns = list(dict.fromkeys(["id", *keep]))
-    if key is None:
-        papers, key = numbered(papers.select("title", "abstract", *columns)), ROW
-    sides = papers.select(
-        key, words(clean_text(F.col("title"))).alias("t"), words(clean_text(F.col("abstract"))).alias("a"),
-    )
-    kt, ka = _kept(F.col("t"), F.col("a"), max_length - 3)
-    sides = sides.withColumns({"kt": kt, "ka": ka})
-    sequence = F.concat(
-        F.array(F.lit("[CLS]")), F.slice("t", 1, F.col("kt")), F.array(F.lit("[SEP]")),
-        F.slice("a", 1, F.col("ka")), F.array(F.lit("[SEP]")),
-    )
-    tokens = sides.select(key, (F.col("kt") + 2).alias("first_len"), sequence.alias("token"))
+    told = ["__kept"] if key is None else []
+    own = F.struct(*columns).alias("__kept") if key is None else F.col(key)
+
+    def pair(both: Column) -> Column:
+        kt, ka = _kept(both["t"], both["a"], max_length - 3)
+        sequence = F.concat(
+            F.array(F.lit("[CLS]")), F.slice(both["t"], 1, kt), F.array(F.lit("[SEP]")),
+            F.slice(both["a"], 1, ka), F.array(F.lit("[SEP]")),
+        )
+        return F.struct((kt + 2).alias("first_len"), sequence.alias("token"))
+
+    # The words are bound in a lambda: as columns, each of their uses would split the text again.
+    sides = [words(clean_text(F.col(c))).alias(name) for c, name in (("title", "t"), ("abstract", "a"))]
+    paired = F.get(F.transform(F.array(F.struct(*sides)), pair), F.lit(0))
+    tokens = papers.select(own, paired.alias("__pair")).select(*(told or [key]), "__pair.first_len", "__pair.token")
     # Place and id in one number: sorting the numbers sorts the places.
     grouped = gathered(
         tokens, vocab, "token", "n", key, "token_id",
         lambda pos, i: F.shiftleft(pos.cast("bigint"), 32) + F.coalesce(i, F.lit(UNKNOWN)), "seq",
-        ("first_len",), head_rows=head_rows,
+        ("first_len", *told), head_rows=head_rows,
     )
     n = F.size("seq")
     made = grouped.select(
-        key, F.transform("seq", lambda s: s.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("input_ids"),
+        *([f"__kept.{c}" for c in columns] if key is None else [F.col(key).alias(ROW)]),
+        F.transform("seq", lambda s: s.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("input_ids"),
         F.concat(
             F.array_repeat(F.lit(0), F.col("first_len")),
             F.array_repeat(F.lit(1), n - F.col("first_len")),
         ).alias("token_type_ids"),
         F.array_repeat(F.lit(1), n).alias("attention_mask"),
     )
-    kept = papers.select(F.col(key).alias(ROW), *columns).join(made.withColumnRenamed(key, ROW), ROW)
-    return kept.drop(ROW)
+    if key is None:
+        return made
+    return papers.select(F.col(key).alias(ROW), *columns).join(made, ROW).drop(ROW)
 
 
 def decode_tokens(

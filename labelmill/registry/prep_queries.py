@@ -432,9 +432,10 @@ def flatten(spark, sf):
     return flatten_struct(nested)
 
 
-def _vocab(spark, sf):
-    train = V.papers(spark, sf).where(F.col("split") == "train")
-    return stored(vocab.build_vocab(train), "vocab")
+def papers_and_vocab(spark, sf):
+    """The papers' ids and texts, written once, and the vocabulary of the train split, written too."""
+    papers = stored(V.papers(spark, sf).select("id", "title", "abstract", "split"), "papers")
+    return papers, stored(vocab.build_vocab(papers.where(F.col("split") == "train")), "vocab")
 
 
 @query("build_vocab", sql("SELECT token, token_id, n FROM vocab"))
@@ -448,7 +449,7 @@ def build_vocab(spark, sf):
            string_agg(cast(token_id AS varchar), ' ' ORDER BY pos) AS ids
     FROM encoded_tokens GROUP BY id, first_len"""))
 def encode_pairs(spark, sf):
-    rows = vocab.encode_pairs(V.papers(spark, sf), _vocab(spark, sf))
+    rows = vocab.encode_pairs(*papers_and_vocab(spark, sf))
     segments = F.aggregate("token_type_ids", F.lit(0), lambda a, x: a + x)
     return rows.select(
         "id", (F.size("input_ids") - segments).alias("first_len"),
@@ -459,7 +460,7 @@ def encode_pairs(spark, sf):
 @query("encode_with_tail", ORACLES["encode_pairs"])
 def encode_with_tail(spark, sf):
     """The same ids when only 300 words of the vocabulary are broadcast."""
-    rows = vocab.encode_pairs(V.papers(spark, sf), _vocab(spark, sf), head_rows=300)
+    rows = vocab.encode_pairs(*papers_and_vocab(spark, sf), head_rows=300)
     segments = F.aggregate("token_type_ids", F.lit(0), lambda a, x: a + x)
     return rows.select(
         "id", (F.size("input_ids") - segments).alias("first_len"),
@@ -470,8 +471,8 @@ def encode_with_tail(spark, sf):
 @query("decode_tokens", sql("""
     SELECT id, string_agg(token, ' ' ORDER BY pos) AS text FROM encoded_tokens GROUP BY id"""))
 def decode_tokens(spark, sf):
-    table = _vocab(spark, sf)
-    return vocab.decode_tokens(vocab.encode_pairs(V.papers(spark, sf), table), table)
+    papers, table = papers_and_vocab(spark, sf)
+    return vocab.decode_tokens(vocab.encode_pairs(papers, table), table)
 
 
 @query("subword_round_trip", sql("""

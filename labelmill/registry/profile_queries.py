@@ -13,6 +13,7 @@ from labelmill.operators import vocab
 from labelmill.plans.tagging import add_tags
 from labelmill.registry import views as V
 from labelmill.registry.base import ORACLES, query
+from labelmill.registry.prep_queries import papers_and_vocab
 from labelmill.registry.sql_views import h, split_of, sql
 from labelmill.session import scratch_path, stored
 
@@ -57,9 +58,7 @@ def labels_per_paper_stats(spark, sf):
     SELECT round(avg(n), 6) AS avg_length, round(quantile_cont(n, 0.95), 6) AS p95_length
     FROM (SELECT id, count(*) AS n FROM encoded_tokens GROUP BY id)"""))
 def token_length_stats(spark, sf):
-    papers = V.papers(spark, sf)
-    table = stored(vocab.build_vocab(papers.where(F.col("split") == "train")), "vocab")
-    stats = P.token_length_stats(vocab.encode_pairs(papers, table))
+    stats = P.token_length_stats(vocab.encode_pairs(*papers_and_vocab(spark, sf)))
     return stats.select(F.round("avg_length", 6).alias("avg_length"),
                         F.round("p95_length", 6).alias("p95_length"))
 

@@ -393,3 +393,24 @@ def test_steps_of_a_fit_are_not_held_in_memory():
     tracemalloc.stop()
     assert peak < logreg.MEMORY * step.nbytes
     assert np.allclose(down[:, 0], -step[:, 0]) and np.allclose(down[:, 1:], -step[:, 1:] / 2)
+
+
+@pytest.mark.parametrize("head_rows", [None, 4])
+def test_encoding_splits_a_text_once_and_writes_no_texts(spark, monkeypatch, head_rows):
+    from labelmill.operators import vocab as encoder
+
+    df = spark.createDataFrame([("x", "a b", "c d e", 1), (None, "b b", "zz a a", 2), (None, "b b", "zz a a", 2)],
+                               "id string, title string, abstract string, token int")
+    table = stored(build_vocab(df.where("id = 'x'")), "vocab")
+    plans = []
+    noted = lambda part, name: plans.append(part) or stored(part, name)
+    monkeypatch.setattr(lookups, "stored", noted)
+    monkeypatch.setattr(encoder, "numbered", lambda rows: noted(rows, "rows"))
+    made = encode_pairs(df, table, 16, ("token",), head_rows=head_rows)
+    assert len(plans) == (0 if head_rows is None else 1)
+    plan = (plans[0] if plans else made)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower(") <= 4  # title and abstract, for the words and for the length of the title
+    ids = {r["token"]: r["token_id"] for r in table.collect()}
+    want = [[ids.get(w, 1) for w in f"[CLS] {text} [SEP]".split()]
+            for text in ("a b [SEP] c d e", "b b [SEP] zz a a", "b b [SEP] zz a a")]
+    assert sorted((r["token"], r["input_ids"]) for r in made.collect()) == [(1, want[0]), (2, want[1]), (2, want[2])]
