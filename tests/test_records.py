@@ -199,6 +199,21 @@ def test_split_folders(spark, tmp_path):
     assert readers.select_split(df.drop("split"), "val").count() == 50
 
 
+def test_compacted_splits_are_written_without_a_sort(spark, tmp_path):
+    before = spark.conf.get(writers.OPEN_FILES)
+    names = [f"s{i % 20}" for i in range(200)]  # more than are open at once: all are written
+    for splits in (["train", "val", None] * 60, names):
+        df = spark.createDataFrame([(str(i), x) for i, x in enumerate(splits)], "id string, split string")
+        path = str(tmp_path / f"s{len(splits)}")
+        writers.write_splits(df, path, files_per_split=2)
+        assert spark.conf.get(writers.OPEN_FILES) == before
+        back = spark.read.schema("id string, split string").parquet(path)
+        assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+        runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+        plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+        assert "Sort" not in next(p for p in reversed(plans) if "InsertIntoHadoopFs" in p and path in p)
+
+
 def test_broken_lines_are_never_lost(spark, tmp_path):
     import pytest
 
