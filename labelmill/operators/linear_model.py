@@ -28,6 +28,7 @@ from labelmill.session import share_package, stored
 SMOOTHING = 1.0
 LOGIT_DIGITS = 9
 NO_WORD = ""  # one such row per paper carries papers without a known word
+MATRIX_BYTES = 64 << 20  # words and weights of a head that is sent as arrays
 AT_ONCE = 1 << 17  # words whose weights a task holds at a time
 
 
@@ -147,11 +148,13 @@ WeightParts = tuple[DataFrame | Broadcast, DataFrame | None]
 def weight_parts(model: LinearModel, head_rows: int | None = None) -> WeightParts:
     """The model's weights, measured in one job: all of them and None, or a head of bounded size and the rest.
 
-    A head beside a rest is sent to the workers as words and a matrix.
+    A head beside a rest is sent to the workers as words and a matrix. The rarer the words of the
+    rest are, the fewer of them a paper has; each may cost it a row of sums in the shuffle.
     """
     k = len(model.labels)
     table = model.weights.select("token", "df", "w")
-    head, tail = split_table(table, "token", "df", ROW_BYTES + 8 * k, head_rows)
+    packed = (MATRIX_BYTES, 8 * k + 4)
+    head, tail = split_table(table, "token", "df", ROW_BYTES + 8 * k, head_rows, packed)
     if tail is None:
         return head, None
     whole = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.get("w", i).cast("double"), F.lit(0.0)))

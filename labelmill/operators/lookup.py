@@ -46,21 +46,27 @@ def _key_bytes(key: str):
 
 
 def split_table(
-    table: DataFrame, key: str, frequency: str, row_bytes: int = ROW_BYTES, head_rows: int | None = None
+    table: DataFrame, key: str, frequency: str, row_bytes: int = ROW_BYTES, head_rows: int | None = None,
+    packed: tuple[int, int] | None = None,
 ) -> tuple[DataFrame, DataFrame | None]:
     """The head of a stored table that may be broadcast, and the tail (None if there is none).
 
-    One pass measures the table: rows, and the bytes of their keys.
+    One pass measures the table: rows, and the bytes of their keys. ``packed`` is for a head that
+    is sent as arrays beside a tail: the bytes of them all, and those of a row beside its key. Such a
+    head takes as many rows of the measured length as there is room for, and is written once.
     """
     n, key_bytes = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(_key_bytes(key)), F.lit(0))).first()
     if head_rows is None:
         if n * row_bytes + key_bytes <= HEAD_BYTES:
             return table, None
-        head_rows = HEAD_BYTES // (row_bytes + LONG_KEY)
+        room, row = packed or (HEAD_BYTES, row_bytes + LONG_KEY)
+        head_rows = room // (row + key_bytes // n + 1 if packed else row)
     elif n <= head_rows:
         return table, None
     short = table.where(_key_bytes(key) <= LONG_KEY)
     head = most_frequent(short, frequency, key, head_rows)
+    if packed is not None:
+        head = stored(head, "head")
     return head, table.join(F.broadcast(head.select(key)), key, "left_anti")
 
 

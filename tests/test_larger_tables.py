@@ -1,0 +1,84 @@
+"""Work that must not grow faster than its tables: what is dealt, sorted and written."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from labelmill.operators.lookup import split_table
+from labelmill.registry import model_queries as M
+from labelmill.registry import views as V
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Few documents beside many orders; keys repeat, are null, or are met by one table only."""
+    out = str(tmp_path_factory.mktemp("tables"))
+    day = dt.date(2024, 1, 1)
+    texts = [(i, f"title {i}\nword{i % 5} common http://x.y z{i}", "en", f"src{i % 7}") for i in range(40)]
+    texts += [(3, "again", "fr", "src9"), (None, "no key", "de", "src9")]
+    spark.createDataFrame(texts, "doc_id bigint, text string, lang string, source string").write.parquet(f"{out}/documents.parquet")
+    orders = [(i, i % 4, day) for i in range(0, 4000, 2)] + [(4, 2, day), (6, None, day), (None, 1, day)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderdate date").write.parquet(f"{out}/orders.parquet")
+    lines = [(i // 2, i % 200) for i in range(8000)] + [(None, 5)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint").write.parquet(f"{out}/lineitem.parquet")
+    names = [(i, f"c{i}") for i in range(4)] + [(2, "twice"), (None, "nobody")]
+    spark.createDataFrame(names, "c_custkey bigint, c_name string").write.parquet(f"{out}/customer.parquet")
+    return out
+
+
+def plain_source(spark, sf):
+    """The papers by plain joins, one table after the other."""
+    docs, orders, names = (V.table(spark, sf, n) for n in ("documents", "orders", "customer"))
+    return (docs.join(orders, F.col("doc_id") == F.col("o_orderkey"), "left")
+            .join(V.order_codes(spark, sf), F.col("doc_id") == F.col("l_orderkey"), "left")
+            .join(names, F.col("o_custkey") == F.col("c_custkey"), "left")
+            .select(F.col("doc_id").cast("string"), "c_name", V.day("o_orderdate"), F.array_join("codes", " ")))
+
+
+def test_papers_are_those_of_the_plain_joins(spark, tables):
+    source = V.papers_source(spark, tables)
+    codes = F.regexp_replace("categories", "^(cs.LG stat.ML|math.CO|hep-th) ?", "")
+    hidden = F.when(F.col("source") != "src19", codes)
+    got = sorted(map(str, source.select("id", "authors", "update_date", hidden.alias("c")).collect()))
+    want = plain_source(spark, tables).toDF("id", "authors", "update_date", "c").withColumn("c", F.coalesce("c", F.lit("")))
+    assert got == sorted(map(str, want.collect()))
+
+
+def test_texts_are_dealt_once_and_not_sorted(spark, tables):
+    """Whatever the size of the customers: the join that meets the texts hashes the short side."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = V.papers_source(spark, tables)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = [line for line in plan.split("\n") if "Join" in line]
+    assert "ShuffledHashJoin [doc_id" in joins[0]
+    assert sum("doc_id" in line and "Exchange hashpartitioning(doc_id" in line for line in plan.split("\n")) == 1
+
+
+def test_lines_of_other_orders_are_not_dealt(spark, tables):
+    wanted = spark.createDataFrame([(1,), (2,)], "key bigint")
+    some = V.met_by(V.table(spark, tables, "lineitem"), "l_orderkey", wanted).count()
+    assert 4 <= some < 80
+    rows = V.order_codes(spark, tables, wanted).where("l_orderkey IN (1, 2)").collect()
+    assert sorted(rows) == sorted(V.order_codes(spark, tables).where("l_orderkey IN (1, 2)").collect())
+
+
+def test_a_model_for_records_stores_no_papers(spark, tables, monkeypatch):
+    def refused(*_, **__):
+        raise AssertionError("papers are written")
+
+    monkeypatch.setattr(M, "numbered", refused)
+    assert M.run_summary(spark, tables).first()["processed"] == V.papers_source(spark, tables).count()
+
+
+def test_a_packed_head_takes_the_bytes_of_its_keys(spark):
+    words = spark.createDataFrame([(f"w{i:03}", 1000 - i) for i in range(300)], "token string, df bigint")
+    monkey = 300 * 1_000_000  # a row too long for the table to be sent whole
+    head, tail = split_table(words, "token", "df", monkey, packed=(1300, 8))
+    assert (head.count(), tail.count()) == (100, 200)
+    assert head.agg(F.min("df")).first()[0] == 901
+    head, tail = split_table(words, "token", "df", monkey, packed=(1 << 20, 8))
+    assert (head.count(), tail.count()) == (300, 0)
