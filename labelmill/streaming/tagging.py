@@ -12,9 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 from labelmill import schemas as S
 from labelmill.functions.records import validate_records
 from labelmill.operators.linear_model import LinearModel, weight_parts
-from labelmill.operators.rows import ROW, numbered
 from labelmill.plans.tagging import as_records, tag_papers
-from labelmill.session import run_folder
+from labelmill.session import run_folder, stored
 from labelmill.sources.files import files_in, path_exists, read_text, remove
 from labelmill.sources.writers import write_document
 
@@ -22,6 +21,7 @@ TAGGED, REJECTS, LEDGER = "tagged", "rejects", "ledger"
 QUERY_ID = "sql.streaming.queryId"  # Spark's name for the property of a micro-batch
 BAD_LINE = "_corrupt_record"  # Spark's name on the way in; a reader would swallow it again
 RAW_LINE = "raw_line"  # its name in the rejects
+REJECT = "__reject"  # a rejected record as it came
 
 
 def read_record_stream(
@@ -62,13 +62,14 @@ def start_tagging(
             if BAD_LINE in batch.columns:
                 reason = F.when(F.col(BAD_LINE).isNotNull(), "malformed record")
                 records = records.withColumn("reject_reason", F.coalesce(reason, "reject_reason"))
-            records = numbered(records, "batch")  # written once: both outputs read the same rows
-            rejects = records.where(F.col("reject_reason").isNotNull()).drop(ROW)
-            rejects = rejects.withColumnRenamed(BAD_LINE, RAW_LINE)
+            whole = F.struct(*[F.col(c).alias(RAW_LINE if c == BAD_LINE else c) for c in records.columns])
+            records = records.withColumn(REJECT, F.when(F.col("reject_reason").isNotNull(), whole))
+            records = as_records(records.drop("reject_reason", BAD_LINE))
+            # Written once: both outputs read the same rows. Of a valid record, the abstract is not.
+            rows = stored(tag_papers(records, model, thresholds, parts=parts), "batch")
+            rejects = rows.where(F.col(REJECT).isNotNull()).select(f"{REJECT}.*")
             write_rejects(rejects, f"{out}/{REJECTS}/batch_id={batch_id}")
-            valid = records.where(F.col("reject_reason").isNull()).drop("reject_reason", BAD_LINE)
-            tagged = tag_papers(as_records(valid), model, thresholds, key=ROW, parts=parts)
-            write_tagged(tagged, f"{out}/{TAGGED}/batch_id={batch_id}")
+            write_tagged(rows.where(F.col(REJECT).isNull()), f"{out}/{TAGGED}/batch_id={batch_id}")
         write_document(spark, json.dumps({"query": query, "batch": batch_id}), entry)
 
     return (

@@ -5,9 +5,11 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from labelmill.operators import linear_model as L
 from labelmill.operators.lookup import split_table
 from labelmill.registry import model_queries as M
 from labelmill.registry import views as V
+from labelmill.streaming import tagging as stream
 
 
 @pytest.fixture(scope="module")
@@ -82,3 +84,33 @@ def test_a_packed_head_takes_the_bytes_of_its_keys(spark):
     assert head.agg(F.min("df")).first()[0] == 901
     head, tail = split_table(words, "token", "df", monkey, packed=(1 << 20, 8))
     assert (head.count(), tail.count()) == (300, 0)
+
+
+def test_a_batch_does_not_write_valid_abstracts(spark, monkeypatch, tmp_path):
+    """What a micro-batch stores for its two outputs holds whole records only where they are rejected."""
+    labels = L.LABELS
+    weights = spark.createDataFrame([(f"w{i}", 5 - i, [0.1 * i] * len(labels)) for i in range(5)], "token string, df bigint, w array<double>")
+    bias = spark.createDataFrame([(i, x, -0.1, 1.0) for i, x in enumerate(labels)], "idx int, label string, b double, pos_weight double")
+    rows = [("a", "w0 w1", "kept abstract w2"), ("b", None, "rejected abstract"), ("c", "  ", "blank"), (None, "w3", None)]
+    source = str(tmp_path / "in")
+    spark.createDataFrame(rows, "id string, title string, abstract string").write.json(source)
+    seen = {}
+    keep = stream.stored if hasattr(stream, "stored") else None
+
+    def spy(df, name):
+        made = keep(df, name)
+        seen.setdefault(name, []).extend(str(r) for r in made.collect())
+        return made
+
+    monkeypatch.setattr(stream, "stored", spy)
+    schema = spark.createDataFrame([], "id string, title string, abstract string, labels array<string>").schema
+    out = str(tmp_path / "out")
+    incoming = stream.read_record_stream(spark, source, schema)
+    parts = L.weight_parts(L.LinearModel(weights, bias, labels), 2)
+    monkeypatch.setattr(stream, "weight_parts", lambda model: parts)
+    stream.start_tagging(incoming, L.LinearModel(weights, bias, labels), out, str(tmp_path / "progress")).awaitTermination()
+    told = "".join(seen["batch"])
+    assert "rejected abstract" in told and "kept abstract" not in told
+    rejects = stream.read_rejects(spark, out).collect()
+    assert sorted((r["id"], r["title"], r["abstract"], r["reject_reason"]) for r in rejects if r["title"]) == [("c", "  ", "blank", "blank title")]
+    assert len(rejects) == 2 and sorted(str(r["id"]) for r in stream.read_tagged(spark, out).collect()) == ["None", "a"]
