@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelmill.operators import linear_model as L
+from labelmill.operators import lookup
 from labelmill.operators.lookup import split_table
 from labelmill.registry import model_queries as M
 from labelmill.registry import views as V
@@ -114,3 +115,33 @@ def test_a_batch_does_not_write_valid_abstracts(spark, monkeypatch, tmp_path):
     rejects = stream.read_rejects(spark, out).collect()
     assert sorted((r["id"], r["title"], r["abstract"], r["reject_reason"]) for r in rejects if r["title"]) == [("c", "  ", "blank", "blank title")]
     assert len(rejects) == 2 and sorted(str(r["id"]) for r in stream.read_tagged(spark, out).collect()) == ["None", "a"]
+
+
+def test_each_word_beyond_the_head_is_dealt_once_a_block(spark, monkeypatch):
+    """However often a key occurs in the rows, its block asks the tail for it once; nothing else changes."""
+    asked = []
+    flag = lookup.flag_possible
+    monkeypatch.setattr(lookup, "flag_possible", lambda rows, *a: asked.append(rows) or flag(rows, *a))
+    table = spark.range(60).selectExpr("concat('w', id) AS w", "100 - id AS n", "cast(id AS int) AS v")
+    rows = [(i, i % 3, [f"w{(i * j) % 70}" for j in range(i % 50)] + [None] * (i % 2)) for i in range(400)]
+    rows += [(7, 1, ["w59", "w59", "w0"]), (None, None, ["w58"]), (8, 0, []), (9, 0, None), (10, 2, [None])]
+    df = spark.createDataFrame(rows, "id int, x int, keys array<string>").coalesce(2)
+    known = {f"w{i}": i for i in range(60)}
+    want = sorted(str((i, x, [(p, known.get(w)) for p, w in enumerate(keys)])) for i, x, keys in rows if keys)
+    for head in (1, 20):
+        found = lookup.gathered(
+            df.withColumnRenamed("keys", "w"), table, "w", "n", None, "v",
+            lambda p, v: F.struct(p.alias("p"), v.alias("v")), "seq", ("id", "x"), head_rows=head,
+        )
+        got = [(r["id"], r["x"], [tuple(p) for p in r["seq"]]) for r in found.collect()]
+        assert sorted(map(str, got)) == want
+        assert asked.pop().count() <= 2 * 72
+
+
+def test_values_of_any_type_come_back_to_their_rows(spark):
+    table = spark.createDataFrame([(i, -i, bytes([i]) * i, [i] * i) for i in range(9)], "k int, n int, b binary, a array<int>")
+    rows = spark.createDataFrame([(1, [8, 0, 3, 8, 50]), (2, [4]), (3, [77, None])], "id int, k array<int>")
+    for value, of in (("b", lambda i: bytes([i]) * i), ("a", lambda i: [i] * i)):
+        found = lookup.gathered(rows, table, "k", "n", "id", value, lambda p, v: F.struct(p.alias("p"), v.alias("v")), "seq", head_rows=2)
+        got = {r["id"]: [v if v is None or value == "a" else bytes(v) for _, v in r["seq"]] for r in found.collect()}
+        assert got == {1: [of(8), of(0), of(3), of(8), None], 2: [of(4)], 3: [None, None]}
