@@ -77,6 +77,7 @@ _ENDS_SVG = frozenset(
 _HTML_IN_SVG = frozenset("desc foreignobject title".split())
 _RAW = ("script", "style")
 _COMMENT_END = re.compile(r"--!?>")
+_LONG_REFERENCE = re.compile(r"&#([0-9]{1000,})")  # Python reads no number of more than some thousand digits
 
 
 def _less(counts: Counter[str], name: str) -> None:
@@ -293,6 +294,8 @@ def blocks(html: str | None) -> list[Block]:
     """The leaf blocks of a page in page order."""
     if not html:
         return []
+    # Eight digits without leading zeros are beyond every character already, as is what they begin.
+    html = _LONG_REFERENCE.sub(lambda m: "&#" + (m[1].lstrip("0")[:8] or "0"), html)
     page = _read(html)
     endless = frozenset(at for tag, at in page.unseen if tag not in ("head", *_RAW))
     return _read(html, endless).blocks if endless else page.blocks

@@ -5,7 +5,7 @@ field scores a labelling by the features of every block and by the pairs of neig
 labels. Its weights maximise the penalised likelihood of labelled pages (forward-backward, full
 gradient, steps scaled per weight), a page is decoded by Viterbi's recursion, and the article blocks are
 joined. Training sees a bounded set of labelled pages on the driver; decoding is one row at
-a time on the executors, so no page meets another.
+a time on the executors, so no page meets another. Bytes that are no UTF-8 are read as U+FFFD.
 
 A null or empty page, and one without any text, gives an empty text. Very long pages are
 decoded whole. Repeated rows are decoded alike; other columns pass through, one with the name of
@@ -156,5 +156,5 @@ def extracted(pages: DataFrame, html: str = "html", into: str = "text", field: F
     def text_of(column: pd.Series) -> pd.Series:
         return pd.Series([main_text(page, model) for page in column], dtype=object)
 
-    made: Column = text_of(F.col(html))
+    made: Column = text_of(F.make_valid_utf8(F.col(html)))
     return pages.withColumn(into, made)

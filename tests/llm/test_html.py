@@ -63,6 +63,22 @@ def test_what_has_no_end(page, want):
     assert texts(page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<p>a&#" + "1" * 5000 + ";b</p>", ["a\ufffdb"]), ("<p>a&#" + "0" * 5000 + "65;b</p>", ["aAb"]), ("a&#" + "0" * 5000 + " b", ["a\ufffd b"]),
+    ("<p class='&#" + "9" * 5000 + "'>x", ["x"]), ("<p>&#" + "9" * 5000, ["\ufffd"]), ("<script>&#" + "9" * 5000 + "</script>x", ["x"]),
+])
+def test_references_of_any_length_are_read(page, want):
+    assert texts(page) == want
+
+
+def test_pages_with_bytes_that_are_no_utf8(spark, field):
+    article = b"<article><h1>Head</h1><p>Some words of an arti\xffcle that goes on and on, with a stop at the end of it.</p></article>"
+    pages = spark.createDataFrame([(1, bytearray(article)), (2, bytearray(article.replace(b"\xff", b"")))], "page_id int, html binary")
+    rows = M.extracted(pages.selectExpr("page_id", "CAST(html AS string) AS html"), field=field).select("page_id", "text").collect()
+    found = {r["page_id"]: r["text"] for r in rows}
+    assert "article that" in found[2] and found[1] == found[2].replace("article", "arti\ufffdcle")
+
+
 @pytest.mark.parametrize("page,n", [
     ("<div>x" * 50_000, 50_000), ("<div>" * 50_000 + "<p>x</section></i></td>" * 50_000, 50_000),
     ("<i><div>" + "<b>" * 50_000 + "</i>" * 50_000 + "x", 1), ("<svg><foreignobject>" + "<object>" * 50_000 + "<b>" * 50_000 + "x", 1),
