@@ -274,6 +274,30 @@ def test_joint_fit_reaches_the_loss_of_separate_fits(spark):
         assert abs(ours - theirs) < 1e-3 and ours > theirs - 1e-6
 
 
+def test_a_class_that_has_stopped_is_no_longer_summed(spark, monkeypatch):
+    """The passes after it has stopped are about the others alone, and every step's model is that of a fit that holds all."""
+    r, rows = np.random.default_rng(2), noisy_corpus(spark, 200).collect()
+    more = [0.0, 1.0, None]  # of a class by chance, of one with all papers and of one by a word
+    papers = spark.createDataFrame([(x["id"], x["title"], x["abstract"], [*x["y"], float(r.random() < 0.5), *more[:2], float("w1 " in (x["abstract"] or ""))])
+                                    for x in rows], "id string, title string, abstract string, y array<double>").repartition(3)
+    names, frame = [f"c{i}" for i in range(7)], feature_frame(papers, 64)
+    y = np.array([x["y"] for x in papers.collect()])
+    weight, positive = np.linspace(0.5, 2, 7), y.sum(0)
+    wanted = (positive > 0) & (positive < len(y))
+    sent, slopes = [], logreg._Pass.slopes
+    monkeypatch.setattr(logreg._Pass, "slopes", lambda self, coef, bias: sent.append(coef.shape[1]) or slopes(self, coef, bias))
+    steps = list(fit_steps(frame, weight, positive, wanted, names, 64, tol=1e-3))
+    first, sent[:] = list(sent), []
+    monkeypatch.setattr(logreg, "STOPPED", 0.0)
+    whole = list(fit_steps(frame, weight, positive, wanted, names, 64, tol=1e-3))
+    assert set(sent) == {7} and first[0] == 7 and first[-1] < 5 and first == sorted(first, reverse=True)
+    assert list(wanted) == [True] * 4 + [False] * 2 + [True] and len(steps) == len(whole)
+    for ours, theirs in zip(steps, whole):
+        a, b = ours.model(), theirs.model()
+        assert (ours.moving == theirs.moving).all() and np.allclose(ours.loss, theirs.loss) and np.allclose(ours.length, theirs.length)
+        assert np.allclose(a.coef, b.coef, atol=1e-6) and np.allclose(a.bias, b.bias, atol=1e-6) and a.fitted == b.fitted
+
+
 def test_an_iteration_is_one_job(spark):
     papers = noisy_corpus(spark, 60)
     frame = feature_frame(papers, 128)
