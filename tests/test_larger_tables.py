@@ -145,3 +145,27 @@ def test_values_of_any_type_come_back_to_their_rows(spark):
         found = lookup.gathered(rows, table, "k", "n", "id", value, lambda p, v: F.struct(p.alias("p"), v.alias("v")), "seq", head_rows=2)
         got = {r["id"]: [v if v is None or value == "a" else bytes(v) for _, v in r["seq"]] for r in found.collect()}
         assert got == {1: [of(8), of(0), of(3), of(8), None], 2: [of(4)], 3: [None, None]}
+
+
+def test_a_papers_sums_do_not_grow_with_the_partitions(spark):
+    """Beyond the head, a paper sends a row of sums for each task that sums, not for each partition of the join."""
+    labels, running = L.LABELS, spark.sparkContext.defaultParallelism
+    weights = spark.createDataFrame([(f"w{i}", 500 - i, [0.01 * i] * len(labels)) for i in range(400)], "token string, df bigint, w array<double>")
+    bias = spark.createDataFrame([(i, x, -0.1, 1.0) for i, x in enumerate(labels)], "idx int, label string, b double, pos_weight double")
+    papers = spark.createDataFrame([(i, None, " ".join(f"w{(i * 7 + j) % 450}" for j in range(300))) for i in range(6)] + [(0, "", "w1 w1"), (None, "no", None)],
+                                   "id int, title string, abstract string")
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        scored = L.score_linear(papers, L.LinearModel(weights, bias, labels), head_rows=5)
+        got = scored.collect()
+        plan = scored._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    sums = next(i for i, line in enumerate(plan) if "keys=[__line" in line and "partial_sum" in line)
+    assert any(f"Coalesce {running}" in line for line in plan[sums : sums + 4])
+    plain = L.score_linear(papers, L.LinearModel(weights, bias, labels)).collect()
+    assert sorted((str(r["id"]), str(r["logit"])) for r in got) == sorted((str(r["id"]), str(r["logit"])) for r in plain)
