@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +171,34 @@ def test_a_papers_sums_do_not_grow_with_the_partitions(spark):
     assert any(f"Coalesce {running}" in line for line in plan[sums : sums + 4])
     plain = L.score_linear(papers, L.LinearModel(weights, bias, labels)).collect()
     assert sorted((str(r["id"]), str(r["logit"])) for r in got) == sorted((str(r["id"]), str(r["logit"])) for r in plain)
+
+
+@pytest.mark.parametrize("head", [None, 20])
+def test_a_task_holds_a_bounded_number_of_keys(spark, monkeypatch, head):
+    """However many rows come at once, a block is of so many keys, or of one row; the values are the same."""
+    wrote, keep = [], lookup.stored
+    monkeypatch.setattr(lookup, "stored", lambda df, name: wrote.append(keep(df, name)) or wrote[-1])
+    table = keep(spark.range(60).selectExpr("concat('w', id) AS w", "100 - id AS n", "cast(id AS int) AS v"), "table")
+    rows = [(i, [f"w{(i * j) % 70}" for j in range(i % 90)] + [None] * (i % 2)) for i in range(300)] + [(None, ["w3"]), (1, []), (1, None)]
+    df = spark.createDataFrame(rows, "id int, w array<string>").coalesce(1)
+    made = {}
+    for most in (64, 1 << 19):
+        monkeypatch.setattr(lookup, "BLOCK_KEYS", most)
+        found = lookup.gathered(df, table, "w", "n", "id", "v", lambda p, v: F.struct(p.alias("p"), v.alias("v")), "seq", head_rows=head, in_row=True)
+        made[most] = sorted(str((r["id"], [tuple(x) for x in r["seq"]])) for r in found.collect())
+    known = {f"w{i}": i for i in range(60)}
+    assert made[64] == made[1 << 19] == sorted(str((i, [(p, known.get(w)) for p, w in enumerate(keys)])) for i, keys in rows if keys)
+    if head:
+        sizes = [r for r in wrote[0].groupBy("__block").agg(F.sum(F.size("__known")).alias("keys"), F.count(F.lit(1)).alias("rows")).collect()]
+        assert len(sizes) > 100 and all(r["keys"] <= 64 or r["rows"] == 1 for r in sizes)
+        assert wrote[1].select("__block").distinct().count() == 1
+
+
+def test_rows_are_cut_into_stretches():
+    offsets = np.array([3, 3, 10, 10, 14, 40, 41])
+    assert list(lookup.stretches(offsets, 11)) == [(0, 4), (4, 5), (5, 6)]
+    assert list(lookup.stretches(offsets[:1], 11)) == []
+    batch = pa.record_batch([pa.array([1, 2, 3, 4]), pa.array([["a"], None, ["b", "c"], []])], ["id", "w"]).slice(1)
+    got = [(b, r.column(0).to_pylist(), i.to_pylist(), o.tolist()) for b, r, i, o in lookup.in_blocks([batch, batch], 1)]
+    assert [g[1:] for g in got] == [([2], [], [0, 0]), ([3], ["b", "c"], [0, 2]), ([4], [], [0, 0])] * 2
+    assert len({g[0] for g in got}) == 6
