@@ -31,6 +31,44 @@ def test_ema_of_nothing(spark):
     assert C.ema_series(df, ["run"], "step", "loss").collect() == []
 
 
+SCHEMA = "run string, step bigint, loss double"
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_ema_of_short_series_far_apart_is_one_exchange(spark):
+    """Steps far apart need no chunks: the rows meet once and no join follows."""
+    rows = [(f"r{i % 40}", 1000 * i, float(i % 7)) for i in range(800)]
+    got = C.ema_series(spark.createDataFrame(rows, SCHEMA).repartition(3), ["run"], "step", "loss", chunk=64)
+    assert exchanges(got) == 1
+    for k in {r[0] for r in rows}:
+        mine = [r["ema"] for r in sorted((r for r in got.collect() if r["run"] == k), key=lambda r: r["step"])]
+        assert mine == pytest.approx(ema([v for run, _, v in rows if run == k]))
+
+
+def test_ema_of_a_long_series_among_short_ones_with_odd_rows(spark):
+    """A hot series is chunked, the others are not; null keys go where positions span more than a chunk."""
+    hot = [("hot", 3 * i, float(i % 11)) for i in range(300)]
+    rows = hot + [(f"r{i}", 500 * i, float(i)) for i in range(60)] + [(f"r{i}", 7, 1.0) for i in range(1, 60)]
+    odd = [(None, 5, 1.0), (None, 900, 2.0), ("r3", None, 4.0)]
+    got = C.ema_series(spark.createDataFrame(rows + odd, SCHEMA).repartition(4), ["run"], "step", "loss", chunk=16).collect()
+    assert sorted((r["run"], r["step"], r["loss"]) for r in got) == sorted(rows)
+    for k in {r[0] for r in rows}:
+        mine = [r["ema"] for r in sorted((r for r in got if r["run"] == k), key=lambda r: r["step"])]
+        assert mine == pytest.approx(ema([v for run, _, v in sorted(rows) if run == k]))
+    near = C.ema_series(spark.createDataFrame([(None, 5, 1.0), (None, 9, 2.0)], SCHEMA), ["run"], "step", "loss").collect()
+    assert len(near) == 2
+
+
+def test_ema_of_rows_that_come_twice(spark):
+    """Equal steps of a series are all kept, folded in the order of their values."""
+    rows = [("a", 10, 2.0), ("a", 10, 2.0), ("a", 90_000, 4.0), ("a", 90_000, 3.0)]
+    got = C.ema_series(spark.createDataFrame(rows, SCHEMA), ["run"], "step", "loss").orderBy("step", "loss").collect()
+    assert [r["ema"] for r in got] == pytest.approx(ema([2.0, 2.0, 3.0, 4.0]))
+
+
 def test_ema_alpha(spark):
     df = spark.createDataFrame([("r", 1, 1.0), ("r", 2, 3.0)], "run string, step bigint, loss double")
     rows = C.ema_series(df, ["run"], "step", "loss", alpha=0.5).orderBy("step").collect()
