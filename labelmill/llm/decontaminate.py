@@ -141,7 +141,7 @@ def proximity_matches(index: DataFrame, terms: DataFrame, within: int) -> DataFr
 
     ``anchor`` is an occurrence of the phrase's rarest term that lies in such a stretch. The next
     rarest terms are looked for near the anchors one after another, and only anchors that have
-    them go on to be checked with all terms. Terms are looked up in ranges of ``within`` positions,
+    them go on to be checked with all terms. Terms are looked up in ranges of ``4 * within`` positions,
     so the joins are on equal keys and an anchor meets a bounded number of postings.
     """
     distinct = terms.groupBy("phrase_id", "term").agg(F.min("offset").alias("offset"))
@@ -173,11 +173,14 @@ def proximity_matches(index: DataFrame, terms: DataFrame, within: int) -> DataFr
 
 def _near(index: DataFrame, wanted: DataFrame, within: int) -> DataFrame:
     """Rows of ``wanted(row, anchor, term, ...)`` once per posting of the term less than ``within`` away, with its ``pos``."""
-    span = F.lit(within)
-    cell = F.floor(F.col("anchor") / span)
-    wanted = stored(wanted.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1))), "near-wanted")
+    # What is near an anchor lies in one or two ranges of this width, mostly one.
+    span, width = F.lit(within), F.lit(4 * within)
+    cells = F.array_distinct(F.array(
+        F.floor((F.col("anchor") - span + 1) / width), F.floor((F.col("anchor") + span - 1) / width)
+    ))
+    wanted = stored(wanted.withColumn("cell", F.explode(cells)), "near-wanted")
     postings = index.where("term IS NOT NULL").select(*_AT)
-    postings = _maybe_in(_maybe_in(postings, "row", wanted), "term", wanted).withColumn("cell", F.floor(F.col("pos") / span))
+    postings = _maybe_in(_maybe_in(postings, "row", wanted), "term", wanted).withColumn("cell", F.floor(F.col("pos") / width))
     return postings.join(wanted, ["row", "cell", "term"]).where(F.abs(F.col("pos") - F.col("anchor")) < span)
 
 

@@ -103,6 +103,20 @@ def test_proximity(spark):
         assert got == want, within
 
 
+def test_near_looks_in_one_or_two_ranges(spark, monkeypatch):
+    """Every place less than ``within`` away is met once, also at the ends of ranges, and few rows are made for it."""
+    made, store = [], D.stored
+    monkeypatch.setattr(D, "stored", lambda rows, name: made.append(store(rows, name)) or made[-1])
+    index = spark.createDataFrame([(1, p, 7) for p in range(200)] + [(2, 5, 7), (1, 300, None)], "row long, pos int, term long")
+    anchors = [0, 1, 3, 4, 15, 16, 17, 19, 20, 40, 79, 80, 81, 120, 199]
+    wanted = spark.createDataFrame([(1, a, 0, 7) for a in anchors] + [(3, 5, 0, 7)], "row long, anchor int, phrase_id long, term long")
+    for within in (1, 4, 20):
+        made.clear()
+        found = Counter((r.row, r.anchor, r.pos) for r in D._near(index, wanted, within).collect())
+        assert found == Counter((1, a, p) for a in anchors for p in range(200) if abs(a - p) < within)
+        assert made[0].count() < 2 * wanted.count()
+
+
 def test_near_windows_are_counted(spark):
     docs = documents(spark, list(enumerate(corpus())) + [(None, ITEMS[0][1]), (2, None)])
     items = spark.createDataFrame(ITEMS, "item_id int, text string")
