@@ -31,21 +31,29 @@ STATISTICS = [
 TO_POOLED, TO_IDENTITY = 0.2, 0.05  # shrinkage
 
 
+def _lowered(word: Column) -> Column:
+    """:func:`ascii_lower`; of a word of ASCII alone ``lower`` makes the same, without a look-up per character."""
+    return F.when(F.length(word) == F.octet_length(word), F.lower(word)).otherwise(ascii_lower(word))
+
+
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, with ``__qda``: the transformed statistics as an array."""
     t = F.coalesce(F.col(text), F.lit(""))
+    # Split once, in the case of the text: lowering A-Z cannot make or end a word, so only distinct words are lowered.
     counted = docs.withColumns({
         "__qda_upper": F.regexp_count(t, F.lit(r"\p{Lu}")),
         "__qda_digits": F.regexp_count(t, F.lit("[0-9]")),
         "__qda_points": F.regexp_count(t, F.lit("[.,;:!?]")),
-        "__qda_distinct": F.size(F.array_distinct(spaced_words(ascii_lower(t)))),
-    })
+        "__qda_words": spaced_words(t),
+    }).withColumn(
+        "__qda_distinct", F.size(F.array_distinct(F.transform(F.array_distinct("__qda_words"), _lowered)))
+    )
     names = [f"`{c}`" for c in docs.columns if c != text]
     slim = counted.select(
         F.struct(*[F.col(c) for c in names]).alias("__qda_row"), t.alias(text),
         *[c for c in counted.columns if c.startswith("__qda_")],
     )
-    m = measured(slim, text)
+    m = measured(slim, text, words="__qda_words")
 
     def share(part: str, whole: str) -> Column:
         return F.log1p(100 * F.col(part) / F.greatest(F.col(whole), F.lit(1)))

@@ -51,9 +51,10 @@ def mask(rules) -> int:
 # Positions of the windows whose hash occurs again: neighbours in sorted order.
 _AGAIN = f"""
 transform(
-  transform(array(sort_array(transform({_WINDOWS}, (h, i) -> struct(h, i)))), s ->
+  transform(array(sort_array(arrays_zip({_WINDOWS}, sequence(0, size({_WINDOWS}) - 1)))), s ->
     sort_array(transform(
-      filter(s, (e, k) -> e.h = get(s, k - 1).h OR e.h = get(s, k + 1).h), e -> e.i))),
+      filter(s, (e, k) -> e.{_WINDOWS} = get(s, k - 1).{_WINDOWS} OR e.{_WINDOWS} = get(s, k + 1).{_WINDOWS}),
+      e -> e.`1`))),
   at -> aggregate(at, struct(-3 AS last, 0 AS n),
     (a, x) -> struct(x AS last, a.n + least(3, x - a.last) AS n), a -> a.n))[0]
 """
@@ -65,19 +66,20 @@ ELSE cast(array() AS array<bigint>) END
 """
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+def measured(docs: DataFrame, text: str = "text", words: str | None = None) -> DataFrame:
     """``docs`` with one column per measure.
 
+    ``words`` names a column that has the text's words already; it is left in place.
     A window of three words is compared by its 64-bit hash within its own document, so
     two different windows count as equal with a chance of about 1e-11 in a text of 20,000 words.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda line: line.rlike(SPACED_WORD))
-    split = docs.withColumns({_WORDS: spaced_words(t), "__rules_lines": lines})
+    split = docs.withColumns({_WORDS: F.col(words) if words else spaced_words(t), "__rules_lines": lines})
     counted = split.withColumns({
         _WINDOWS: F.expr(_HASHES),
         "n_words": F.size(_WORDS).cast("bigint"),
-        "word_chars": F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).cast("bigint"),
+        "word_chars": F.length(F.array_join(_WORDS, "")).cast("bigint"),
         "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("bigint"),
         "n_lines": F.size("__rules_lines").cast("bigint"),
         "n_dup_lines": (

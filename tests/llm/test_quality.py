@@ -1,5 +1,6 @@
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -155,3 +156,30 @@ def test_odd_rows_and_missing_labels(spark):
     rows = Q.scored(stats, both).collect()
     assert len(rows) == docs.count() and all(r.score is not None and 0 <= r.score <= 1 for r in rows)
     assert Q.scored(Q.statistics(none(spark)), both).count() == 0
+
+
+def test_statistics_of_odd_texts_against_python(spark):
+    """Letters beyond ASCII keep their case, words differ by A-Z alone, white space beyond ASCII is no space."""
+    odd_texts = odd() + [
+        "The the THE tHe", "\u00c4pfel \u00e4pfel \u00c4PFEL \u00c4pfel", "\u0130 i I \u212a k K", "a\u00a0b A\u00a0B\u2003a\x1fb",
+        "one two three one two three ONE", "x y z x y z", "\U0001f600A \U0001f600a 1!2?", "  \t\r\n\x0b\x0c ",
+    ]
+    rows = Q.statistics(documents(spark, list(enumerate(odd_texts)) + [(0, odd_texts[0]), (None, None)])).collect()
+    for r in rows:
+        text = odd_texts[r.doc_id] if r.doc_id is not None else ""
+        text = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+        chars = sum(map(len, words))
+        assert np.isclose(r["__qda"][9], np.log1p(100 * len({w.translate(lower) for w in words}) / max(len(words), 1)))
+        assert np.isclose(r["__qda"][1], np.log1p(chars / max(len(words), 1)))
+        assert np.isclose(r["__qda"][4], np.log1p(100 * by_hand(text)["n_repeat_words"] / max(len(words), 1)))
+    assert len(rows) == len(odd_texts) + 2
+
+
+def test_statistics_split_a_text_once(spark):
+    """The whole text is met by no look-up per character, and its words are made once."""
+    plan = Q.statistics(documents(spark).coalesce(1))._jdf.queryExecution().optimizedPlan().toString()
+    words = f", {R.SPACED_WORD}, 0)"
+    assert plan.count(words) == 1
+    assert "translate(coalesce(" not in plan and "translate(text" not in plan
